@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .near_dedup import op8_near_dedup
 from .sharding import op7_sharding
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op7_sharding": op7_sharding,
+    "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
