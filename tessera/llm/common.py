@@ -34,6 +34,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 4) -> None:
+    """From now on this session hands Python workers batches of at most so many rows and MB (or one row).
+
+    Long texts then cost a worker a few dozen MB at a time instead of 10,000 rows' worth.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
+
+
 def words_of_bits(slots: DataFrame, column: str) -> DataFrame:
     """The set of slot numbers in ``column`` as rows (word, mask) of 64 slots each.
 

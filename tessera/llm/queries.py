@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .language_id import op3_language_id
 from .near_dedup import op8_near_dedup
+from .packing import op6_best_fit_packing
 from .sharding import op7_sharding
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_sharding": op7_sharding,
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
