@@ -58,7 +58,7 @@ class Model:
         """(logits, letters) of each text, from all its subwords."""
         k = len(self.languages)
         out, letters = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
-        for part in slices(texts, 1 << 19):
+        for part in slices(texts, 1 << 18):
             grams, bounds, letters[part] = subwords(texts[part])
             sums, n = np.zeros((part.stop - part.start, k)), np.zeros(part.stop - part.start)
             for g in grams:
@@ -90,7 +90,7 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 1.0)
     label = np.array([names.index(x) for x in langs])
     grams, ends = [], []
-    for part in slices(texts, 1 << 19):
+    for part in slices(texts, 1 << 18):
         g, bounds, _ = subwords(texts[part])
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             ids, n = np.unique(np.concatenate([x[a : b + 1] for x in g]), return_counts=True)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, words_of_bits
+from .common import components, materialise, small_batches, words_of_bits
 from .text import BASE, mixed, shingles, slices
 
 #: Words in a shingle, least weighted Jaccard similarity of a link, bands and signature values in a band.
@@ -58,7 +58,7 @@ def bag_minhash(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: in
         counted = unit < room[:, None].astype(np.uint64)
         np.minimum.at(sig, (own[:, None] * m + place.astype(np.int64))[counted], time[counted])
         at, made = time[:, -1], made + step
-        step = min(64, max(1, made))  # the same steps for every element: equal sums, equal times
+        step = min(16, max(1, made))  # the same steps for every element: equal sums, equal times
         on = at < sig.reshape(n, m).max(axis=1)[own]
         own, at, seed, width, room = own[on], at[on], seed[on], width[on], room[on]
     return sig.reshape(n, m)
@@ -145,6 +145,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     in no class (class_id null, kept). Ids should be unique: rows that repeat an id and its text share
     their fate. Other columns are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = rows_in.mapInPandas(_signed(bands, rows, size), "doc_id long, norm string, n long, bands array<long>")
     signed = materialise(signed, "near-signed")

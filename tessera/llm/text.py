@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,7 +13,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def slices(texts: Sequence[str], most_chars: int = 1 << 21) -> Iterator[slice]:
+def slices(texts: Sequence[str], most_chars: int = 1 << 18) -> Iterator[slice]:
     """Slices of ``texts`` of at most ``most_chars`` characters, or of one text."""
     at, chars = 0, 0
     for k, text in enumerate(texts):
@@ -27,14 +28,8 @@ def slices(texts: Sequence[str], most_chars: int = 1 << 21) -> Iterator[slice]:
 @functools.cache
 def _folded(kind: str) -> np.ndarray:
     """For each code point its lower case if it is a letter (or, for kind ``word``, a letter, mark, digit or _), else a space."""
-    points = [chr(k) for k in range(0x110000)]
-    if kind == "letter":
-        inside = [c.isalpha() for c in points]
-    else:
-        import unicodedata
-
-        inside = [c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M" for c in points]
-    return np.array([ord(c.lower()[0]) if y else 32 for c, y in zip(points, inside, strict=True)], np.uint32)
+    inside = str.isalpha if kind == "letter" else lambda c: c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M"
+    return np.fromiter((ord(c.lower()[0]) if inside(c) else 32 for c in map(chr, range(0x110000))), np.uint32, 0x110000)
 
 
 def folded(texts: Sequence[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
