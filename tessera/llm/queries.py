@@ -6,12 +6,16 @@ from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .language_id import op3_language_id
 from .near_dedup import op8_near_dedup
 from .packing import op6_best_fit_packing
+from .pii import op5_pii
 from .sharding import op7_sharding
 from .url_filter import OP4_SQL, op4_url_filter
+from .vector_dedup import op1_vector_dedup
 
 QUERIES = {
+    "op1_vector_dedup": op1_vector_dedup,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
+    "op5_pii": op5_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_sharding": op7_sharding,
     "op8_near_dedup": op8_near_dedup,
