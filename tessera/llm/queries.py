@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .html_extract import op10_html_extract
 from .language_id import op3_language_id
 from .near_dedup import op8_near_dedup
 from .packing import op6_best_fit_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLES = {"op4_url_filter": OP4_SQL, "op9_exact_dedup": OP9_SQL}
