@@ -34,6 +34,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 4) -> None:
     """From now on this session hands Python workers batches of at most so many rows and MB (or one row).
 

@@ -154,8 +154,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
-def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``lang_id``: struct of lang (``und`` if the text is null or has no letters), score 0 to 1, rejected.
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "lang_id") -> DataFrame:
+    """``docs`` with a column ``out_col``: struct of lang (``und`` if the text is null or has no letters), score 0 to 1, rejected.
 
     Every subword of the whole text counts. Scores are probabilities at the calibrated
     temperature; ``rejected`` texts have no letters or a score below the calibrated threshold.
@@ -169,7 +169,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
         lang, score, rejected = shared.value.predict(["" if x is None else x for x in texts])
         return pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
 
-    return docs.withColumn("lang_id", label(F.col(text_col)))
+    return docs.withColumn(out_col, label(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id"):

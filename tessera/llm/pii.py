@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, words_of_bits
+from .common import fresh, materialise, small_batches, words_of_bits
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kind of the spans that contexts find.
@@ -204,11 +204,13 @@ def mask(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << 22))
     bits = words_of_bits(hits.select(slot("doc_id").alias("slot")), "slot")
     names = docs.columns
-    marked = docs.withColumn("_slot", slot(id_col)).withColumn("word", F.shiftright("_slot", 6)).join(F.broadcast(bits), "word", "left")
-    hit = F.expr("coalesce(mask, 0L) & shiftleft(1L, cast(_slot & 63 as int))") != 0
-    clean = marked.where(~hit).select(*names)
-    dirty = marked.where(hit).select(*names).join(hits.select(F.col("doc_id").alias("_id"), "spans"), F.col(id_col) == F.col("_id"), "left")
-    text = F.when(F.col("spans").isNotNull() & F.col(text_col).isNotNull(), cover(F.coalesce(F.col(text_col), F.lit("")), F.coalesce("spans", F.lit("")))).otherwise(F.col(text_col))
+    at, word, bit, key, spans = (fresh(docs, f"_pii_{x}") for x in ("slot", "word", "bits", "id", "spans"))
+    bits = bits.select(F.col("word").alias(word), F.col("mask").alias(bit))
+    marked = docs.withColumn(at, slot(id_col)).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(bits), word, "left")
+    hit = F.expr(f"coalesce({bit}, 0L) & shiftleft(1L, cast({at} & 63 as int))") != 0
+    clean = marked.where(~F.coalesce(hit, F.lit(False))).select(*names)
+    dirty = marked.where(hit).select(*names).join(hits.select(F.col("doc_id").alias(key), F.col("spans").alias(spans)), F.col(id_col) == F.col(key), "left")
+    text = F.when(F.col(spans).isNotNull() & F.col(text_col).isNotNull(), cover(F.coalesce(F.col(text_col), F.lit("")), F.coalesce(spans, F.lit("")))).otherwise(F.col(text_col))
     return clean.unionByName(dirty.withColumn(text_col, text).select(*names))
 
 

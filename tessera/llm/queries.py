@@ -8,12 +8,14 @@ from .language_id import op3_language_id
 from .near_dedup import op8_near_dedup
 from .packing import op6_best_fit_packing
 from .pii import op5_pii
+from .sentencepiece_codec import op2_sentencepiece
 from .sharding import op7_sharding
 from .url_filter import OP4_SQL, op4_url_filter
 from .vector_dedup import op1_vector_dedup
 
 QUERIES = {
     "op1_vector_dedup": op1_vector_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_pii": op5_pii,
