@@ -38,7 +38,7 @@ def subwords(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
             bad = bad | gap[n - 2 : n - 2 + len(flat)]
         if n in GRAMS:
             gram = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKETS.bit_length() + 1)
-            none = space if n == 1 else bad | (space & gap[n - 1 : n - 1 + len(flat)])
+            none = space if n == 1 else space & gap[1 : 1 + len(flat)] if n == 2 else bad
             out.append(np.where(none, BUCKETS, gram.astype(np.int64)))
     letters = np.diff(np.concatenate([[0], np.cumsum(~space)])[np.append(bounds[:-1], len(flat))])
     return out, bounds, letters
@@ -93,7 +93,7 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int
     for part in slices(texts, 1 << 18):
         g, bounds, _ = subwords(texts[part])
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            ids, n = np.unique(np.concatenate([x[a : b + 1] for x in g]), return_counts=True)
+            ids, n = np.unique(np.concatenate([x[a:b] for x in g]), return_counts=True)
             real = ids < BUCKETS
             grams.append((ids[real], (n[real] / max(1, n[real].sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)

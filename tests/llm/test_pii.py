@@ -1,0 +1,86 @@
+import hashlib
+import random
+import re
+
+from tessera.llm.pii import base_spans, candidates, find, joined, mask, masked
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    d = [int(c) for c in digits][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def brute(text):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m)) <= 15]
+
+
+def test_base_spans_are_what_the_expressions_match():
+    r = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(r.choice("ab1.2@+- ()%_-0 9.@é\n") for _ in range(r.randint(0, 40)))
+        assert base_spans(text) == brute(text)
+    for _ in range(2000):
+        text = " ".join("".join(r.choice("0123456789") for _ in range(r.randint(1, 20))) for _ in range(3))
+        assert base_spans(text) == brute(text)
+
+
+def test_long_runs_take_linear_time():
+    text = "1" * 200_000 + "@" * 2000 + "a" * 200_000 + "+1" + " " * 200_000 + "1." * 100_000
+    assert all(kind in ("email", "ip", "card", "phone") for kind, _, _ in base_spans(text))
+    assert len(list(candidates("1a" * 200_000, []))) == 1
+
+
+def corpus():
+    """Seeds behind "write to", and unseen keys in the same places; years behind "in"."""
+    r = random.Random(2)
+    rows = []
+    for k in range(120):
+        rows.append((k, f"please write to user{k}@mail.org today and {r.random()} in 2019-{k:04d} it was"))
+    for k in range(120, 126):
+        rows.append((k, f"please write to KEY{k}XZ77 today or not"))
+    return rows
+
+
+def test_contexts_find_unseen_identifiers(documents):
+    got = {r.doc_id: r for r in find(documents(corpus())).collect()}
+    for k in range(120, 126):
+        text = dict(corpus())[k]
+        at = text.index("KEY")
+        assert got[k].spans == f"id:{at}:{at + len(f'KEY{k}XZ77')}" and got[k].n_id == 1
+    assert all(got[k].n_id == 0 and got[k].n_email == 1 and got[k].spans == got[k].base for k in range(120))
+
+
+def test_odd_rows(documents, odd):
+    rows = [*odd, (50, "a@b.co 1.2.3.4"), (50, "a@b.co 1.2.3.4"), (51, "+1 (555) 555-1234 4111 1111 1111 1111")]
+    got = find(documents(rows)).collect()
+    want = []
+    for i, t in rows:
+        spans = brute(t or "")
+        n = [sum(k == kind for k, _, _ in spans) for kind in ("email", "ip", "card", "phone")]
+        want.append((i, *n, hashlib.sha256(joined(spans).encode()).hexdigest(), joined(spans), joined(spans), 0))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert find(documents([])).count() == 0
+
+
+def test_masking_changes_spans_only(documents, odd):
+    rows = [*odd, (50, "to a@b.co, from 1.2.3.4!"), (51, "clean"), (None, "x@y.zz")]
+    docs = documents(rows)
+    got = mask(docs).collect()
+    assert len(got) == len(rows) and mask(docs).columns == docs.columns
+    of = {r.doc_id: r.text for r in got if r.doc_id is not None}
+    assert of[50] == "to [EMAIL], from [IP]!" and all(of[i] == t for i, t in rows if i not in (50, None))
+    assert all(r.word == "x" and r.mask == "x" for r in got)
+
+
+def test_masked():
+    assert masked("0123456789", "a:1:3,b:2:5,c:7:8") == "0[A]56[C]89"
+    assert masked("abc", "") == "abc"
