@@ -374,6 +374,8 @@ def trained(pages: int = 1600, seed: int = 11) -> Labeller:
 
 def main_texts(pages: list[str], model: Labeller) -> list[str]:
     """The main text of each page: its blocks so labelled, in page order, joined by spaces."""
+    if not pages:
+        return []
     found = [blocks(p) for p in pages]
     chosen = model.label(features(found))
     return [" ".join(t for (t, *_), y in zip(f, c, strict=True) if y) for f, c in zip(found, chosen, strict=True)]
