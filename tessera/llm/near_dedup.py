@@ -15,6 +15,8 @@ from .text import BASE, mixed, shingles, slices
 
 #: Words in a shingle, least weighted Jaccard similarity of a link, bands and signature values in a band.
 SIZE, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 6
+#: Documents and shingles of a bucket that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 256, 100_000
 
 
 def bag(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,42 +91,64 @@ def _signed(bands: int, rows: int, size: int):
     return run
 
 
-def overlap(left: Sequence[str], right: Sequence[str], size: int = SIZE) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingle multisets of each pair of texts; 0 if either has no words."""
-    out = np.zeros(len(left))
-    for part in slices([a + b for a, b in zip(left, right, strict=True)]):
-        a, b = (shingles(side[part], size)[:2] for side in (left, right))
-        n = part.stop - part.start
-        owner, hashes = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        side = np.repeat([1, 0], [len(a[0]), len(b[0])])
-        order = np.lexsort((hashes, owner))
-        owner, hashes, side = owner[order], hashes[order], side[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
-        if len(at := np.flatnonzero(new)):
-            ours = np.add.reduceat(side, at)
-            theirs = np.diff(np.append(at, len(side))) - ours
-            most = np.bincount(owner[at], np.maximum(ours, theirs), n)
-            out[part] = np.bincount(owner[at], np.minimum(ours, theirs), n) / np.maximum(most, 1)
-    return out
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, similar: float, size: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts are similar enough."""
-
-    @F.pandas_udf("double")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series(overlap(left.tolist(), right.tolist(), size))
-
-    pairs = materialise(pairs, "near-pairs")
+def overlaps(texts: Sequence[str], size: int = SIZE, columns: int = 4096) -> np.ndarray:
+    """(n, n) weighted Jaccard similarities of the texts' shingle multisets; 0 if either has no words.
+
+    The overlap of two bags is the sum of the smaller counts: over the columns (shingle, count that occurs), the product
+    of who has at least that count, times what it is above the next smaller one.
+    """
+    owner, hashes, counts = bag(*shingles(texts, size)[:2])
+    total = np.bincount(owner, counts, len(texts))
+    order = np.lexsort((counts, hashes))
+    owner, hashes, counts = owner[order], hashes[order], counts[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    higher = first.copy()
+    higher[1:] |= counts[1:] != counts[:-1]
+    step = np.flatnonzero(higher)
+    level = np.cumsum(higher) - 1  # of each entry; an entry is in its own level's column and in its shingle's lower ones
+    below = level - level[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
+    weight = counts[step] - np.where(first[step], 0, counts[np.maximum(step - 1, 0)])
+    row = np.repeat(owner, below + 1)
+    column = np.repeat(level, below + 1) - (np.arange(len(row)) - np.repeat(np.cumsum(below + 1) - below - 1, below + 1))
+    met = np.bincount(column, minlength=len(step)) > 1
+    place = np.cumsum(met) - 1
+    use = met[column]
+    row, column, weight = row[use], place[column[use]], weight[met]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(texts), len(texts)))
+    for at in range(0, len(weight), columns):
+        part = slice(*np.searchsorted(column, [at, at + columns]))
+        has = np.zeros((len(texts), min(columns, len(weight) - at)))
+        has[row[part], column[part] - at] = 1
+        both += (has * weight[at : at + columns]) @ has.T
+    np.fill_diagonal(both, total)
+    return both / np.maximum(total[:, None] + total[None, :] - both, 1)
+
+
+def _compare(similar: float, size: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """(a, b) for each document of one bucket, or of two blocks of a large one, that links to another: b is the smallest id it reaches there."""
+        ids = rows["doc_id"].to_numpy()
+        linked = overlaps(rows["text"].tolist(), size) >= similar
+        np.fill_diagonal(linked, False)
+        root, was = ids.copy(), None
+        while was is None or (root != was).any():
+            was = root
+            root = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+        some = linked.any(axis=1)
+        return pd.DataFrame({"a": ids[some], "b": root[some]})
+
+    return run
+
+
+def _texts_of(met: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts of the documents in ``met``, by a bit set of their ids' slots: 65,536 rows at most are broadcast, and no text is shuffled."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 22))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(slot.alias("slot"))
-    used = words_of_bits(ends, "slot")  # 65,536 rows at most; a text that passes by chance is dropped by the joins
-    texts = texts.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(used), "word")
-    texts = materialise(texts.where("(mask & shiftleft(1L, cast(slot & 63 as int))) <> 0").select("doc_id", "text"), "near-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialise(both.where(alike("text_a", "text_b") >= similar).select("a", "b").distinct(), "near-links")
+    used = words_of_bits(met.select(slot.alias("slot")), "slot")
+    marked = rows.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(used), "word")
+    return marked.where("(mask & shiftleft(1L, cast(slot & 63 as int))) <> 0").select("doc_id", "text")
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -136,10 +160,10 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     the connected components of the links found.
 
     BagMinHash signatures are cut into ``bands`` of ``rows`` values; texts that share a band
-    are candidates (a pair at 0.8 is missed with a probability of 6e-5). Each bucket's
-    texts are first compared with its smallest id. What then still lies in different classes
-    but shares a bucket is compared in full, so no candidate is given up, yet a group of near
-    copies never becomes all of its pairs. Each candidate is verified on the whole texts.
+    are candidates (a pair at 0.8 is missed with a probability of 6e-5). All texts of a
+    bucket are compared in full, on their whole multisets; only a spanning forest of a bucket's links leaves its
+    task, so no list of pairs is made. Buckets that hold the same texts are one, and a large bucket is cut into
+    blocks of about BLOCK texts or BLOCK_SHINGLES shingles, each two of which are a task.
 
     Null text counts as empty; texts without words are alone in their class. Null ids are
     in no class (class_id null, kept). Ids should be unique: rows that repeat an id and its text share
@@ -153,21 +177,19 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     reps = named.groupBy("norm").agg(F.min("doc_id").alias("rep"))
     first = named.join(reps, (named["norm"] == reps["norm"]) & (named["doc_id"] == reps["rep"]), "left_semi")
     banded = first.select("doc_id", "n", F.explode("bands").alias("key"))
-    heads = banded.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
-    met = materialise(banded.join(heads, "key").select("key", "doc_id", "n", "head"), "near-buckets")
-
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similar - 1e-9
-    stars = met.where((F.col("doc_id") > F.col("head.doc_id")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verified(stars, rows_in, similar, size)
-
-    of = components(links, "near-classes")
-    placed = met.select("key", "doc_id", "n").join(of, met["doc_id"] == of["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("class"))
-    placed = materialise(placed, "near-placed")
-    split = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(split, "key", "left_semi")
-    x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "class")]) for s in "ab")
-    cross = x.join(y, "key").where("doc_id_a < doc_id_b and class_a <> class_b").where(fits(F.col("n_a"), F.col("n_b"))).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    links = links.union(_verified(cross.join(stars, ["a", "b"], "left_anti"), rows_in, similar, size))
+    full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    met = materialise(banded.join(full, "key", "left_semi").select("key", "doc_id", "n"), "near-buckets")
+
+    h = F.xxhash64("doc_id")
+    buckets = met.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("y"))
+    buckets = buckets.groupBy("c", "s", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same documents are one
+    buckets = buckets.select("key", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    met = met.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = materialise(met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id"), "near-met")
+    texts = met.join(_texts_of(met, rows_in), "doc_id")
+    links = texts.groupBy("key", "i", "j").applyInPandas(_compare(similar, size), "a long, b long")
+    links = materialise(links.distinct(), "near-links")
 
     of = components(links, "near-classes")
     reps = reps.join(of, reps["rep"] == of["node"], "left").select("norm", F.coalesce("component", "rep").alias("class_id"))

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from tessera.llm.common import components
-from tessera.llm.near_dedup import bag, bag_minhash, near_dedup, overlap
+from tessera.llm.near_dedup import bag, bag_minhash, near_dedup, overlaps
 from tessera.llm.text import shingles
 
 VOCABULARY = [f"w{k}" for k in range(400)]
@@ -87,7 +87,8 @@ def test_signatures_estimate_weighted_similarity():
         left.append(" ".join(a))
         right.append(" ".join(b))
     true = np.array([alike(a, b) for a, b in zip(left, right, strict=True)])
-    assert np.abs(overlap(left, right) - true).max() < 1e-12
+    exact = overlaps([*left, *right], columns=64)
+    assert np.abs(exact[np.arange(40), np.arange(40, 80)] - true).max() < 1e-12
     sig = [bag_minhash(*bag(*shingles(t)[:2]), len(t), 1024) for t in (left, right)]
     estimate = (sig[0] == sig[1]).mean(axis=1)
     assert abs((estimate - true).mean()) < 0.01 and np.abs(estimate - true).max() < 0.07
@@ -95,6 +96,24 @@ def test_signatures_estimate_weighted_similarity():
     assert (alone[0] == sig[0][7]).all()  # a signature doesn't depend on its batch
 
 
+def test_a_large_bucket_is_cut_into_blocks(documents):
+    r = random.Random(8)
+    base, rows = [r.choice(VOCABULARY) for _ in range(150)], []
+    for k in range(600):
+        words = list(base)
+        words[r.randrange(150)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    got = near_dedup(documents(rows)).collect()
+    assert {x.class_id for x in got} == {0}
+
+
+def test_overlaps_of_repeated_shingles():
+    texts = ["a " * 50, "a " * 45, "a " * 30 + "b " * 30, "", "b a", "B, a", "c " * 7 + "a " * 44]
+    got = overlaps(texts)
+    want = [[alike(a, b) for b in texts] for a in texts]
+    assert np.abs(got - want).max() < 1e-12
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)] + [(7, 7), (999, 999)]
