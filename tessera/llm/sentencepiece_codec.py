@@ -20,6 +20,8 @@ from .text import slices
 
 #: The whitespace marker.
 MARK = "▁"
+#: Words whose ids the library keeps. On text with many rare words its cache costs more than it saves.
+CACHE = 1000
 #: Piece types in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Texts that every rebuilt tokenizer must encode and decode as the original does.
@@ -113,7 +115,7 @@ def rebuild(model: Model):
         core = Tokenizer(models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk, model.byte_fallback))
     else:
         vocab = {p: k for k, (p, *_) in enumerate(model.pieces)}
-        core = Tokenizer(models.BPE(vocab, merges(model), unk_token=model.pieces[model.unk][0], fuse_unk=True, byte_fallback=model.byte_fallback))
+        core = Tokenizer(models.BPE(vocab, merges(model), unk_token=model.pieces[model.unk][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=CACHE))
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.strip_spaces:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -141,7 +143,7 @@ class Codec:
         return [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.core.decode_batch([[k for k in x if k not in self.hidden] if self.hidden.intersection(x) else x for x in ids], skip_special_tokens=False)
+        return self.core.decode_batch([[k for k in x if k not in self.hidden] if any(k in x for k in self.hidden) else x for x in ids], skip_special_tokens=False)
 
     def verify(self, texts: list[str] | tuple[str, ...] = PROBES) -> list[str]:
         """The texts whose ids differ from the original library's, or whose ids decode to something else."""

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import components, materialise, small_batches
 from .text import BASE, mixed
 
-#: Least cosine of a link; tables; lattice blocks of 8 projections in a table; scale of the lattice against the norm of a projection.
-SIMILAR, TABLES, BLOCKS, SCALE = 0.98, 10, 2, 0.25
+#: Least cosine of a link; tables; lattice blocks of 8 projections in a table; scale of the lattice against the root mean square length of a unit vector's block.
+SIMILAR, TABLES, BLOCKS, SCALE = 0.98, 8, 3, 0.7
 #: Vectors of a cell that one task compares with as many others.
 BLOCK = 256
 
@@ -67,7 +67,7 @@ def cells(vectors: np.ndarray, group: np.ndarray, tables: int = TABLES, blocks:
     for t, table in enumerate(_projection(vectors.shape[1], tables, blocks)):
         choices = []
         for directions in table:
-            x = vectors @ directions / scale
+            x = vectors @ directions / (scale * np.sqrt(8 / max(vectors.shape[1], 8)))
             own = decode(x)
             step = _shortest()[((x - own) @ _shortest().T).argmax(axis=1)]
             codes = [np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint64)]
