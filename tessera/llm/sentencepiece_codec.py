@@ -128,6 +128,21 @@ def rebuild(model: Model):
     return core
 
 
+def plain(model: Model):
+    """A faster ``tokenizers.Tokenizer`` for texts with single spaces, none of them first, and no markers: None if the model rules it out.
+
+    It marks and splits words in one step, without a regular expression.
+    """
+    from tokenizers import normalizers, pre_tokenizers
+
+    if model.charsmap or model.strip_spaces or not model.dummy_prefix or any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind == NORMAL):
+        return None
+    core = rebuild(model)
+    core.normalizer = normalizers.Sequence([])
+    core.pre_tokenizer = pre_tokenizers.Metaspace(MARK, prepend_scheme="always", split=True)
+    return core
+
+
 class Codec:
     """Encodes and decodes as the model file says; ``verify`` compares with the SentencePiece library."""
 
@@ -136,13 +151,30 @@ class Codec:
             self.data = f.read()
         self.model = parse(self.data)
         self.core = rebuild(self.model)
+        self.plain = plain(self.model)
         self.hidden = {k for k, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
+        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; the batch is encoded on the library's threads, however many the process allows it."""
+        if self.plain is not None and all(t[:1] != " " and "  " not in t and MARK not in t for t in texts):
+            return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
         return [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
+        """Texts of ids: pieces and byte pieces joined by their bytes. Bytes that are no UTF-8, and control or unknown pieces, are left to the library."""
+        out = []
+        for x in ids:
+            try:
+                if any(k in x for k in self.hidden) or self.model.unk in x:
+                    raise ValueError
+                text = b"".join(map(self.bytes.__getitem__, x)).decode()
+                out.append(text[1:] if x and self.model.dummy_prefix and self.model.pieces[x[0]][0][:1] == MARK else text)
+            except ValueError:
+                out += self.by_library([x])
+        return out
+
+    def by_library(self, ids: list[list[int]]) -> list[str]:
         return self.core.decode_batch([[k for k in x if k not in self.hidden] if any(k in x for k in self.hidden) else x for x in ids], skip_special_tokens=False)
 
     def verify(self, texts: list[str] | tuple[str, ...] = PROBES) -> list[str]:

@@ -20,6 +20,12 @@ def test_parity_and_round_trip():
     some = [*PROBES, *texts(2000), "long " * 20_000, "x" * 20_000]
     ids = made.encode(some)
     assert ids == first.encode(some) and made.decode(ids) == first.decode(ids)
+    assert made.by_library(ids) == first.decode(ids)
+    assert all(made.encode([t]) == [x] for t, x in zip(some[:500], ids, strict=False))  # with the faster path where it may be taken
+    odd = [[k] for k in range(300)] + [[3 + 0xE6, 3 + 0x97], [0], [1, 300, 2], [3 + 0xFF] * 3, [259, 259], []]
+    valid = [x for x in odd if 0 not in x and not any(131 <= k < 259 for k in x)]
+    assert made.decode(valid) == first.decode(valid)
+    assert [made.decode([x]) for x in odd if x != [35]] == [made.by_library([x]) for x in odd if x != [35]]
     plain = [t for t in some if "▁" not in t]
     assert made.decode(made.encode(plain)) == plain
 
