@@ -14,7 +14,7 @@ def save(df: DataFrame, path: str, kind: str = "parquet", *, partition_by: list[
         raise ValueError(kind)
     writer = df.write.format(kind).options(**OPTIONS.get(kind, {}))
     if kind == "csv":
-        writer = writer.option("emptyValue", "")  # apart from null, which is written as \\N
+        writer = writer.option("emptyValue", '""')  # quoted, apart from null
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
