@@ -61,31 +61,42 @@ def words_of_bits(slots: DataFrame, column: str) -> DataFrame:
     return slots.groupBy(F.shiftright(c, 6).alias("word")).agg(F.bit_or(one).alias("mask"))
 
 
+def _minimum(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """``edges`` (u, v) with m of ``low`` (u, m, c). Nodes with over a thousandth of all edges, a thousand at most, are broadcast, so no hub meets in one task."""
+    hubs = low.where(F.col("c") * 1000 > total).select("u", F.col("m").alias("hub_m"))
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    rest = marked.where("hub_m is null").select("u", "v").join(low.select("u", "m"), "u")
+    return rest.union(marked.where("hub_m is not null").select("u", "v", "hub_m"))
+
+
 def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b), component being the smallest node.
 
     Alternating large-star and small-star steps: each is one aggregation by node, whose
-    partial minima are combined before the shuffle, and one join that adaptive execution may
-    split at hub nodes. Every round is written to the shared folder. Self-loops and repeated edges do no harm;
+    partial minima are combined before the shuffle, and one join, with hub nodes apart. Every round is written
+    to the shared folder. Self-loops and repeated edges do no harm;
     an edge with a null end is dropped. Raises if the rounds don't suffice (they grow with
     the logarithm of the longest path).
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and a is not null and b is not null")
+    e = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = materialise(e.distinct(), tag)
     loops = e.where("u = v").select("u").distinct()
     e = e.where("u <> v")
-    was = None
+    total, was = e.count(), None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        large = _minimum(both, low, 2 * total).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialise(large, tag)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = _minimum(large, low, total)
+        links = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = small.select(F.explode(links).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = materialise(small, tag)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == was:
             roots = e.select(F.col("v").alias("node")).distinct()
             own = roots.union(loops.join(e.select(F.col("u")), "u", "left_anti").select("u")).distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own.select("node", F.col("node").alias("component")))
-        was = now
+        total, was = now[0], now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -17,9 +17,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     1. Rows are grouped by the text's byte length; lengths that occur once are done.
     2. The rest are grouped by length and the hash of the first ``prefix`` characters.
     3. Only rows of groups that are left have their full content hashed (SHA-256), and rows
-       with equal length and full hash are copies. The scan knows those groups from a bit
+       with equal length and full hash are copies. Each step knows the groups that the last one left from a bit
        set of ``slots`` bits, so its broadcast has a fixed size; a row that shares a slot by
-       chance is hashed as well, which changes no result.
+       chance is looked at as well, which changes no result.
 
     Of copies the largest id stays. Groups only ever meet as counts and maxima that are
     combined before the shuffle, so a group with a third of all rows is no hot spot; the
@@ -35,16 +35,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("doc_id", "text", F.octet_length("text").alias("len"), F.xxhash64(F.substring("text", 1, prefix)).alias("pre"))
 
     thin = materialise(rows.select("len", "pre"), "exact-thin")
-    lengths = thin.groupBy("len").count().where("count > 1").select("len")
-    prefixes = thin.join(lengths, "len", "left_semi").groupBy("len", "pre").count().where("count > 1")
-    slot = F.pmod(F.xxhash64("len", "pre"), F.lit(slots))
-    left = words_of_bits(prefixes.select(slot.alias("slot")), "slot")
-
-    marked = rows.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6))
-    marked = marked.join(F.broadcast(left), "word", "left")  # at most slots / 64 rows
-    lives = F.expr("coalesce(mask, 0L) & shiftleft(1L, cast(slot & 63 as int))") != 0
+    lengths = thin.groupBy("len").count().where("count > 1")
+    shared = _in_slots(thin, lengths, ["len"], slots).where("lives")
+    prefixes = shared.groupBy("len", "pre").count().where("count > 1")
+    marked, lives = _in_slots(rows, prefixes, ["len", "pre"], slots), F.col("lives")
     full = F.sha2("text", 256)
-    hashed = materialise(marked.select("doc_id", "len", lives.alias("lives"), (full if all_hashes else F.when(lives, full)).alias("sha")), "exact-full")
+    hashed = materialise(marked.select("doc_id", "len", lives, (full if all_hashes else F.when(lives, full)).alias("sha")), "exact-full")
 
     alive = hashed.where("lives")
     groups = alive.groupBy("len", "sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -53,6 +49,15 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return shared.union(alone).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def _in_slots(rows: DataFrame, groups: DataFrame, by: list[str], slots: int) -> DataFrame:
+    """``rows`` with ``lives``: whether the slot of their columns ``by`` is that of one of ``groups``. At most slots / 64 rows are broadcast, none shuffled."""
+    slot = F.pmod(F.xxhash64(*by), F.lit(slots))
+    used = words_of_bits(groups.select(slot.alias("slot")), "slot")
+    marked = rows.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(used), "word", "left")
+    lives = F.expr("coalesce(mask, 0L) & shiftleft(1L, cast(slot & 63 as int))") != 0
+    return marked.withColumn("lives", lives).drop("slot", "word", "mask")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), all_hashes=True)
 
