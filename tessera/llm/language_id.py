@@ -14,8 +14,8 @@ from .text import BASE, folded, mixed, slices
 
 #: Buckets of the embedding table, its width, and the subwords' lengths in characters.
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (1, 2, 3, 4)
-#: Bounds of the labelled sample that the driver fits on: about so many rows of a language, texts of so many characters at most, so many languages.
-SAMPLE, SAMPLE_CHARS, LANGUAGES = 1500, 20_000, 256
+#: Bounds of the labelled sample that the driver fits on: about so many rows of a language and in all, texts of so many characters at most, so many languages.
+SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, LANGUAGES = 1500, 12_000, 20_000, 256
 #: Rejects at most this share of the calibration rows that are classified rightly.
 REJECTED = 0.002
 
@@ -140,17 +140,18 @@ def calibrate(model: Model, texts: list[str], label: np.ndarray) -> None:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the labelled rows of ``docs``, fitted on a sample whose bounds are the constants above.
 
-    Rows are picked by a hash of their id at a rate that makes about SAMPLE rows of each language, at most twice
-    that; rarer languages enter whole. The LANGUAGES most frequent languages are learned.
+    Rows are picked by a hash of their id at a rate that makes about SAMPLE rows of each language (fewer if there are many), at most 2 * SAMPLE_ALL in
+    all; rarer languages enter whole. The LANGUAGES most frequent languages are learned.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return fit([], [])
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE / n))])
+    share = min(SAMPLE, SAMPLE_ALL // len(counts))
+    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, share / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
     picked = rows.where(draw < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0))).where(F.length("text") <= SAMPLE_CHARS)
-    sample = picked.limit(2 * SAMPLE * len(counts)).toPandas().sort_values(["doc_id", "lang", "text"], na_position="first")
+    sample = picked.limit(2 * SAMPLE_ALL).toPandas().sort_values(["doc_id", "lang", "text"], na_position="first")
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
