@@ -61,6 +61,22 @@ def words_of_bits(slots: DataFrame, column: str) -> DataFrame:
     return slots.groupBy(F.shiftright(c, 6).alias("word")).agg(F.bit_or(one).alias("mask"))
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", slots: int = 1 << 22) -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone`` (one column); null ids stay.
+
+    A bit set of fixed size, broadcast, shows which rows can be meant: only those are shuffled to meet ``gone``, so what
+    stays keeps its place. (With far more ids than slots all rows are; the result is the same.)
+    """
+    names, (key,) = docs.columns, gone.columns
+    at, word, bits, own = (fresh(docs, f"_gone_{x}") for x in ("slot", "word", "bits", "id"))
+    gone = gone.select(F.col(key).cast("long").alias(own)).where(F.col(own).isNotNull()).distinct()
+    used = words_of_bits(gone.select(F.pmod(F.xxhash64(own), F.lit(slots)).alias("slot")), "slot").select(F.col("word").alias(word), F.col("mask").alias(bits))
+    marked = docs.withColumn(at, F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(slots))).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(used), word, "left")
+    hit = F.expr(f"coalesce({bits}, 0L) & shiftleft(1L, cast({at} & 63 as int))") != 0
+    maybe = marked.where(hit).select(*names).join(gone, F.col(id_col) == F.col(own), "left_anti")
+    return marked.where(~hit).select(*names).unionByName(maybe)
+
+
 def _minimum(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
     """``edges`` (u, v) with m of ``low`` (u, m, c). Nodes with over a thousandth of all edges, a thousand at most, are broadcast, so no hub meets in one task."""
     hubs = low.where(F.col("c") * 1000 > total).select("u", F.col("m").alias("hub_m"))
