@@ -200,3 +200,15 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))) AS g FROM w WHERE len(ws) > 0),
+c AS (SELECT doc_id, g, count(*) AS n FROM s GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN t tx ON tx.doc_id = x JOIN t ty ON ty.doc_id = y WHERE 5 * m >= 4 * (tx.n + ty.n - m)),
+r AS (SELECT doc_id, doc_id AS k FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.k = l.x)
+SELECT doc_id, min(k) AS class_id, min(k) = doc_id AS kept FROM r GROUP BY doc_id
+"""

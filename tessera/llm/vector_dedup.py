@@ -172,3 +172,13 @@ def vector_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
 
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id, vec_id AS k FROM embeddings UNION SELECT r.vec_id, l.y FROM r JOIN l ON r.k = l.x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT r.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(k) AS component_id, min(k) = r.vec_id AS kept FROM r LEFT JOIN n ON n.x = r.vec_id GROUP BY r.vec_id
+"""
