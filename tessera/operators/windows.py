@@ -16,6 +16,7 @@ def running_sum(df: DataFrame, *, key: str, time: str, tie: str, value: str, out
     """``df`` with the sum of ``value`` up to each row of its key, in order of time, then ``tie``.
 
     A window sees one bucket of a key's time; the totals of earlier buckets are carried over from one row a bucket, so a hot key is spread.
+    Rows with a null key or time are left out.
     """
     cut = df.withColumn("_b", F.date_trunc(bucket, time))
     totals = cut.groupBy(key, "_b").agg(F.sum(value).alias("_sum"))
