@@ -77,12 +77,16 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", slots: int
     return marked.where(~hit).select(*names).unionByName(maybe)
 
 
-def _minimum(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """``edges`` (u, v) with m of ``low`` (u, m, c). Nodes with over a thousandth of all edges, a thousand at most, are broadcast, so no hub meets in one task."""
-    hubs = low.where(F.col("c") * 1000 > total).select("u", F.col("m").alias("hub_m"))
-    marked = edges.join(F.broadcast(hubs), "u", "left")
-    rest = marked.where("hub_m is null").select("u", "v").join(low.select("u", "m"), "u")
-    return rest.union(marked.where("hub_m is not null").select("u", "v", "hub_m"))
+def hot_join(left: DataFrame, groups: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``groups``, which has each key once and in ``count`` how many of the ``total`` rows of ``left`` have it.
+
+    Keys with over a thousandth of all rows, a thousand at most, are broadcast; so no hot key meets in one task.
+    """
+    more = [c for c in groups.columns if c not in on]
+    hot = groups.where(F.col(count) * 1000 > total).withColumn("_hot", F.lit(True))
+    marked = left.join(F.broadcast(hot), on, "left").select(*left.columns, "_hot", *[F.col(c).alias(f"_hot_{c}") for c in more])
+    rest = marked.where("_hot is null").select(*left.columns).join(groups, on)
+    return rest.select(*left.columns, *more).union(marked.where("_hot").select(*left.columns, *[f"_hot_{c}" for c in more]))
 
 
 def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -102,10 +106,10 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60)
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-        large = _minimum(both, low, 2 * total).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hot_join(both, low, ["u"], "c", 2 * total).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, tag)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        small = _minimum(large, low, total)
+        small = hot_join(large, low, ["u"], "c", total)
         links = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         small = small.select(F.explode(links).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = materialise(small, tag)

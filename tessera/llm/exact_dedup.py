@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, words_of_bits
+from .common import hot_join, materialise, words_of_bits
 
 #: Slots of the bit set that tells the last scan which rows survive; 2**22 bits are 65,536 rows to broadcast.
 SLOTS = 1 << 22
@@ -22,8 +22,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
        chance is looked at as well, which changes no result.
 
     Of copies the largest id stays. Groups only ever meet as counts and maxima that are
-    combined before the shuffle, so a group with a third of all rows is no hot spot; the
-    join back is on thin rows and can be split by adaptive execution.
+    combined before the shuffle, and large groups meet their rows by broadcast, so a group with a third of all
+    rows is no hot spot.
 
     Null text counts as empty and empty texts are equal. Null ids are allowed: they never
     beat another id, and a group of null ids only keeps them all, as no id tells them apart.
@@ -44,7 +44,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     alive = hashed.where("lives")
     groups = alive.groupBy("len", "sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    shared = alive.join(groups, ["len", "sha"]).select("doc_id", "keep_id", "group_size", "sha")
+    shared = hot_join(alive, groups, ["len", "sha"], "group_size", alive.count()).select("doc_id", "keep_id", "group_size", "sha")
     alone = hashed.where("not lives").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     return shared.union(alone).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 

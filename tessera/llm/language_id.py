@@ -16,8 +16,8 @@ from .text import BASE, folded, mixed, slices
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (1, 2, 3, 4)
 #: Bounds of the labelled sample that the driver fits on: about so many rows of a language and in all, texts of so many characters at most, so many languages.
 SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, LANGUAGES = 1500, 12_000, 20_000, 256
-#: Rejects at most this share of the calibration rows that are classified rightly.
-REJECTED = 0.002
+#: Rejects at most this share of the calibration rows that are classified rightly, and nothing that scores as much as the second value.
+REJECTED, SURE = 0.002, 0.4
 
 
 def subwords(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int
 
 
 def calibrate(model: Model, texts: list[str], label: np.ndarray) -> None:
-    """Temperature of least log loss; threshold below all but a share REJECTED of the right answers, 0.5 at most."""
+    """Temperature of least log loss; threshold below all but a share REJECTED of the right answers, SURE at most."""
     if not texts:
         return
     logits, _ = model.logits(texts)
@@ -134,7 +134,7 @@ def calibrate(model: Model, texts: list[str], label: np.ndarray) -> None:
     model.temperature = float(min(np.geomspace(0.05, 20, 61), key=loss))
     p = softmax(logits / model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == label]
-    model.threshold = float(min(0.5, np.quantile(right, REJECTED))) if len(right) else 0.0
+    model.threshold = float(min(SURE, np.quantile(right, REJECTED))) if len(right) else 0.0
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, small_batches, words_of_bits
+from .common import components, hot_join, materialise, small_batches, words_of_bits
 from .text import BASE, mixed, shingles, slices
 
 #: Words in a shingle, least weighted Jaccard similarity of a link, bands and signature values in a band.
@@ -174,7 +174,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     signed = rows_in.mapInPandas(_signed(bands, rows, size), "doc_id long, norm string, n long, bands array<long>")
     signed = materialise(signed, "near-signed")
     named = signed.where("n > 0 and doc_id is not null")
-    reps = named.groupBy("norm").agg(F.min("doc_id").alias("rep"))
+    reps = named.groupBy("norm").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     first = named.join(reps, (named["norm"] == reps["norm"]) & (named["doc_id"] == reps["rep"]), "left_semi")
     banded = first.select("doc_id", "n", F.explode("bands").alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
@@ -192,8 +192,8 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     links = materialise(links.distinct(), "near-links")
 
     of = components(links, "near-classes")
-    reps = reps.join(of, reps["rep"] == of["node"], "left").select("norm", F.coalesce("component", "rep").alias("class_id"))
-    linked = named.select("doc_id", "norm").join(reps, "norm").select("doc_id", "class_id")
+    reps = reps.join(of, reps["rep"] == of["node"], "left").select("norm", "copies", F.coalesce("component", "rep").alias("class_id"))
+    linked = hot_join(named.select("doc_id", "norm"), reps, ["norm"], "copies", named.count()).select("doc_id", "class_id")
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return linked.union(alone).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 

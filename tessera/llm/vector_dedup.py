@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, small_batches
+from .common import components, hot_join, materialise, small_batches
 from .text import BASE, mixed
 
 #: Least cosine of a link; tables; lattice blocks of 8 projections in a table; scale of the lattice against the root mean square length of a unit vector's block.
@@ -164,8 +164,9 @@ def vector_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     links = seen.groupBy("vec_id").agg(F.sum("links").alias("links"))
     of = components(seen.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), "vec-components")
     ids = ids.join(links, "vec_id", "left").join(of, ids["vec_id"] == of["node"], "left")
-    ids = ids.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    linked = rows.where("fine").select("vec_id", "h1", "h2").join(ids, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    ids = ids.select("h1", "h2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    fine = rows.where("fine").select("vec_id", "h1", "h2")
+    linked = hot_join(fine, ids, ["h1", "h2"], "copies", fine.count()).select("vec_id", "n_links", "component_id")
     alone = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
