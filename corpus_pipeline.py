@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, materialise
+from tessera.llm.common import fresh, materialise, without
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.language_id import held_out, identify, train
 from tessera.llm.near_dedup import near_dedup
@@ -35,13 +35,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that a dedup operator keeps.
-
-    What goes is listed, not what stays: the join's other side is small, and a null id, which equals nothing, stays.
-    """
-    name = fresh(docs, "gone_id")
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    """The rows of ``docs`` that a dedup operator keeps. What goes is listed, not what stays: that list is short, and null ids stay."""
+    return without(docs, materialise(judged.where(~F.col("kept")).select("doc_id"), "gone"))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
