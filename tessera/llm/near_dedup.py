@@ -144,7 +144,7 @@ def _compare(similar: float, size: int):
 
 
 def _texts_of(met: DataFrame, rows: DataFrame) -> DataFrame:
-    """The texts of the documents in ``met``, by a bit set of their ids' slots: 65,536 rows at most are broadcast, and no text is shuffled."""
+    """The texts of the documents in ``met``, by a bit set of their ids' slots: 65,536 rows at most are broadcast, and other texts never move."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 22))
     used = words_of_bits(met.select(slot.alias("slot")), "slot")
     marked = rows.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(used), "word")
@@ -163,7 +163,8 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     are candidates (a pair at 0.8 is missed with a probability of 6e-5). All texts of a
     bucket are compared in full, on their whole multisets; only a spanning forest of a bucket's links leaves its
     task, so no list of pairs is made. Buckets that hold the same texts are one, and a large bucket is cut into
-    blocks of about BLOCK texts or BLOCK_SHINGLES shingles, each two of which are a task.
+    blocks of about BLOCK texts or BLOCK_SHINGLES shingles, each two of which are a task: g different texts in one
+    bucket are copied g / BLOCK times each.
 
     Null text counts as empty; texts without words are alone in their class. Null ids are
     in no class (class_id null, kept). Ids should be unique: rows that repeat an id and its text share
@@ -177,13 +178,14 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     reps = named.groupBy("norm").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     first = named.join(reps, (named["norm"] == reps["norm"]) & (named["doc_id"] == reps["rep"]), "left_semi")
     banded = first.select("doc_id", "n", F.explode("bands").alias("key"))
-    full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # written, not only joined: with a plain scan on that side adaptive execution can split a hot bucket's rows
+    full = materialise(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-full")
     met = materialise(banded.join(full, "key", "left_semi").select("key", "doc_id", "n"), "near-buckets")
 
     h = F.xxhash64("doc_id")
     buckets = met.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("y"))
     buckets = buckets.groupBy("c", "s", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same documents are one
-    buckets = buckets.select("key", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    buckets = materialise(buckets.select("key", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "near-cut")
     met = met.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = materialise(met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id"), "near-met")
