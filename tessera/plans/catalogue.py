@@ -15,6 +15,7 @@ from tessera.operators.windows import running_sum, sessions, top_k
 from tessera.sources.files import load, save
 from tessera.sources.scratch import scratch
 from tessera.sources.tables import table
+from tessera.sources.workers import importable
 from tessera.streaming.events import deduplicated, events_stream, run_once, tumbling_counts, user_totals
 
 QUERIES, ORACLES = {}, {}
@@ -157,6 +158,7 @@ def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sum_of_digits, count(*) AS n FROM (SELECT CAST(list_sum(list_transform(string_split(CAST(p_partkey AS VARCHAR), ''), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS sum_of_digits FROM part) GROUP BY sum_of_digits")
 def vectorized_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user-defined function in Arrow batches."""
+    importable(spark)
     return table(spark, sf_dir, "part").groupBy(digit_sum("p_partkey").alias("sum_of_digits")).agg(F.count("*").alias("n"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.sources.scratch import scratch
 from tessera.sources.tables import table
+from tessera.sources.workers import importable
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +54,5 @@ def user_totals(events: DataFrame) -> DataFrame:
         state.update((n, most))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "most": [most]})
 
+    importable(events.sparkSession)
     return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, most double", "n long, most double", "update", GroupStateTimeout.NoTimeout)
