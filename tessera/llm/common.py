@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.workers import importable
+
 
 @functools.cache
 def _own_dir() -> str:
@@ -45,8 +47,10 @@ def fresh(df: DataFrame, name: str) -> str:
 def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 4) -> None:
     """From now on this session hands Python workers batches of at most so many rows and MB (or one row).
 
-    Long texts then cost a worker a few dozen MB at a time instead of 10,000 rows' worth.
+    Long texts then cost a worker a few dozen MB at a time instead of 10,000 rows' worth. Workers also get this
+    package's place on their path.
     """
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
 
