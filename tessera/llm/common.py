@@ -107,6 +107,8 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60)
     loops = e.where("u = v").select("u").distinct()
     e = e.where("u <> v")
     total, was = e.count(), None
+    if not total:
+        return loops.select(F.col("u").alias("node"), F.col("u").alias("component"))
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
