@@ -6,7 +6,7 @@ import functools
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .text import slices, words
 
-TAG = re.compile(r"<!--|<(?:/?[a-zA-Z][^\s>/]*)(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*>|<[!?/][^>]*>")
+TAG = re.compile(r"<!--|<(?:/?[a-zA-Z][^\s>/]*)(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+>|<[!?/][^>]*>")
 NAME = re.compile(r"</?([a-zA-Z][^\s>/]*)")
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
@@ -30,6 +30,8 @@ SECTIONS = frozenset("address article aside blockquote div dl fieldset figure fo
 
 #: Buckets of the tag path and of the words, other numbers of a block, hidden units of each direction.
 PATHS, WORDS, REST, HIDDEN = 96, 32, 6, 24
+#: Innermost open elements that make a block's path.
+DEEPEST = 64
 #: Blocks that one call of the network handles at a time.
 AT_ONCE = 1 << 14
 
@@ -44,7 +46,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int, int]]:
     out: list[tuple[str, tuple[str, ...], int, int]] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    path: tuple[str, ...] = ()
+    held: Counter[str] = Counter()  # open elements by name
     linked = tags = at = depth = 0
 
     def flush() -> None:
@@ -52,7 +54,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, path, linked, tags))
+                out.append((text, tuple(x for _, x in stack[-DEEPEST:]), linked, tags))
             parts.clear()
         linked = tags = 0
 
@@ -88,23 +90,22 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int, int]]:
             if name in VOID:
                 continue
             close = CLOSES.get(name)
-            if close and stack and stack[-1][0] in close:
-                stack.pop()
-            elif name in SECTIONS and stack and stack[-1][0] == "p":
-                stack.pop()
+            if stack and (stack[-1][0] in close if close else name in SECTIONS and stack[-1][0] == "p"):
+                held[stack.pop()[0]] -= 1
             marks = {w for g in MARK.findall(tag) for w in PART.findall(" ".join(g).lower())} if "=" in tag else ()
             stack.append((name, " ".join([name, *sorted(marks)])))
+            held[name] += 1
         elif name in INLINE:
             depth = 0 if name == "a" else depth
             continue
         else:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while held[name]:
+                last = stack.pop()[0]
+                held[last] -= 1
+                if last == name:
                     break
         depth = 0
-        path = tuple(x for _, x in stack)
     flush()
     return out
 

@@ -21,6 +21,7 @@ def test_blocks():
     assert blocks("just text")[0][0] == "just text"
     assert [t for t, *_ in blocks("</p></div>a</x>b<p")] == ["a", "b<p"]
     assert blocks("<a href=x>all</a>")[0][2] == 3
+    assert len(blocks("<div>" * 30_000 + "x" + "</p>" * 30_000 + "<p " * 30_000 + "<a href='" * 20_000)) == 2  # linear in depth
 
 
 def test_gradients():
