@@ -25,6 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
 
 
+#: What this process has written to the shared folder and not yet cleared.
+_WRITTEN: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the tables that ``materialise`` has written, and tells how many. Call it when all results that read them are stored."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lineage ends here.
 
@@ -33,6 +46,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

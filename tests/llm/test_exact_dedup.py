@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+from tessera.llm.common import clear_scratch
 from tessera.llm.exact_dedup import exact_dedup
 
 
@@ -29,5 +30,10 @@ def test_equal_lengths_and_prefixes_are_told_apart(documents):
     assert all(r.text_sha256 is None for r in got if r.doc_id == 100)  # its content was never read in full
 
 
+def test_scratch_is_cleared(spark, documents):
+    exact_dedup(documents([(1, "a"), (2, "a")])).collect()
+    assert clear_scratch(spark) >= 2 and clear_scratch(spark) == 0
+
+
 def test_empty(documents):
     assert exact_dedup(documents([])).count() == 0
