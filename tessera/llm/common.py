@@ -95,15 +95,15 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", slots: int
     return marked.where(~hit).select(*names).unionByName(maybe)
 
 
-def hot_join(left: DataFrame, groups: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
-    """Inner join of ``left`` with ``groups``, which has each key once and in ``count`` how many of the ``total`` rows of ``left`` have it.
+def hot_join(left: DataFrame, groups: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of ``left`` with ``groups``, which has each key once and in ``count`` how many of the ``total`` rows of ``left`` have it.
 
     Keys with over a thousandth of all rows, a thousand at most, are broadcast; so no hot key meets in one task.
     """
     more = [c for c in groups.columns if c not in on]
     hot = groups.where(F.col(count) * 1000 > total).withColumn("_hot", F.lit(True))
     marked = left.join(F.broadcast(hot), on, "left").select(*left.columns, "_hot", *[F.col(c).alias(f"_hot_{c}") for c in more])
-    rest = marked.where("_hot is null").select(*left.columns).join(groups, on)
+    rest = marked.where("_hot is null").select(*left.columns).join(groups, on, how)
     return rest.select(*left.columns, *more).union(marked.where("_hot").select(*left.columns, *[f"_hot_{c}" for c in more]))
 
 

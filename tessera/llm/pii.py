@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, small_batches, words_of_bits
+from .common import fresh, hot_join, materialise, small_batches, words_of_bits
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kind of the spans that contexts find.
@@ -128,9 +128,9 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen += [{"start": s, "end": e, "seed": False, "instance": text[s:e], "patterns": contexts(text, s, e)} for s, e in candidates(text, base)]
             n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
             spans = joined(base)
-            out.append((doc_id, (part << 40) + row, *n, hashlib.sha256(spans.encode()).hexdigest(), spans, seen))
+            out.append((doc_id, (part << 40) + row, hashlib.sha256(text.encode()).hexdigest(), *n, hashlib.sha256(spans.encode()).hexdigest(), spans, seen))
             row += 1
-        yield pd.DataFrame(out, columns=["doc_id", "row", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "seen"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(out, columns=["doc_id", "row", "text_sha256", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "seen"]).astype({"doc_id": "Int64"})
 
 
 def discovered(found: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, pattern: float = PATTERN, instance: float = INSTANCE) -> DataFrame:
@@ -156,23 +156,28 @@ def discovered(found: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT
     return seen.where("not seed").select("row", "start", "end", "instance").join(sure, "instance", "left_semi").select("row", "start", "end")
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, spans, n_id), one row for each row.
-
-    ``base`` are the spans of the fixed patterns, ``spans`` those and the discovered ones (kind
-    ``id``, last), as kind:start:end in code points, end exclusive. Null text counts as empty, null ids are kept, repeated
-    rows give repeated results, other columns are not read, an empty table gives an empty result.
-    """
+def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What ``find`` gives, and ``text_sha256``: rows of equal texts have equal spans, whatever their ids."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = ", ".join(f"n_{k} long" for k in KINDS)
     seen = "seen array<struct<start: int, end: int, seed: boolean, instance: string, patterns: array<string>>>"
-    found = materialise(rows.mapInPandas(_find, f"doc_id long, row long, {n}, base_sha256 string, base string, {seen}"), "pii-found")
+    found = materialise(rows.mapInPandas(_find, f"doc_id long, row long, text_sha256 string, {n}, base_sha256 string, base string, {seen}"), "pii-found")
     more = discovered(found).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("more"))
     text = F.transform("more", lambda s: F.concat_ws(":", F.lit(FOUND), s["start"].cast("string"), s["end"].cast("string")))
     out = found.drop("seen").join(more, "row", "left")
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(text, ","))
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", F.coalesce(spans, F.lit("")).alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_id"))
+    return out.select("doc_id", "text_sha256", *[f"n_{k}" for k in KINDS], "base_sha256", "base", F.coalesce(spans, F.lit("")).alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_id"))
+
+
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, spans, n_id), one row for each row.
+
+    ``base`` are the spans of the fixed patterns, ``spans`` those and the discovered ones (kind
+    ``id``, last), as kind:start:end in code points, end exclusive. Null text counts as empty, null ids are kept, repeated
+    rows give repeated results, other columns are not read, an empty table gives an empty result.
+    """
+    return _spans(docs, id_col, text_col).drop("text_sha256")
 
 
 def masked(text: str, spans: str) -> str:
@@ -190,26 +195,29 @@ def masked(text: str, spans: str) -> str:
 def mask(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all spans that ``find`` gives masked in the text; texts without any, and all other columns, as they were.
 
-    Only texts with spans are shuffled to meet them: a bit set of fixed size tells which.
-    A null text stays null. Rows that repeat an id are masked by their own text's base spans and
-    by the spans of all rows with that id only if their texts are equal.
+    Spans meet their rows by the hash of the text, not by id: null ids, repeated ids and ids on several texts are all
+    masked by their own text. Only texts with spans are shuffled to meet them: a bit set of fixed size tells which; texts
+    that make up over a thousandth of those rows meet theirs by broadcast. A null text stays null.
     """
 
     @F.pandas_udf("string")
     def cover(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([masked(t, s) for t, s in zip(texts, spans, strict=True)])
 
-    found = find(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    hits = materialise(found.where("spans <> '' and doc_id is not null").groupBy("doc_id").agg(F.max("spans").alias("spans")), "pii-hits")
-    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << 22))
-    bits = words_of_bits(hits.select(slot("doc_id").alias("slot")), "slot")
+    found = _spans(docs, id_col, text_col)
     names = docs.columns
-    at, word, bit, key, spans = (fresh(docs, f"_pii_{x}") for x in ("slot", "word", "bits", "id", "spans"))
+    at, word, bit, key, spans, count = (fresh(docs, f"_pii_{x}") for x in ("slot", "word", "bits", "sha", "spans", "count"))
+    hits = found.where("spans <> ''").groupBy(F.col("text_sha256").alias(key)).agg(F.max("spans").alias(spans), F.count("*").alias(count))
+    hits = materialise(hits, "pii-hits")
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << 22))
+    bits = words_of_bits(hits.select(slot.alias("slot")), "slot")
     bits = bits.select(F.col("word").alias(word), F.col("mask").alias(bit))
-    marked = docs.withColumn(at, slot(id_col)).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(bits), word, "left")
+    keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    marked = keyed.withColumn(at, slot).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(bits), word, "left")
     hit = F.expr(f"coalesce({bit}, 0L) & shiftleft(1L, cast({at} & 63 as int))") != 0
-    clean = marked.where(~F.coalesce(hit, F.lit(False))).select(*names)
-    dirty = marked.where(hit).select(*names).join(hits.select(F.col("doc_id").alias(key), F.col("spans").alias(spans)), F.col(id_col) == F.col(key), "left")
+    clean = marked.where(~hit).select(*names)
+    total = hits.agg(F.sum(count)).first()[0] or 0
+    dirty = hot_join(marked.where(hit).select(*names, key), hits, [key], count, total, "left")
     text = F.when(F.col(spans).isNotNull() & F.col(text_col).isNotNull(), cover(F.coalesce(F.col(text_col), F.lit("")), F.coalesce(spans, F.lit("")))).otherwise(F.col(text_col))
     return clean.unionByName(dirty.withColumn(text_col, text).select(*names))
 

@@ -81,6 +81,15 @@ def test_masking_changes_spans_only(documents, odd):
     assert all(r.word == "x" and r.mask == "x" for r in got)
 
 
+def test_masking_is_by_text_not_by_id(documents):
+    """Null ids, ids on several texts and repeated rows are masked by their own spans, found contexts included."""
+    rows = [*corpus(), (None, "x@y.zz"), (None, "call +1 555 555 1234 now"), (None, None), (None, "please write to KEY120XZ77 today or not")]
+    rows += [(500, "to a@b.co"), (500, "all of this is clean"), (500, "from 1.2.3.4, a longer text"), (501, "c@d.ee"), (501, "c@d.ee")]
+    got = sorted(((r.doc_id, r.text) for r in mask(documents(rows)).collect()), key=str)
+    want = [(i, t and ("please write to [ID] today or not" if "KEY" in t else masked(t, joined(brute(t))))) for i, t in rows]
+    assert got == sorted(want, key=str) and (None, "[EMAIL]") in got and (500, "to [EMAIL]") in got and (500, "all of this is clean") in got
+
+
 def test_masked():
     assert masked("0123456789", "a:1:3,b:2:5,c:7:8") == "0[A]56[C]89"
     assert masked("abc", "") == "abc"
