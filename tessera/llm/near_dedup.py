@@ -86,7 +86,7 @@ def _signed(bands: int, rows: int, size: int):
                 keys = band_keys(sig, bands, rows)
                 n = np.bincount(owner, minlength=len(some))
                 norm = [hashlib.blake2b(word[a:b].tobytes(), digest_size=16).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].to_numpy(), "norm": norm, "n": n, "bands": list(keys)})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].to_numpy(), "text_hash": batch["text_hash"].iloc[part].to_numpy(), "norm": norm, "n": n, "bands": list(keys)})
 
     return run
 
@@ -144,11 +144,14 @@ def _compare(similar: float, size: int):
 
 
 def _texts_of(met: DataFrame, rows: DataFrame) -> DataFrame:
-    """The texts of the documents in ``met``, by a bit set of their ids' slots: 65,536 rows at most are broadcast, and other texts never move."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 22))
+    """The texts of the documents in ``met``, each once, by a bit set of their slots: 65,536 rows at most are broadcast, and other texts never move.
+
+    Rows that repeat an id and its text become one before the shuffle, as far as they are in one partition.
+    """
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 22))
     used = words_of_bits(met.select(slot.alias("slot")), "slot")
     marked = rows.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(used), "word")
-    return marked.where("(mask & shiftleft(1L, cast(slot & 63 as int))) <> 0").select("doc_id", "text")
+    return marked.where("(mask & shiftleft(1L, cast(slot & 63 as int))) <> 0").groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"))
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -167,29 +170,31 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     bucket are copied g / BLOCK times each.
 
     Null text counts as empty; texts without words are alone in their class. Null ids are
-    in no class (class_id null, kept). Ids should be unique: rows that repeat an id and its text share
-    their fate. Other columns are not read. An empty table gives an empty result.
+    in no class (class_id null, kept). Ids should be unique: rows that repeat an id and its text enter
+    as one and share their fate. Other columns are not read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = rows_in.mapInPandas(_signed(bands, rows, size), "doc_id long, norm string, n long, bands array<long>")
+    rows_in = rows_in.withColumn("text_hash", F.xxhash64("text"))
+    signed = rows_in.mapInPandas(_signed(bands, rows, size), "doc_id long, text_hash long, norm string, n long, bands array<long>")
     signed = materialise(signed, "near-signed")
     named = signed.where("n > 0 and doc_id is not null")
     reps = named.groupBy("norm").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    first = named.join(reps, (named["norm"] == reps["norm"]) & (named["doc_id"] == reps["rep"]), "left_semi")
-    banded = first.select("doc_id", "n", F.explode("bands").alias("key"))
+    # one row for each norm, however often a row is repeated; combined before the shuffle
+    first = named.groupBy("norm").agg(F.min(F.struct("doc_id", "text_hash", "n", "bands")).alias("r"))
+    banded = first.select("r.doc_id", "r.text_hash", "r.n", F.explode("r.bands").alias("key"))
     # written, not only joined: with a plain scan on that side adaptive execution can split a hot bucket's rows
     full = materialise(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-full")
-    met = materialise(banded.join(full, "key", "left_semi").select("key", "doc_id", "n"), "near-buckets")
+    met = materialise(banded.join(full, "key", "left_semi").select("key", "doc_id", "text_hash", "n"), "near-buckets")
 
-    h = F.xxhash64("doc_id")
+    h = F.xxhash64("doc_id", "text_hash")
     buckets = met.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("y"))
     buckets = buckets.groupBy("c", "s", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same documents are one
     buckets = materialise(buckets.select("key", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "near-cut")
-    met = met.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
+    met = met.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash", "key"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = materialise(met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id"), "near-met")
-    texts = met.join(_texts_of(met, rows_in), "doc_id")
+    met = materialise(met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "text_hash"), "near-met")
+    texts = met.join(_texts_of(met, rows_in), ["doc_id", "text_hash"])
     links = texts.groupBy("key", "i", "j").applyInPandas(_compare(similar, size), "a long, b long")
     links = materialise(links.distinct(), "near-links")
 

@@ -107,6 +107,16 @@ def test_a_large_bucket_is_cut_into_blocks(documents):
     assert {x.class_id for x in got} == {0}
 
 
+def test_a_row_repeated_a_thousand_times_is_compared_once(documents):
+    r = random.Random(10)
+    base = [r.choice(VOCABULARY) for _ in range(100)]
+    near, other = " ".join([*base[:-1], "changed"]), " ".join(r.choice(VOCABULARY) for _ in range(100))
+    rows = [(5, " ".join(base))] * 1000 + [(5, other), (6, near), (7, other)]
+    got = near_dedup(documents(rows)).collect()
+    assert len(got) == 1003 and {x.class_id for x in got} == {5}
+    assert sum(x.kept for x in got) == 1001 and all(x.kept == (x.doc_id == 5) for x in got)
+
+
 def test_overlaps_of_repeated_shingles():
     texts = ["a " * 50, "a " * 45, "a " * 30 + "b " * 30, "", "b a", "B, a", "c " * 7 + "a " * 44]
     got = overlaps(texts)
