@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -19,8 +20,12 @@ from .common import materialise, small_batches
 CAPACITY, END = 1024, 2
 #: The one string that the vocabulary treats as special, and texts so long that only the reference tokenizer encodes them.
 SPECIAL, LONG = "<|endoftext|>", 1 << 20
-#: Pattern choices that the branch-and-bound may try, fillings that it compares at each, items in an enumerated filling.
-NODES, FILLINGS, ITEMS = 1000, 6, 3
+#: Steps that backtracking has besides the two greedy dives: at least, and for each length that occurs.
+NODES, NODES_EACH = 1000, 1
+#: Fillings that a step compares, items in an enumerated filling, tokens that it may leave over.
+FILLINGS, ITEMS, WASTE = 6, 3, 48
+
+log = logging.getLogger(__name__)
 
 
 @functools.cache
@@ -124,11 +129,13 @@ def fillings(counts: np.ndarray, room: int, waste: int) -> list[list[int]]:
         fits = (b <= a) & (counts[b] > (a == b))
         found += [[int(x), int(total - x)] for x in a[fits][::-1][:FILLINGS]]
         if not fits.any() and ITEMS > 2:
-            for x in sizes[sizes < total][::-1][:64]:
-                rest = sizes[(sizes <= x) & (sizes < total - x)]
-                c = total - x - rest
-                ok = (c <= rest) & (counts[c] > 0)
-                trio = [[int(x), int(y), int(total - x - y)] for y in rest[ok][::-1][:2]]
+            most = sizes[sizes < total][::-1][:64, None]
+            c = total - most - sizes
+            ok = (sizes <= most) & (c > 0) & (c <= sizes)
+            ok &= counts[np.where(ok, c, 0)] > 0
+            for k in np.flatnonzero(ok.any(axis=1)):
+                x = most[k, 0]
+                trio = [[int(x), int(y), int(total - x - y)] for y in sizes[ok[k]][::-1][:2]]
                 found += [t for t in trio if all(counts[s] >= t.count(s) for s in t)][:1]
                 if len(found) > FILLINGS:
                     break
@@ -138,27 +145,45 @@ def fillings(counts: np.ndarray, room: int, waste: int) -> list[list[int]]:
 
 
 def complete_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Patterns (sizes, times) that pack ``counts`` pieces of each size, found by bin completion.
+    """Patterns (sizes, times) that pack ``counts`` pieces of each size, found by bin completion; logs how far ``search`` came."""
+    patterns, report = search(counts, capacity)
+    told = log.warning if report["open"] and report["gap"] else log.info
+    told("packing: %(bins)d sequences, %(gap)d over the lower bound (greedy dives: %(greedy)d sequences); %(branches)d branches searched in %(steps)d steps, %(open)d left", report)
+    return patterns
+
+
+def search(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[list[int], int]], dict[str, int]]:
+    """(patterns, report) of the branch-and-bound.
 
     Each step takes the largest size left, fills around it with an undominated filling and
     repeats that as often as the counts allow, so that the work depends on the number of
     different sizes, not of pieces. Depth first; the first dive, always with the fullest
     filling, and a plain best fit are the first incumbents. A branch is cut if its waste so far
-    leaves it no better than the incumbent; the search ends at the lower bound or after NODES steps.
+    leaves it no better than the incumbent. The search ends at the lower bound, when no branch is left, or when backtracking has
+    taken NODES steps or NODES_EACH for each size that occurs, whichever is more; the dives don't count, and a branch begun is followed to its end.
+    No branch is dropped from the stack, which only holds siblings of the current path. A step does not branch over
+    more than FILLINGS fillings, enumerated ones of over ITEMS items or over WASTE left over, nor over fewer repeats of one, so an
+    empty stack proves the optimum among these only.
+
+    ``report``: bins, greedy (bins after the dives), gap (to the lower bound), branches (searched after the dives),
+    steps (of them), open (branches on the stack at the end).
     """
     counts = counts.astype(np.int64).copy()
     counts[0] = 0
     bound, total = lower_bound(counts, capacity), int((counts * np.arange(len(counts))).sum())
-    best: list[tuple[list[int], int]] = []
-    best_bins, nodes = np.inf, 0
+    budget = max(NODES, NODES_EACH * int((counts > 0).sum()))
+    best, best_bins, nodes = None, np.inf, 0
+    stack: list[tuple] = []
 
-    def steps(left: np.ndarray, chosen: list[int], size: int) -> int:
+    def apply(left, path, chosen, size, bins, waste):
         items = [size, *chosen]
-        return int(min(left[s] // items.count(s) for s in set(items)))
-
-    stack: list[tuple[np.ndarray, list, int, int]] = []
+        n = max(1, int(min(left[s] // items.count(s) for s in set(items))))
+        left = left.copy()
+        for s in items:
+            left[s] -= n
+        return left, (items, n, path), bins + n, waste + n * (capacity - sum(items))
 
-    def dive(left: np.ndarray, path: list, bins: int, waste: int, plain: bool) -> None:
+    def dive(left: np.ndarray, path: tuple | None, bins: int, waste: int, plain: bool) -> None:
         """One descent from here; alternatives go to the stack."""
         nonlocal best, best_bins, nodes
         while len(at := np.flatnonzero(left)):
@@ -168,32 +193,27 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[li
             nodes += 1
             size = int(at[-1])
             left[size] -= 1
-            options = [best_fit(left, capacity - size)] if plain else fillings(left, capacity - size, 48)
+            options = [best_fit(left, capacity - size)] if plain else fillings(left, capacity - size, WASTE)
             left[size] += 1
-            for other in options[:0:-1]:
-                if len(stack) < NODES:
-                    stack.append((left.copy(), [*path, (other, size)], bins, waste))
-            left, bins, waste = apply(left, path, options[0], size, bins, waste)
+            stack.extend((left, path, other, size, bins, waste) for other in options[:0:-1])
+            left, path, bins, waste = apply(left, path, options[0], size, bins, waste)
         if bins < best_bins:
-            best, best_bins = [p for p in path if len(p) == 2 and isinstance(p[1], tuple)], bins
-
-    def apply(left, path, chosen, size, bins, waste):
-        n = max(1, steps(left, chosen, size))
-        items = [size, *chosen]
-        left = left.copy()
-        for s in items:
-            left[s] -= n
-        path.append((items, (n,)))
-        return left, bins + n, waste + n * (capacity - sum(items))
-
-    dive(counts, [], 0, 0, True)
-    dive(counts, [], 0, 0, False)
-    while stack and nodes < NODES and best_bins > bound:
-        left, path, bins, waste = stack.pop()
-        chosen, size = path.pop()
-        left, bins, waste = apply(left, path, chosen, size, bins, waste)
-        dive(left, path, bins, waste, False)
-    return [(items, n[0]) for items, n in best]
+            best, best_bins = path, bins
+
+    dive(counts, None, 0, 0, True)
+    dive(counts, None, 0, 0, False)
+    greedy, nodes, branches = best_bins, 0, 0
+    while stack and nodes < budget and best_bins > bound:
+        left, path, chosen, size, bins, waste = stack.pop()
+        if waste > (best_bins - 1) * capacity - total:
+            continue
+        branches += 1
+        dive(*apply(left, path, chosen, size, bins, waste), False)
+    patterns = []
+    while best:
+        items, n, best = best
+        patterns.append((items, n))
+    return patterns[::-1], {"bins": int(best_bins), "greedy": int(greedy), "gap": int(best_bins) - bound, "branches": branches, "steps": nodes, "open": len(stack)}
 
 
 def intervals(patterns: list[tuple[list[int], int]]) -> pd.DataFrame:

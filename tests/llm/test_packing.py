@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import complete_bins, encode, fillings, intervals, lower_bound, pack, pieces_of
+from tessera.llm.packing import NODES, complete_bins, encode, fillings, intervals, lower_bound, pack, pieces_of
 
 
 @pytest.fixture(scope="module")
@@ -89,6 +89,21 @@ def test_near_the_bound_on_large_counts():
     assert complete_bins(np.zeros(1025, int)) == []
 
 
+def test_backtracking_has_steps_of_its_own(caplog):
+    """So many lengths occur that the dives alone take over a thousand steps; what was searched and the gap are logged."""
+    rng = np.random.default_rng(4)
+    counts = np.bincount(np.clip(rng.lognormal(5.5, 1, 100_000), 1, 1024).astype(int), minlength=1025)
+    with caplog.at_level("INFO"):
+        patterns = complete_bins(counts)
+    report = caplog.records[-1].args
+    assert report["bins"] == sum(n for _, n in patterns) == lower_bound(counts) + report["gap"]
+    assert report["gap"] == 0 or report["branches"] > 0 and report["steps"] >= NODES
+    used = np.zeros(1025, int)
+    for items, n in patterns:
+        np.add.at(used, items, n)
+    assert (used == counts).all()
+
+
 def test_fillings_are_undominated():
     counts = np.bincount([10, 20, 30, 40, 40], minlength=101)
     assert fillings(counts, 40, 100)[0] == [40]
