@@ -16,3 +16,19 @@ def digit_sum(numbers: pd.Series) -> pd.Series:
         out += rest % 10
         rest = rest // 10
     return pd.Series(out)
+
+
+@F.pandas_udf(T.DoubleType())
+def spread(values: pd.Series) -> float:
+    """Largest less smallest value of a group: a grouped aggregate in Arrow batches. A group is one task's; for unbounded groups take built-in aggregates."""
+    return float(values.max() - values.min())
+
+
+@F.udtf(returnType="place: int, digit: int")
+class Digits:
+    """A table function: one row for each decimal digit of a whole number, from the left."""
+
+    def eval(self, number: int):
+        if number is not None:
+            for place, digit in enumerate(str(abs(number))):
+                yield place, int(digit)

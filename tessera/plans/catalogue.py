@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.functions.vectorized import digit_sum
+from tessera.functions.vectorized import Digits, digit_sum, spread
 from tessera.operators.joins import as_of_join, range_join, salted_join, small_side
+from tessera.operators.quantiles import exact_quantiles as quantiles
 from tessera.operators.windows import running_sum, sessions, top_k
 from tessera.sources.files import load, save
 from tessera.sources.scratch import scratch
 from tessera.sources.tables import table
 from tessera.sources.workers import importable
-from tessera.streaming.events import deduplicated, events_stream, run_once, tumbling_counts, user_totals
+from tessera.streaming.events import deduplicated, events_stream, run_once, sliding_counts, tumbling_counts, user_sessions, user_totals
 
 QUERIES, ORACLES = {}, {}
 
@@ -51,9 +52,9 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(F.expr(REVENUE)), 2).alias("sum_disc"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, upper(p_brand) AS brand, round(p_retailprice * 1.1, 2) AS with_tax, p_size BETWEEN 10 AND 20 AS middle FROM part WHERE p_type IN ('PROMO', 'SMALL') AND p_retailprice > 1000 AND NOT p_brand LIKE '%1'")
+@query("SELECT p_partkey, upper(p_brand) AS brand, round(p_retailprice * 1.1, 2) AS with_tax, p_size BETWEEN 10 AND 20 AS middle FROM part WHERE p_type IN ('PROMO', 'SMALL') AND p_retailprice > 700 AND NOT p_brand LIKE '%1'")
 def projection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").where(F.col("p_type").isin("PROMO", "SMALL") & (F.col("p_retailprice") > 1000) & ~F.col("p_brand").like("%1"))
+    rows = table(spark, sf_dir, "part").where(F.col("p_type").isin("PROMO", "SMALL") & (F.col("p_retailprice") > 700) & ~F.col("p_brand").like("%1"))
     return rows.select("p_partkey", F.upper("p_brand").alias("brand"), F.round(F.col("p_retailprice") * 1.1, 2).alias("with_tax"), F.col("p_size").between(10, 20).alias("middle"))
 
 
@@ -152,7 +153,11 @@ def approximate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, round(median(l_extendedprice), 4) AS median_price, round(quantile_cont(l_quantity, 0.9), 4) AS p90, round(stddev_samp(l_discount), 8) AS spread FROM lineitem GROUP BY l_returnflag")
 def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 4).alias("median_price"), F.round(F.percentile("l_quantity", F.lit(0.9)), 4).alias("p90"), F.round(F.stddev_samp("l_discount"), 8).alias("spread"))
+    """Quantiles by counting in ranges: no task holds a group's values."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity", "l_discount")
+    found = quantiles(rows, "l_returnflag", {"median_price": ("l_extendedprice", 0.5), "p90": ("l_quantity", 0.9)})
+    spreads = rows.groupBy("l_returnflag").agg(F.round(F.stddev_samp("l_discount"), 8).alias("spread"))
+    return found.join(spreads, "l_returnflag").select("l_returnflag", F.round("median_price", 4).alias("median_price"), F.round("p90", 4).alias("p90"), "spread")
 
 
 @query("SELECT sum_of_digits, count(*) AS n FROM (SELECT CAST(list_sum(list_transform(string_split(CAST(p_partkey AS VARCHAR), ''), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS sum_of_digits FROM part) GROUP BY sum_of_digits")
@@ -250,12 +255,12 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(F.abs(b), 2).alias("size"), F.signum(b).cast("int").alias("side"), F.floor(b).alias("low"), F.round(F.sqrt(F.abs(b)), 6).alias("root"), (k % 7).alias("rest"), F.round(F.log(F.abs(b) + 1), 6).alias("log"), F.greatest(k, F.lit(100).cast("long")).alias("most"), F.round(F.try_divide(b, k), 4).alias("each"))
 
 
-@query("SELECT o_custkey, count(*) AS n, list_sum(list_transform(l, lambda x: x * 2))::BIGINT AS doubled, l[1] AS first_key, list_contains(l, 7) AS has_seven, len(list_filter(l, lambda x: x % 2 = 0)) AS even FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey) GROUP BY o_custkey, l")
+@query("SELECT o_custkey, len(l) AS n, list_sum(list_transform(l, lambda x: x * 2))::BIGINT AS doubled, l[1] AS first_key, list_contains(l, 7) AS has_seven, len(list_filter(l, lambda x: x % 2 = 0)) AS even FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey)")
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table behind this has some ten orders a customer, so lists stay small."""
     lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("l"))
     doubled = F.aggregate(F.transform("l", lambda x: x * 2), F.lit(0).cast("long"), lambda a, x: a + x)
-    return lists.select("o_custkey", F.lit(1).cast("long").alias("n"), doubled.alias("doubled"), F.col("l")[0].alias("first_key"), F.array_contains("l", F.lit(7).cast("long")).alias("has_seven"), F.size(F.filter("l", lambda x: x % 2 == 0)).cast("long").alias("even"))
+    return lists.select("o_custkey", F.size("l").cast("long").alias("n"), doubled.alias("doubled"), F.col("l")[0].alias("first_key"), F.array_contains("l", F.lit(7).cast("long")).alias("has_seven"), F.size(F.filter("l", lambda x: x % 2 == 0)).cast("long").alias("even"))
 
 
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -264,6 +269,44 @@ def json_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_type(props, '$.k') AS kind, json_extract(props, '$.none') IS NULL AS absent FROM events")
+def variant_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.parse_json("props")
+    kind = F.when(F.schema_of_variant(F.variant_get(v, "$.k", "variant")) == "BIGINT", "UBIGINT")
+    return table(spark, sf_dir, "events").select("event_id", F.variant_get(v, "$.k", "bigint").alias("k"), kind.alias("kind"), F.variant_get(v, "$.none", "variant").isNull().alias("absent"))
+
+
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, count(*) AS kinds, CAST(sum(n) AS BIGINT) AS total, coalesce(max(n) FILTER (event_type = 'purchase'), 0) AS purchases, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (n > 10), '') AS frequent FROM c GROUP BY user_id")
+def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of counts by type for each user: five entries at most."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    total = F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x)
+    frequent = F.array_join(F.array_sort(F.map_keys(F.map_filter("m", lambda _, n: n > 10))), ",")
+    return maps.select("user_id", F.size("m").cast("long").alias("kinds"), total.alias("total"), F.coalesce(F.try_element_at("m", F.lit("purchase")), F.lit(0)).cast("long").alias("purchases"), frequent.alias("frequent"))
+
+
+@query("SELECT p_partkey, p_name AS part_name, p_size + 1 AS larger FROM part")
+def xml_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To XML and back, by path and by schema."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.to_xml(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"))).alias("x"))
+    return rows.select("p_partkey", F.xpath_string("x", F.lit("/ROW/name")).alias("part_name"), (F.from_xml("x", "name string, size int")["size"] + 1).alias("larger"))
+
+
+@query("SELECT p_brand, round(max(p_retailprice) - min(p_retailprice), 6) AS price_range FROM part GROUP BY p_brand")
+def grouped_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user-defined aggregate in Arrow batches."""
+    importable(spark)
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(spread("p_retailprice"), 6).alias("price_range"))
+
+
+@query("SELECT s_suppkey, CAST(i AS INTEGER) AS place, CAST(substr(CAST(s_suppkey AS VARCHAR), CAST(i + 1 AS INTEGER), 1) AS INTEGER) AS digit FROM supplier, LATERAL (SELECT unnest(range(length(CAST(s_suppkey AS VARCHAR)))) AS i) t")
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user-defined table function, joined laterally."""
+    importable(spark)
+    return table(spark, sf_dir, "supplier").select("s_suppkey").lateralJoin(Digits(F.col("s_suppkey").outer()))
+
+
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -289,6 +332,23 @@ def stream_tumbling_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(tumbling_counts(events_stream(spark, sf_dir)), "complete", "stream-day")
 
 
+@query("SELECT * FROM (" + ORACLES["tumbling_day"] + ") WHERE day + INTERVAL 25 HOUR <= (SELECT max(ts) FROM events)")
+def stream_closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in append mode: each day once, when the watermark has passed its end; open days are not given."""
+    return run_once(tumbling_counts(events_stream(spark, sf_dir)), "append", "stream-closed")
+
+
+@query(ORACLES["sliding_hours"])
+def stream_sliding_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_once(sliding_counts(events_stream(spark, sf_dir)), "complete", "stream-sliding")
+
+
+@query("SELECT * EXCLUDE (last_ts) FROM (" + ORACLES["session_windows"].replace("round(max(value), 4) AS most", "round(max(value), 4) AS most, max(ts) AS last_ts") + ") WHERE last_ts + INTERVAL 90 MINUTE <= (SELECT max(ts) FROM events)")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that ended over an hour (the watermark) before the last event."""
+    return run_once(user_sessions(events_stream(spark, sf_dir)), "append", "stream-sessions")
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First events of each key, from a watermark that covers all of the stream."""

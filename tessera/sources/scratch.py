@@ -14,6 +14,18 @@ def _own() -> str:
     return tempfile.mkdtemp(prefix="tessera-")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    A session on one machine may leave it unset and gets a folder of its own; on a cluster that is an error,
+    as executors would not see each other's files.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (given or _own()).rstrip("/")
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; only a session without that setting gets a folder of this machine."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or _own()).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"

@@ -15,9 +15,16 @@ from tessera.sources.workers import importable
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, with ``ts`` as a timestamp so that it can carry a watermark."""
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table as a stream, with ``ts`` as a timestamp so that it can carry a watermark.
+
+    ``events.parquet`` may be one file or, as Spark writes large tables, a folder of part files.
+    """
+    schema, path = table(spark, sf_dir, "events").schema, f"{sf_dir}/events.parquet"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        stream = spark.readStream.schema(schema).parquet(path)
+    else:  # a stream reads folders: this one file of the folder that holds it
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -39,6 +46,17 @@ def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
 
 
+def sliding_counts(events: DataFrame, width: str = "2 hours", every: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    counts = events.withWatermark("ts", late).groupBy(F.window("ts", width, every)).agg(F.count("*").alias("n"))
+    return counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+def user_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Each user's sessions; in append mode a session is given once the watermark has passed its end."""
+    found = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.round(F.max("value"), 4).alias("most"))
+    return found.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n", "most")
+
+
 def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """The first event of each key; state goes when the watermark has passed it."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)

@@ -29,6 +29,7 @@ def test_against_sql(spark, duck, name):
     want = duck.execute(catalogue.ORACLES[name])
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
+    assert name == "full_join" or got.limit(1).count(), "no rows: the comparison would prove nothing"
     rows = lambda data: sorted((tuple(same(v) for v in r) for r in data), key=str)
     assert rows(got.select(*[f"`{c}`" for c in columns]).collect()) == rows(want.fetchall())
 
@@ -36,6 +37,8 @@ def test_against_sql(spark, duck, name):
 def test_approximate_counts_are_near(spark, duck):
     want = dict(duck.execute("SELECT l_returnflag, count(DISTINCT l_partkey) FROM lineitem GROUP BY 1").fetchall())
     got = catalogue.QUERIES["approximate_counts"](spark, SMALL).collect()
+    median = dict(duck.execute("SELECT l_returnflag, median(l_extendedprice) FROM lineitem GROUP BY 1").fetchall())
+    assert all(abs(r.median_price - median[r.l_returnflag]) <= 0.01 * median[r.l_returnflag] for r in got)
     assert {r.l_returnflag for r in got} == set(want) and all(abs(r.parts - want[r.l_returnflag]) <= 0.1 * want[r.l_returnflag] for r in got)
 
 

@@ -1,10 +1,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.joins import as_of_join, range_join, salted_join, small_side
+from tessera.operators.quantiles import exact_quantiles
 from tessera.operators.windows import running_sum, sessions, top_k
 from tessera.sources.files import load, save
 from tessera.sources.scratch import scratch
@@ -68,6 +70,26 @@ def test_sessions_and_top_k(spark):
     assert {(x.id, x.rank) for x in top_k(df, 1, ["key"], [F.desc("v")]).collect()} == {(3, 1), (4, 1)}
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 4096])
+def test_exact_quantiles(spark, buckets):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "a", None, "b"]), r.choice([None, 7.0, 7.0, r.uniform(-3, 9)])) for _ in range(200)] + [("c", 1.0), ("d", None), ("e", 2.0), ("e", 2.0)]
+    got = {x.key: (x.m, x.q) for x in exact_quantiles(spark.createDataFrame(rows, "key string, v double"), "key", {"m": ("v", 0.5), "q": ("v", 0.9)}, buckets=buckets).collect()}
+    assert set(got) == {k for k, _ in rows} and got["d"] == (None, None)
+    for key, found in got.items():
+        values = [v for k, v in rows if k == key and v is not None]
+        if values:
+            assert found == pytest.approx(tuple(np.quantile(values, [0.5, 0.9])))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    with pytest.raises(ValueError):
+        scratch(N(conf=N(get=lambda *_: None), sparkContext=N(master="spark://host:7077")), "t")
+    assert scratch(N(conf=N(get=lambda *_: None), sparkContext=N(master="local[4]")), "t").count("/t-") == 1
+
+
 @pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
 def test_files(spark, kind):
     rows = [(1, " a,\"b\" ", START, 1.5), (2, "", START, None), (3, None, None, -0.0)]
