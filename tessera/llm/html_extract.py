@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lower_batches
 from .text import slices, words
 
 TAG = re.compile(r"<!--|<(?:/?[a-zA-Z][^\s>/]*)(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+>|<[!?/][^>]*>")
@@ -388,7 +388,7 @@ def extract(pages: DataFrame, model: Labeller, *, html_col: str = "html") -> Dat
     The whole page is parsed into leaf blocks, and the network labels each one in the context of all others. Null
     html, or a page without text, gives an empty text. Other columns pass through; an empty table gives an empty result.
     """
-    small_batches(pages.sparkSession, rows=500)
+    lower_batches(pages.sparkSession, rows=500)
     shared = pages.sparkSession.sparkContext.broadcast(model)  # the network's weights: some 100 kB
 
     @F.pandas_udf("string")

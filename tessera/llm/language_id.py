@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import col, lower_batches
 from .text import BASE, folded, mixed, slices
 
 #: Buckets of the embedding table, its width, and the subwords' lengths in characters.
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out_col:
     temperature; ``rejected`` texts have no letters or a score below the calibrated threshold.
     An empty table gives an empty result; other columns pass through unread.
     """
-    small_batches(docs.sparkSession)
+    lower_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x LANGUAGES floats at most: 64 MB
 
     @F.pandas_udf("lang string, score double, rejected boolean")
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out_col:
         lang, score, rejected = shared.value.predict(["" if x is None else x for x in texts])
         return pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
 
-    return docs.withColumn(out_col, label(F.col(text_col)))
+    return docs.withColumn(out_col, label(col(text_col)))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -7,10 +7,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, hot_join, materialise, small_batches, words_of_bits
+from .common import by_slots, col, components, hot_join, materialise, small_batches
 from .text import BASE, mixed, shingles, slices
 
 #: Words in a shingle, least weighted Jaccard similarity of a link, bands and signature values in a band.
@@ -40,6 +40,8 @@ def bag_minhash(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: in
     on the element only, and the earliest point of the union is in both bags just if it lies
     below both counts. Points are made in order of time and a process ends
     when it passes its owner's largest value, so large bags cost little more than one point an element.
+    This is the flat variant of the method: the processes of an element's blocks are independent and points above the count
+    are rejected, where the original splits one process down a tree of intervals; the distribution is the same.
     """
     sig = np.full(n * m, np.inf)
     level = np.ceil(np.log2(counts)).astype(np.int64) + 1  # blocks that begin below the count
@@ -143,18 +145,83 @@ def _compare(similar: float, size: int):
     return run
 
 
+def against_first(texts: Sequence[str], size: int = SIZE) -> np.ndarray:
+    """Weighted Jaccard similarity of each text's shingle multiset with that of the first one."""
+    owner, hashes, counts = bag(*shingles(texts, size)[:2])
+    total = np.bincount(owner, counts, len(texts))
+    own, n = hashes[owner == 0], counts[owner == 0]
+    if not len(own):
+        return np.zeros(len(texts))
+    at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+    both = np.bincount(owner, np.where(own[at] == hashes, np.minimum(counts, n[at]), 0), len(texts))
+    return both / np.maximum(total + total[0] - both, 1)
+
+
+def _star(similar: float, size: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """(a, b) for each document of a block that links to the block's hub b, in slices of some MB."""
+        hub, out = int(key[0]), []
+        first = rows["doc_id"].to_numpy() == hub
+        ids, texts, hub_text = rows["doc_id"].to_numpy()[~first], rows["text"].to_numpy()[~first].tolist(), rows["text"].to_numpy()[first][0]
+        for part in slices(texts, 1 << 20):
+            out.append(ids[part][against_first([hub_text, *texts[part]], size)[1:] >= similar])
+        linked = np.concatenate([*out, np.zeros(0, np.int64)]).astype(np.int64)
+        return pd.DataFrame({"a": linked, "b": np.full(len(linked), hub)})
+
+    return run
+
+
 def _texts_of(met: DataFrame, rows: DataFrame) -> DataFrame:
-    """The texts of the documents in ``met``, each once, by a bit set of their slots: 65,536 rows at most are broadcast, and other texts never move.
+    """The texts of the documents in ``met``, each once: other texts hardly move.
 
     Rows that repeat an id and its text become one before the shuffle, as far as they are in one partition.
     """
-    slot = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 22))
-    used = words_of_bits(met.select(slot.alias("slot")), "slot")
-    marked = rows.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(used), "word")
-    return marked.where("(mask & shiftleft(1L, cast(slot & 63 as int))) <> 0").groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"))
+    some, _ = by_slots(rows, met.select(F.xxhash64("doc_id", "text_hash").alias("k")), F.xxhash64("doc_id", "text_hash"))
+    return some.groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"))
 
 
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _stars(met: DataFrame, rows: DataFrame, similar: float, size: int) -> DataFrame:
+    """Links (a, b) of documents to hubs: each document is compared with one other of its buckets, the one with most neighbours.
+
+    Each text moves once, and once more for every BLOCK documents of a hub. These links settle most documents of
+    groups of near copies, so that few buckets are left to be compared in full.
+    """
+    total = met.count()
+    scores = met.groupBy("doc_id", "text_hash").agg(F.sum("c").alias("score"))
+    scored = materialise(met.join(scores, ["doc_id", "text_hash"]), "near-scored")
+    hubs = scored.groupBy("key").agg(F.max(F.struct("score", "doc_id", "text_hash")).alias("hub"), F.count("*").alias("c"))
+    near = hot_join(scored.select("key", "doc_id", "text_hash", "n"), hubs, ["key"], "c", total).where("hub.doc_id <> doc_id")
+    chosen = near.groupBy("doc_id", "text_hash", "n").agg(F.max("hub").alias("hub"))
+    chosen = materialise(chosen.select("doc_id", "text_hash", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.text_hash").alias("hub_hash")), "near-hubs")
+    each = chosen.groupBy("hub", "hub_hash").agg(F.count("*").alias("c"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = hot_join(chosen, each, ["hub", "hub_hash"], "c", chosen.count())
+    members = members.select("hub", "hub_hash", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("blocks")).cast("int").alias("block"), "doc_id", "text_hash")
+    own = members.select("hub", "hub_hash", "block").distinct().select("*", F.col("hub").alias("doc_id"), F.col("hub_hash").alias("text_hash"))
+    placed = materialise(members.union(own), "near-placed")
+    texts = placed.join(_texts_of(placed, rows), ["doc_id", "text_hash"])
+    return materialise(texts.groupBy("hub", "hub_hash", "block").applyInPandas(_star(similar, size), "a long, b long"), "near-star-links")
+
+
+def _blocks(met: DataFrame, rows: DataFrame, similar: float, size: int) -> DataFrame:
+    """Links (a, b) that span all links inside the buckets of ``met``, each compared in full; large ones in blocks, each two of which are a task."""
+    h = F.xxhash64("doc_id", "text_hash")
+    buckets = met.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("y"))
+    buckets = buckets.groupBy("c", "s", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same documents are one
+    buckets = materialise(buckets.select("key", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "near-cut")
+    met = met.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash", "key"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = materialise(met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "text_hash"), "near-met")
+    texts = met.join(_texts_of(met, rows), ["doc_id", "text_hash"])
+    links = texts.groupBy("key", "i", "j").applyInPandas(_compare(similar, size), "a long, b long")
+    return materialise(links.distinct(), "near-links")
+
+
+def text_hash(text: Column) -> Column:
+    """The hash that, with the id, tells rows apart; null text as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, with_hash: bool = False) -> DataFrame:
     """(doc_id, class_id, kept): one row for each row; the smallest id of a class stays.
 
     Words are runs of letters, digits and _, lower-cased; texts of the same words in the same order
@@ -163,46 +230,49 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     the connected components of the links found.
 
     BagMinHash signatures are cut into ``bands`` of ``rows`` values; texts that share a band
-    are candidates (a pair at 0.8 is missed with a probability of 6e-5). All texts of a
-    bucket are compared in full, on their whole multisets; only a spanning forest of a bucket's links leaves its
+    are candidates (a pair at 0.8 is missed with a probability of 6e-5). First each text is compared with the
+    best connected one of its buckets. Buckets whose texts these links connect are done, as more links could not change a
+    class; all texts of the others are compared in full, on their whole multisets. Only a spanning forest of a bucket's links leaves its
     task, so no list of pairs is made. Buckets that hold the same texts are one, and a large bucket is cut into
     blocks of about BLOCK texts or BLOCK_SHINGLES shingles, each two of which are a task: g different texts in one
-    bucket are copied g / BLOCK times each.
+    bucket that is not done at first are copied g / BLOCK times each.
 
     Null text counts as empty; texts without words are alone in their class. Null ids are
     in no class (class_id null, kept). Ids should be unique: rows that repeat an id and its text enter
-    as one and share their fate. Other columns are not read. An empty table gives an empty result.
+    as one and share their fate. A very long text is one row: its task holds it and its shingles. Other columns are not read. An empty table
+    gives an empty result. ``with_hash`` adds ``text_hash``, which with the id tells rows apart.
     """
-    small_batches(docs.sparkSession)
-    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows_in = rows_in.withColumn("text_hash", F.xxhash64("text"))
-    signed = rows_in.mapInPandas(_signed(bands, rows, size), "doc_id long, text_hash long, norm string, n long, bands array<long>")
-    signed = materialise(signed, "near-signed")
-    named = signed.where("n > 0 and doc_id is not null")
-    reps = named.groupBy("norm").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    # one row for each norm, however often a row is repeated; combined before the shuffle
-    first = named.groupBy("norm").agg(F.min(F.struct("doc_id", "text_hash", "n", "bands")).alias("r"))
-    banded = first.select("r.doc_id", "r.text_hash", "r.n", F.explode("r.bands").alias("key"))
-    # written, not only joined: with a plain scan on that side adaptive execution can split a hot bucket's rows
-    full = materialise(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-full")
-    met = materialise(banded.join(full, "key", "left_semi").select("key", "doc_id", "text_hash", "n"), "near-buckets")
-
-    h = F.xxhash64("doc_id", "text_hash")
-    buckets = met.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("y"))
-    buckets = buckets.groupBy("c", "s", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same documents are one
-    buckets = materialise(buckets.select("key", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "near-cut")
-    met = met.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash", "key"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = materialise(met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "text_hash"), "near-met")
-    texts = met.join(_texts_of(met, rows_in), ["doc_id", "text_hash"])
-    links = texts.groupBy("key", "i", "j").applyInPandas(_compare(similar, size), "a long, b long")
-    links = materialise(links.distinct(), "near-links")
-
-    of = components(links, "near-classes")
-    reps = reps.join(of, reps["rep"] == of["node"], "left").select("norm", "copies", F.coalesce("component", "rep").alias("class_id"))
-    linked = hot_join(named.select("doc_id", "norm"), reps, ["norm"], "copies", named.count()).select("doc_id", "class_id")
-    alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return linked.union(alone).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    spark = docs.sparkSession
+    rows_in = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    rows_in = rows_in.withColumn("text_hash", text_hash(F.col("text")))
+    with small_batches(spark):
+        signed = rows_in.mapInPandas(_signed(bands, rows, size), "doc_id long, text_hash long, norm string, n long, bands array<long>")
+        signed = materialise(signed, "near-signed")
+        named = signed.where("n > 0 and doc_id is not null")
+        reps = named.groupBy("norm").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        # one row for each norm, however often a row is repeated; combined before the shuffle
+        first = named.groupBy("norm").agg(F.min(F.struct("doc_id", "text_hash", "n", "bands")).alias("r"))
+        banded = first.select("r.doc_id", "r.text_hash", "r.n", F.explode("r.bands").alias("key"))
+        # written, not only joined: with a plain scan on that side adaptive execution can split a hot bucket's rows
+        full = materialise(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "near-full")
+        met = materialise(banded.join(full, "key").select("key", "doc_id", "text_hash", "n", "c"), "near-buckets")
+
+        stars = components(_stars(met, rows_in, similar, size), "near-stars")
+        at = met.join(stars, met["doc_id"] == stars["node"], "left").select("key", "doc_id", "text_hash", "n", F.coalesce("component", "doc_id").alias("of"))
+        at = materialise(at, "near-at")
+        mixed = materialise(at.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key"), "near-mixed")
+        links = _blocks(at.join(mixed, "key", "left_semi").select("key", "doc_id", "text_hash", "n"), rows_in, similar, size)
+
+    # the second graph has the first one's components as its nodes
+    of = stars.select(F.struct("node", "component").alias("s"))
+    joined = links.join(of.withColumnRenamed("s", "sa"), F.col("a") == F.col("sa.node"), "left").join(of.withColumnRenamed("s", "sb"), F.col("b") == F.col("sb.node"), "left")
+    joined = joined.select(F.coalesce("sa.component", "a").alias("a"), F.coalesce("sb.component", "b").alias("b")).where("a <> b")
+    more = components(joined, "near-classes")
+    reps = reps.join(stars, reps["rep"] == stars["node"], "left").select("norm", "copies", F.coalesce("component", "rep").alias("star"))
+    reps = reps.join(more, reps["star"] == more["node"], "left").select("norm", "copies", F.coalesce("component", "star").alias("class_id"))
+    linked = hot_join(named.select("doc_id", "text_hash", "norm"), reps, ["norm"], "copies", named.count()).select("doc_id", "text_hash", "class_id")
+    alone = signed.where("n = 0 or doc_id is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"))
+    return linked.union(alone).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), *["text_hash"] * with_hash)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

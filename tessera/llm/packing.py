@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, small_batches
+from .common import col, materialise, small_batches
 
 #: Tokens in a sequence and the id after each document.
 CAPACITY, END = 1024, 2
@@ -246,10 +246,10 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     packed each, other columns are not read, an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     cut = rows.mapInPandas(_cut(capacity, folder), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
-    cut = materialise(cut, "pack-pieces")
+    with small_batches(spark):
+        cut = materialise(cut, "pack-pieces")
     counts = np.zeros(capacity + 1, np.int64)
     by_part = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():

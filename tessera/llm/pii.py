@@ -11,11 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, hot_join, materialise, small_batches, words_of_bits
+from .common import by_slots, col, cols, fresh, hot_join, lower_batches, materialise, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kind of the spans that contexts find.
 FOUND = "id"
+#: Shapes of secrets. They are seeds of contexts like the kinds above, but a context must confirm each of them: a long
+#: hexadecimal number may as well be the name of a revision.
+SECRETS = re.compile(r"(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}")
 #: Rounds of scoring; a pattern counts from so many known identifiers on; least scores of a pattern and of an instance to be believed.
 ROUNDS, SUPPORT, PATTERN, INSTANCE = 3, 8, 0.8, 0.9
 
@@ -26,6 +29,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
+# Words of a context are looked for among the 90 characters before a span; of a word over 40 characters its last (after a span: first) 40 count.
 WORD_BEFORE = re.compile(r"(?:(\S{1,40})\s+)?(\S{1,40})\s+[\"'(\[{<]*$")
 WORD_AFTER = re.compile(r"\S?\s+(\S{1,40})")
 
@@ -76,7 +80,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: the word before it, the two before, and the words on both sides; digits as 0."""
+    """The lexical patterns around a span: the word before it, the two before, and the words on both sides; lower case, digits as 0, 40 characters of a word at most."""
     before = WORD_BEFORE.search(text[max(0, start - 90) : start])
     after = WORD_AFTER.match(text, end)
     fold = lambda w: DIGITS.sub("0", w.lower())
@@ -124,8 +128,8 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             base = base_spans(text)
-            seen = [{"start": s, "end": e, "seed": True, "instance": text[s:e], "patterns": contexts(text, s, e)} for _, s, e in base]
-            seen += [{"start": s, "end": e, "seed": False, "instance": text[s:e], "patterns": contexts(text, s, e)} for s, e in candidates(text, base)]
+            seen = [{"start": s, "end": e, "seed": True, "base": True, "instance": text[s:e], "patterns": contexts(text, s, e)} for _, s, e in base]
+            seen += [{"start": s, "end": e, "seed": SECRETS.fullmatch(text, s, e) is not None, "base": False, "instance": text[s:e], "patterns": contexts(text, s, e)} for s, e in candidates(text, base)]
             n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
             spans = joined(base)
             out.append((doc_id, (part << 40) + row, hashlib.sha256(text.encode()).hexdigest(), *n, hashlib.sha256(spans.encode()).hexdigest(), spans, seen))
@@ -134,35 +138,41 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def discovered(found: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, pattern: float = PATTERN, instance: float = INSTANCE) -> DataFrame:
-    """(row, start, end) of spans that are no seeds but stand in contexts where seeds stand.
+    """(row, start, end) of spans that match no base kind but stand in contexts where seeds stand.
 
-    The graph has an edge for each pattern and instance that occur together. A seed has score 1. A
+    The graph has an edge for each pattern and instance that occur together. A seed (a base span, or a secret's shape) has score 1. A
     round scores each pattern by the mean score of its instances (shrunk by two unknown
     ones), if at least ``support`` score well, and then each other instance by its
-    believed patterns: one minus the product of their doubts, over two of them at least. Only counts and sums of a pattern or
-    instance meet in one place, combined before the shuffle; a pattern that a third of all
-    identifiers share is no hot spot.
+    believed patterns: one minus the product of their doubts, over two of them at least. What scores ``instance`` by its patterns
+    is found; so is a secret's shape, which seeds patterns but is no find by itself. Only counts and sums of a pattern or
+    instance meet in one place, combined before the shuffle, and go back to the edges of hot ones by broadcast, so a pattern
+    or an instance that a third of all edges share is no hot spot.
     """
-    seen = found.select("row", F.explode("seen").alias("s")).select("row", "s.start", "s.end", "s.seed", F.sha2("s.instance", 256).alias("instance"), "s.patterns")
+    seen = found.select("row", F.explode("seen").alias("s")).select("row", "s.start", "s.end", "s.seed", "s.base", F.sha2("s.instance", 256).alias("instance"), "s.patterns")
     seen = materialise(seen, "pii-seen")
     edges = materialise(seen.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("int")).cast("double").alias("score"))
+    total = edges.count()
+    scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("int")).cast("double").alias("score"), F.count("*").alias("edges"))
     for _ in range(rounds):
-        scored = edges.join(scores, "instance")
-        believed = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 2)).alias("p"), F.sum((F.col("score") >= instance).cast("int")).alias("n")).where((F.col("n") >= support) & (F.col("p") >= pattern))
-        doubts = edges.join(believed.select("pattern", "p"), "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), F.count("p").alias("n"), F.sum(F.log(F.lit(1.0) - F.least("p", F.lit(0.999)))).alias("d"))
-        scores = materialise(doubts.select("instance", F.when(F.col("seed"), 1.0).when(F.col("n") >= 2, 1.0 - F.exp("d")).otherwise(0.0).alias("score")), "pii-scores")
-    sure = scores.where(F.col("score") >= instance).select("instance")
-    return seen.where("not seed").select("row", "start", "end", "instance").join(sure, "instance", "left_semi").select("row", "start", "end")
+        scored = hot_join(edges, scores.select("instance", "score", "edges"), ["instance"], "edges", total)
+        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 2)).alias("p"), F.sum((F.col("score") >= instance).cast("int")).alias("n"), F.count("*").alias("edges"))
+        believed = materialise(patterns.where((F.col("n") >= support) & (F.col("p") >= pattern)).select("pattern", "p", "edges"), "pii-patterns")
+        doubts = hot_join(edges, believed, ["pattern"], "edges", total, "left").groupBy("instance").agg(F.max("seed").alias("seed"), F.count("p").alias("n"), F.sum(F.log(F.lit(1.0) - F.least("p", F.lit(0.999)))).alias("d"), F.count("*").alias("edges"))
+        by_context = F.when(F.col("n") >= 2, 1.0 - F.exp("d")).otherwise(0.0)
+        scores = materialise(doubts.select("instance", F.when(F.col("seed"), 1.0).otherwise(by_context).alias("score"), by_context.alias("context"), "edges"), "pii-scores")
+    open_spans = seen.where("not base").select("row", "start", "end", "instance")
+    sure = scores.where(F.col("context") >= instance).select("instance")
+    sure = open_spans.groupBy("instance").agg(F.count("*").alias("spans")).join(sure, "instance")
+    return hot_join(open_spans, sure, ["instance"], "spans", open_spans.count()).select("row", "start", "end")
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """What ``find`` gives, and ``text_sha256``: rows of equal texts have equal spans, whatever their ids."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     n = ", ".join(f"n_{k} long" for k in KINDS)
-    seen = "seen array<struct<start: int, end: int, seed: boolean, instance: string, patterns: array<string>>>"
-    found = materialise(rows.mapInPandas(_find, f"doc_id long, row long, text_sha256 string, {n}, base_sha256 string, base string, {seen}"), "pii-found")
+    seen = "seen array<struct<start: int, end: int, seed: boolean, base: boolean, instance: string, patterns: array<string>>>"
+    with small_batches(docs.sparkSession):
+        found = materialise(rows.mapInPandas(_find, f"doc_id long, row long, text_sha256 string, {n}, base_sha256 string, base string, {seen}"), "pii-found")
     more = discovered(found).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("more"))
     text = F.transform("more", lambda s: F.concat_ws(":", F.lit(FOUND), s["start"].cast("string"), s["end"].cast("string")))
     out = found.drop("seen").join(more, "row", "left")
@@ -175,7 +185,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``base`` are the spans of the fixed patterns, ``spans`` those and the discovered ones (kind
     ``id``, last), as kind:start:end in code points, end exclusive. Null text counts as empty, null ids are kept, repeated
-    rows give repeated results, other columns are not read, an empty table gives an empty result.
+    rows give repeated results, other columns are not read, an empty table gives an empty result. A very long text is one row: its
+    task holds it and its spans.
     """
     return _spans(docs, id_col, text_col).drop("text_sha256")
 
@@ -204,22 +215,16 @@ def mask(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     def cover(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([masked(t, s) for t, s in zip(texts, spans, strict=True)])
 
+    lower_batches(docs.sparkSession)
     found = _spans(docs, id_col, text_col)
-    names = docs.columns
-    at, word, bit, key, spans, count = (fresh(docs, f"_pii_{x}") for x in ("slot", "word", "bits", "sha", "spans", "count"))
-    hits = found.where("spans <> ''").groupBy(F.col("text_sha256").alias(key)).agg(F.max("spans").alias(spans), F.count("*").alias(count))
-    hits = materialise(hits, "pii-hits")
-    slot = F.pmod(F.xxhash64(key), F.lit(1 << 22))
-    bits = words_of_bits(hits.select(slot.alias("slot")), "slot")
-    bits = bits.select(F.col("word").alias(word), F.col("mask").alias(bit))
-    keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    marked = keyed.withColumn(at, slot).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(bits), word, "left")
-    hit = F.expr(f"coalesce({bit}, 0L) & shiftleft(1L, cast({at} & 63 as int))") != 0
-    clean = marked.where(~hit).select(*names)
+    names, text = cols(docs), col(text_col)
+    key, spans, count = (fresh(docs, f"_pii_{x}") for x in ("sha", "spans", "count"))
+    hits = materialise(found.where("spans <> ''").groupBy(F.col("text_sha256").alias(key)).agg(F.max("spans").alias(spans), F.count("*").alias(count)), "pii-hits")
+    dirty, clean = by_slots(docs, hits.select(key), F.sha2(F.coalesce(text, F.lit("")), 256))
     total = hits.agg(F.sum(count)).first()[0] or 0
-    dirty = hot_join(marked.where(hit).select(*names, key), hits, [key], count, total, "left")
-    text = F.when(F.col(spans).isNotNull() & F.col(text_col).isNotNull(), cover(F.coalesce(F.col(text_col), F.lit("")), F.coalesce(spans, F.lit("")))).otherwise(F.col(text_col))
-    return clean.unionByName(dirty.withColumn(text_col, text).select(*names))
+    dirty = hot_join(dirty.select(*names, F.sha2(F.coalesce(text, F.lit("")), 256).alias(key)), hits, [key], count, total, "left")
+    done = F.when(F.col(spans).isNotNull() & text.isNotNull(), cover(F.coalesce(text, F.lit("")), F.coalesce(spans, F.lit("")))).otherwise(text)
+    return clean.unionByName(dirty.select(*[done.alias(c) if c == text_col else col(c) for c in docs.columns]))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from .near_dedup import OP8_SQL, op8_near_dedup
 from .packing import op6_best_fit_packing
 from .pii import op5_pii
 from .sentencepiece_codec import op2_sentencepiece
-from .sharding import op7_sharding
+from .sharding import OP7_SQL, op7_sharding
 from .url_filter import OP4_SQL, op4_url_filter
 from .vector_dedup import OP1_SQL, op1_vector_dedup
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_html_extract": op10_html_extract,
 }
 
-ORACLES = {"op1_vector_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op8_near_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES = {"op1_vector_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_sharding": OP7_SQL, "op8_near_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import col, lower_batches
 from .text import slices
 
 #: The whitespace marker.
@@ -211,7 +211,7 @@ def _threads() -> None:
 
 def encode_column(docs: DataFrame, *, text_col: str = "text", out_col: str = "ids", path: str | None = None) -> DataFrame:
     """``docs`` with an array of ids for each text; null text gives null. ``path`` is the model file, on every worker."""
-    small_batches(docs.sparkSession)
+    lower_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
@@ -227,7 +227,7 @@ def encode_column(docs: DataFrame, *, text_col: str = "text", out_col: str = "id
 
 def decode_column(docs: DataFrame, *, ids_col: str = "ids", out_col: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with the text of each array of ids; null ids give null, ids out of range raise."""
-    small_batches(docs.sparkSession)
+    lower_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def run(ids: pd.Series) -> pd.Series:
@@ -246,7 +246,7 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ids. Null text counts as empty (no ids); null ids, repeated rows and other columns make no difference; an empty table
     gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    lower_batches(docs.sparkSession)
 
     @F.pandas_udf("n_ids long, ids_crc32 long, decoded_crc32 long, same boolean, parity boolean")
     def run(texts: pd.Series) -> pd.DataFrame:

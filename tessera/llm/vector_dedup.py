@@ -11,13 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, hot_join, materialise, small_batches
+from .common import col, components, hot_join, materialise, small_batches
 from .text import BASE, mixed
 
 #: Least cosine of a link; tables; lattice blocks of 8 projections in a table; scale of the lattice against the root mean square length of a unit vector's block.
 SIMILAR, TABLES, BLOCKS, SCALE = 0.98, 8, 3, 0.7
 #: Vectors of a cell that one task compares with as many others.
 BLOCK = 256
+#: Rows of cells that one call of Python gets, about.
+CALL = 4000
 
 
 @functools.cache
@@ -96,31 +98,47 @@ def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"vec_id": some["vec_id"].to_numpy(), "copies": some["copies"].to_numpy(), "unit": list(x), "cells": [k[k >= 0] for k in keys]})
 
 
+def _links(cell: int, x: np.ndarray, ids: np.ndarray, copies: np.ndarray, cells: list[np.ndarray], apart: np.ndarray | None, similar: float) -> tuple | None:
+    """(ids, links, roots) of one cell's linked vectors: a link is counted if no smaller cell holds the pair, connected in any case.
+
+    ``apart`` numbers the blocks where only vectors of different blocks are to be compared.
+    """
+    linked = x @ x.T >= similar
+    if apart is not None:
+        linked &= apart[:, None] != apart[None, :]
+    np.fill_diagonal(linked, False)
+    some = linked.any(axis=1)
+    if not some.any():
+        return None
+    linked, ids, copies, before = linked[np.ix_(some, some)], ids[some], copies[some], [c[c < cell] for c, y in zip(cells, some, strict=True) if y]
+    own = np.repeat(np.arange(len(ids)), [len(k) for k in before])
+    keys, at, n = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
+    use = n[at] > 1
+    shared = np.zeros((len(ids), len(keys)), np.float32)
+    shared[own[use], at[use]] = 1
+    shared = shared[:, n > 1]
+    links = (linked & ~(shared @ shared.T > 0)) @ copies
+    root, was = ids.copy(), None
+    while was is None or (root != was).any():
+        was = root
+        root = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+    return ids, links, root
+
+
 def _compare(similar: float):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Links of one cell, or of two blocks of a large one: counted if no smaller cell holds the pair, connected in any case."""
-        cell, first, second = key
-        x, ids, copies, block = np.stack(rows["unit"].to_list()), rows["vec_id"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
-        linked = x @ x.T >= similar
-        if first != second:
-            linked &= block[:, None] != block[None, :]
-        np.fill_diagonal(linked, False)
-        if not linked.any():
-            return pd.DataFrame({"vec_id": [], "links": [], "root": []}).astype("int64")
-        before = [k[k < cell] for k in rows["cells"]]
-        own = np.repeat(np.arange(len(rows)), [len(k) for k in before])
-        keys, at, n = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
-        use = n[at] > 1
-        shared = np.zeros((len(rows), len(keys)), np.float32)
-        shared[own[use], at[use]] = 1
-        shared = shared[:, n > 1]
-        links = (linked & ~(shared @ shared.T > 0)) @ copies
-        root, was = ids.copy(), None
-        while was is None or (root != was).any():
-            was = root
-            root = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
-        some = linked.any(axis=1)
-        return pd.DataFrame({"vec_id": ids[some], "links": links[some], "root": root[some]})
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links of some cells, or pairs of blocks of large ones, one after the other; some thousand rows in all."""
+        order = np.lexsort((rows["j"], rows["i"], rows["cell"]))
+        x, ids, copies, cells = np.stack(rows["unit"].to_list()), rows["vec_id"].to_numpy(), rows["copies"].to_numpy(), rows["cells"].to_numpy()
+        cell, i, j, block = (rows[c].to_numpy()[order] for c in ("cell", "i", "j", "block"))
+        new = np.flatnonzero((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        out = [(np.zeros(0, np.int64),) * 3]
+        for a, b in zip([0, *new], [*new, len(cell)], strict=True):
+            at = order[a:b]
+            got = _links(cell[a], x[at], ids[at], copies[at], list(cells[at]), block[a:b] if i[a] != j[a] else None, similar)
+            if got is not None:
+                out.append(got)
+        return pd.DataFrame(dict(zip(("vec_id", "links", "root"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -134,14 +152,18 @@ def vector_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     its own and the nearest neighbouring ones, are compared in full. A pair is counted in the
     smallest cell that holds it, so counts add up without a list of pairs, and each cell gives a
     spanning forest of its links. A large cell is cut into blocks of about BLOCK vectors and each two blocks are one
-    task, so no group meets in one place. Cells that hold the same vectors are one.
+    task, so no group meets in one place. Cells that hold the same vectors are one; small ones share a call of Python.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, null labels and
     null ids link with nothing: n_links 0, component_id the own id, kept. Rows that repeat an id and
-    its vector count as copies. Other columns are not read. An empty table gives an empty result.
+    its vector count as copies; an id with several vectors is one node for all of them. Other columns are not read. An empty table gives an empty result.
     """
-    small_batches(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
+    with small_batches(vectors.sparkSession):
+        return _vector_dedup(vectors, id_col, vector_col, label_col, similar)
+
+
+def _vector_dedup(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, similar: float) -> DataFrame:
+    rows = vectors.select(col(id_col).cast("long").alias("vec_id"), col(vector_col).cast("array<double>").alias("embedding"), col(label_col).alias("label"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     same = [F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(11), "embedding", "label").alias("h2")]
@@ -154,12 +176,13 @@ def vector_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     h = F.xxhash64("vec_id")
     full = inside.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s")).where("n > 1")
     full = full.groupBy("n", "x", "s").agg(F.min("cell").alias("cell"))
-    full = materialise(full.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "vec-cells")
+    full = materialise(full.select("cell", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "vec-cells")
+    calls = -(-int(full.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 1) // CALL)
     met = coded.select("vec_id", "copies", "unit", "cells", F.explode("cells").alias("cell")).join(full, "cell")
     met = met.withColumn("block", F.pmod(F.xxhash64("vec_id", "cell"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "copies", "unit", "cells")
-    seen = materialise(met.groupBy("cell", "i", "j").applyInPandas(_compare(similar), "vec_id long, links long, root long"), "vec-links")
+    met = met.select(F.pmod(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")), F.lit(calls)).alias("call"), "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "copies", "unit", "cells")
+    seen = materialise(met.groupBy("call").applyInPandas(_compare(similar), "vec_id long, links long, root long"), "vec-links")
 
     links = seen.groupBy("vec_id").agg(F.sum("links").alias("links"))
     of = components(seen.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), "vec-components")

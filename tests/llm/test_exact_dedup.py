@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from tessera.llm.common import clear_scratch
+from tessera.llm.common import clear, scratch_scope
 from tessera.llm.exact_dedup import exact_dedup
 
 
@@ -31,8 +31,13 @@ def test_equal_lengths_and_prefixes_are_told_apart(documents):
 
 
 def test_scratch_is_cleared(spark, documents):
-    exact_dedup(documents([(1, "a"), (2, "a")])).collect()
-    assert clear_scratch(spark) >= 2 and clear_scratch(spark) == 0
+    with scratch_scope() as paths:
+        got = exact_dedup(documents([(1, "a"), (2, "a")]))
+        assert got.count() == 2
+    assert len(paths) >= 2 and all(spark.read.parquet(p).count() == 2 for p in paths)
+    clear(spark, paths)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    assert not any(hadoop.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.Path(p)) for p in paths)
 
 
 def test_empty(documents):

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from tessera.llm.common import components
-from tessera.llm.near_dedup import bag, bag_minhash, near_dedup, overlaps
+from tessera.llm.near_dedup import against_first, bag, bag_minhash, near_dedup, overlaps
 from tessera.llm.text import shingles
 
 VOCABULARY = [f"w{k}" for k in range(400)]
@@ -107,6 +107,25 @@ def test_a_large_bucket_is_cut_into_blocks(documents):
     assert {x.class_id for x in got} == {0}
 
 
+def test_stars_alone_do_not_settle_a_class(documents):
+    """A family of templates: far ones, near ones and links that avoid the best connected text."""
+    r, rows = random.Random(12), []
+    base = [r.choice(VOCABULARY) for _ in range(100)]
+    for k in range(120):
+        words = list(base)
+        for at in r.sample(range(100), r.choice([1, 2, 3, 4, 5])):
+            words[at] = f"y{r.randrange(60)}"
+        rows.append((k, " ".join(words)))
+    got = {x.doc_id: x.class_id for x in near_dedup(documents(rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_against_first():
+    texts = [t for _, t in made(7, 12)] + ["", "a " * 30, "a " * 28]
+    for hub in (texts[0], "a " * 29, ""):
+        assert np.abs(against_first([hub, *texts]) - [alike(hub, t) for t in [hub, *texts]]).max() < 1e-12
+
+
 def test_a_row_repeated_a_thousand_times_is_compared_once(documents):
     r = random.Random(10)
     base = [r.choice(VOCABULARY) for _ in range(100)]

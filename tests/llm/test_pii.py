@@ -1,8 +1,9 @@
 import hashlib
+import math
 import random
 import re
 
-from tessera.llm.pii import base_spans, candidates, find, joined, mask, masked
+from tessera.llm.pii import SECRETS, base_spans, candidates, contexts, find, joined, mask, masked
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -59,6 +60,54 @@ def test_contexts_find_unseen_identifiers(documents):
     assert all(got[k].n_id == 0 and got[k].n_email == 1 and got[k].spans == got[k].base for k in range(120))
 
 
+def scored(rows, rounds=3, support=8, pattern=0.8, instance=0.9):
+    """Spans that the same scoring finds in plain Python."""
+    seen = []
+    for i, text in rows:
+        base = base_spans(text)
+        seen += [(i, s, e, True, True, text[s:e], contexts(text, s, e)) for _, s, e in base]
+        seen += [(i, s, e, bool(SECRETS.fullmatch(text, s, e)), False, text[s:e], contexts(text, s, e)) for s, e in candidates(text, base)]
+    edges = {(p, x[5]) for x in seen for p in x[6]}
+    seeds = {x[5] for x in seen if x[3] and x[6]}
+    score, context = {x: float(x in seeds) for _, x in edges}, {}
+    for _ in range(rounds):
+        believed = {}
+        for p in {p for p, _ in edges}:
+            own = [score[x] for q, x in edges if q == p]
+            if sum(s >= instance for s in own) >= support and sum(own) / (len(own) + 2) >= pattern:
+                believed[p] = sum(own) / (len(own) + 2)
+        for x in score:
+            doubts = [1 - min(believed[p], 0.999) for p, y in edges if y == x and p in believed]
+            context[x] = 1 - math.prod(doubts) if len(doubts) >= 2 else 0.0
+            score[x] = 1.0 if x in seeds else context[x]
+    return sorted((i, s, e) for i, s, e, _, base, x, _ in seen if not base and context.get(x, 0) >= instance)
+
+
+def test_secrets_behind_a_learned_context(documents):
+    """Recall and precision on planted rows: secrets confirm their context, which then finds tokens of other shapes; the same digits elsewhere stay."""
+    r = random.Random(4)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ter", "un") for b in ("ra", "st", "de", "", "ou")]
+    pick = lambda n: " ".join(r.choice(words) for _ in range(n))
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(38)) + "a1" for _ in range(60)]
+    rows = [(k, f'{pick(9)} token = "{hexes[k]}" {pick(5)}') for k in range(40)]
+    rows += [(k, f"{pick(9)} {hexes[k]} {pick(5)}") for k in range(40, 60)]  # a number in no context
+    rows += [(k, f'{pick(9)} TOKEN = "Zx-{k}-99887-q" {pick(5)}') for k in range(60, 65)]  # another shape
+    rows += [(k, f"{pick(9)} 2019-{k:04d} {pick(5)} {r.random()}") for k in range(70, 120)]
+    got = sorted((x.doc_id, *map(int, s.split(":")[1:])) for x in find(documents(rows)).collect() for s in x.spans.split(",") if s.startswith("id:"))
+    planted = {(k, t.index('"') + 1, t.rindex('"')) for k, t in rows if '"' in t}
+    assert len(planted & set(got)) >= 0.95 * len(planted) and len(planted & set(got)) >= 0.95 * len(got)
+    assert got == scored(rows)
+
+
+def test_a_context_that_most_identifiers_share(documents):
+    """Hot patterns and hot instances give what the plain scorer gives."""
+    rows = [(k, f"write to user{k % 7}@mail.org today") for k in range(400)] + [(400 + k, f"write to KEY{k % 3}XZ777 today") for k in range(60)]
+    rows += [(500 + k, f"w{k} x{k} KEY0XZ777 y{k}") for k in range(60)]
+    rows += [(600 + k, f"write to user{k}@mail.org today") for k in range(10, 30)]
+    got = sorted((x.doc_id, *map(int, s.split(":")[1:])) for x in find(documents(rows)).collect() for s in x.spans.split(",") if s.startswith("id:"))
+    assert got == scored(rows) and len(got) == 120
+
+
 def test_odd_rows(documents, odd):
     rows = [*odd, (50, "a@b.co 1.2.3.4"), (50, "a@b.co 1.2.3.4"), (51, "+1 (555) 555-1234 4111 1111 1111 1111")]
     got = find(documents(rows)).collect()
@@ -79,6 +128,8 @@ def test_masking_changes_spans_only(documents, odd):
     of = {r.doc_id: r.text for r in got if r.doc_id is not None}
     assert of[50] == "to [EMAIL], from [IP]!" and all(of[i] == t for i, t in rows if i not in (50, None))
     assert all(r.word == "x" and r.mask == "x" for r in got)
+    dotted = docs.withColumn("a.b", docs.word).withColumnRenamed("text", "the.text")
+    assert {r["the.text"] for r in mask(dotted, text_col="the.text").collect()} == {r.text for r in got}
 
 
 def test_masking_is_by_text_not_by_id(documents):

@@ -3,7 +3,7 @@ import tempfile
 import zlib
 from collections import Counter, defaultdict
 
-from tessera.llm.sharding import SLOTS, assign, grow, load_map, save_map, shard
+from tessera.llm.sharding import SLOTS, assign, grow, load_map, newest, rebalance, save_map, shard, slot_sizes, slotted
 
 
 def gapless(rows):
@@ -59,3 +59,27 @@ def test_growth_moves_slots_into_the_new_shard_only(spark, documents):
     assert load_map(spark, path) == more and load_map(spark, path, 1) == first
     got = shard(documents([(k, "t" * k) for k in range(300)]), map_path=path).collect()
     assert all(x.shard == more[x.vslot] and x.map_version == 2 for x in got) and gapless(got)
+
+
+def test_a_map_is_made_kept_and_rebalanced(spark, documents):
+    docs, path = documents([(k, f"text {k} " * (k % 40)) for k in range(3000)]), tempfile.mkdtemp(prefix="spark-") + "/map"
+    first = {x.doc_id: x for x in shard(docs, 4, map_path=path).collect()}
+    again = {x.doc_id: x.shard for x in shard(docs, 7, map_path=path).collect()}  # the stored map has four shards
+    assert newest(spark, path) == 1 and again == {k: x.shard for k, x in first.items()}
+    assert rebalance(spark, path, slot_sizes(slotted(docs))) == 2
+    more = {x.doc_id: x for x in shard(docs, 4, map_path=path).collect()}
+    assert all(x.map_version == 2 and x.shard == first[k].next_shard and x.shard in (4, first[k].shard) for k, x in more.items())
+    load = Counter()
+    for x in more.values():
+        load[x.shard] += x.size
+    assert len(load) == 5 and max(load.values()) < 1.05 * min(load.values()) and gapless(more.values())
+
+
+def test_places_of_a_row_repeated_very_often(documents):
+    rows = [(7, "same")] * 3000 + [(None, "same")] * 50 + [(k, f"t{k}" * 9) for k in range(200)]
+    got = shard(documents(rows), 3).collect()
+    assert len(got) == len(rows) and gapless(got)
+    for x in {x.shard for x in got}:
+        own = sorted((y for y in got if y.shard == x), key=lambda y: y.slot)
+        key = [(y.vslot, y.doc_id is not None, y.doc_id or 0, y.text_crc32, y.size) for y in own]
+        assert key == sorted(key)
