@@ -15,9 +15,13 @@ from .text import BASE, folded, mixed, slices
 #: Buckets of the embedding table, its width, and the subwords' lengths in characters.
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (1, 2, 3, 4)
 #: Bounds of the labelled sample that the driver fits on: about so many rows of a language and in all, texts of so many characters at most, so many languages.
-SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, LANGUAGES = 1500, 12_000, 20_000, 256
-#: Rejects at most this share of the calibration rows that are classified rightly, and nothing that scores as much as the second value.
-REJECTED, SURE = 0.002, 0.4
+SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, LANGUAGES = 1500, 6000, 20_000, 256
+#: Characters that the sample has at most in all: rows are drawn at a lower rate where texts are long.
+SAMPLE_MB = 40
+#: Share of the calibration rows that either test may reject, share of the made negatives beyond which neither is sharpened, and calibration rows that negatives are made of.
+REJECTED, CAUGHT, MADE_OF = 0.001, 0.99, 300
+#: A subword is known if so many training texts hold it; a text gets so many known ones on top, so that short texts are not rejected for a name.
+KNOWN_IN, GIVEN = 2, 8
 
 
 def subwords(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -46,36 +50,48 @@ def subwords(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
 
 @dataclass
 class Model:
-    """``table`` (BUCKETS + 1, languages) holds each bucket's embedding times the softmax weights: averaging either is the same."""
+    """``table`` (BUCKETS + 1, languages) holds each bucket's embedding times the softmax weights: averaging either is the same.
+
+    ``known`` tells which buckets training has seen. A text is rejected for a score below ``threshold``, or if less than ``least_known`` of
+    its subwords of three and four characters are known: the softmax shares all probability among the languages that it knows, however foreign a text is.
+    """
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    known: np.ndarray
+    least_known: float
 
-    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(logits, letters) of each text, from all its subwords."""
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits, letters, share of known subwords) of each text, from all its subwords."""
         k = len(self.languages)
-        out, letters = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
+        out, letters, share = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64), np.ones(len(texts))
         for part in slices(texts, 1 << 18):
             grams, bounds, letters[part] = subwords(texts[part])
             sums, n = np.zeros((part.stop - part.start, k)), np.zeros(part.stop - part.start)
-            for g in grams:
+            long, seen = n.copy(), n.copy()
+            for size, g in zip(GRAMS, grams, strict=True):
                 sums += np.add.reduceat(self.table[g], bounds[:-1], axis=0, dtype=np.float64)
-                n += np.add.reduceat(g < BUCKETS, bounds[:-1], dtype=np.int64)
+                own = np.add.reduceat(g < BUCKETS, bounds[:-1], dtype=np.int64)
+                n += own
+                if size > 2:
+                    long += own
+                    seen += np.add.reduceat(self.known[g], bounds[:-1], dtype=np.int64)
             out[part] = sums / np.maximum(n, 1)[:, None] + self.bias
-        return out, letters
+            share[part] = (seen + GIVEN) / (long + GIVEN)
+        return out, letters, share
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, rejected) of each text; ``und`` with score 0, rejected, for texts without letters."""
-        logits, letters = self.logits(texts)
+        logits, letters, share = self.logits(texts)
         if not self.languages:
             return np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
         p = softmax(logits / self.temperature)
         best, some = p.argmax(axis=1), letters > 0
         score = np.where(some, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
-        return np.where(some, np.array(self.languages, object)[best], "und"), score, ~some | (score < self.threshold)
+        return np.where(some, np.array(self.languages, object)[best], "und"), score, ~some | (score < self.threshold) | (share < self.least_known)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -87,7 +103,7 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int
     """Stochastic gradient descent on four fifths of the rows; the rest set the temperature and the rejection threshold."""
     names = sorted(set(langs))
     if not names:
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 1.0, np.zeros(BUCKETS + 1, bool), 0.0)
     label = np.array([names.index(x) for x in langs])
     grams, ends = [], []
     for part in slices(texts, 1 << 18):
@@ -120,37 +136,71 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int
             own = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(ids))))
             np.add.at(table, ids, -r * share[:, None] * back[own])
     table[BUCKETS] = 0
-    model = Model(names, np.ascontiguousarray((table @ weight).astype(np.float32)), bias.astype(np.float64), 1.0, 0.0)
+    seen = np.zeros(BUCKETS + 1, np.int64)
+    for k in set(train.tolist()):
+        seen[grams[k][0]] += 1
+    model = Model(names, np.ascontiguousarray((table @ weight).astype(np.float32)), bias.astype(np.float64), 1.0, 0.0, seen >= min(KNOWN_IN, len(train) // 2 + 1), 0.0)
     calibrate(model, [texts[k] for k in held], label[held])
     return model
 
 
+def negatives(texts: list[str], seed: int = 3) -> dict[str, list[str]]:
+    """Texts in no language, made from others: letters shuffled over the text, letters exchanged one for one (as foreign as a language
+    with the same lengths of words), letters of scripts that come from nowhere near, and letter runs without words."""
+    rng = np.random.default_rng(seed)
+    out: dict[str, list[str]] = {"shuffled": [], "exchanged": [], "script": [], "runs": []}
+    for text in texts:
+        at = [k for k, c in enumerate(text) if c.isalpha()]
+        chars = list(text)
+        for k, j in zip(at, rng.permutation(at), strict=True):
+            chars[k] = text[j]
+        out["shuffled"].append("".join(chars))
+        code = dict(zip("abcdefghijklmnopqrstuvwxyz", rng.permutation(list("abcdefghijklmnopqrstuvwxyz")).tolist(), strict=True))
+        out["exchanged"].append("".join(code.get(c, c) for c in text.lower()))
+        base = int(rng.choice([0x0430, 0x03B1, 0x0561, 0x10D0]))
+        out["script"].append("".join(chr(base + ord(c) % 24) if c.isalpha() else c for c in text))
+        out["runs"].append("".join(chr(97 + int(c)) for c in rng.integers(0, 26, max(1, len(at)))))
+    return out
+
+
 def calibrate(model: Model, texts: list[str], label: np.ndarray) -> None:
-    """Temperature of least log loss; threshold below all but a share REJECTED of the right answers, SURE at most."""
+    """Temperature of least log loss, and the two tests for rejection.
+
+    Each test rejects REJECTED of the right answers at most, and the two are no sharper than it takes to reject CAUGHT of the ``negatives`` made of
+    the first MADE_OF rows: the known subwords first, the score for what passes them.
+    """
     if not texts:
         return
-    logits, _ = model.logits(texts)
+    logits, _, known = model.logits(texts)
     loss = lambda t: -np.mean(np.log(softmax(logits / t)[np.arange(len(label)), label] + 1e-12))
     model.temperature = float(min(np.geomspace(0.05, 20, 61), key=loss))
     p = softmax(logits / model.temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == label]
-    model.threshold = float(min(SURE, np.quantile(right, REJECTED))) if len(right) else 0.0
+    right = p.argmax(axis=1) == label
+    wrong, _, strange = model.logits([t for kind in negatives(texts[:MADE_OF]).values() for t in kind])
+    wrong = softmax(wrong / model.temperature).max(axis=1)
+    if right.any():
+        model.least_known = float(min(np.quantile(known[right], REJECTED), np.quantile(strange, CAUGHT)))
+        passed = np.sort(wrong[strange >= model.least_known])[::-1]
+        allowed = int((1 - CAUGHT) * len(wrong))
+        needed = np.nextafter(passed[allowed], 1) if len(passed) > allowed else 0.0
+        model.threshold = float(min(np.quantile(p.max(axis=1)[right], REJECTED), needed))
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the labelled rows of ``docs``, fitted on a sample whose bounds are the constants above.
 
-    Rows are picked by a hash of their id at a rate that makes about SAMPLE rows of each language (fewer if there are many), at most 2 * SAMPLE_ALL in
-    all; rarer languages enter whole. The LANGUAGES most frequent languages are learned.
+    Rows are picked by a hash of their id at a rate that makes about SAMPLE rows of each language (fewer if there are many, or if texts are long:
+    about SAMPLE_MB million characters in all), at most 2 * SAMPLE_ALL in all; rarer languages enter whole. The LANGUAGES most frequent languages are learned.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    rows = rows.where(F.length("text") <= SAMPLE_CHARS)
+    stats = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    if not stats:
         return fit([], [])
-    share = min(SAMPLE, SAMPLE_ALL // len(counts))
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, share / n))])
+    share, mb = min(SAMPLE, SAMPLE_ALL // len(stats)), SAMPLE_MB * 1e6 / len(stats)
+    rate = F.create_map(*[F.lit(x) for lang, r in stats.items() for x in (lang, min(1.0, share / r["n"], mb / max(r["chars"], 1)))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-    picked = rows.where(draw < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0))).where(F.length("text") <= SAMPLE_CHARS)
+    picked = rows.where(draw < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)))
     sample = picked.limit(2 * SAMPLE_ALL).toPandas().sort_values(["doc_id", "lang", "text"], na_position="first")
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
@@ -159,7 +209,8 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out_col:
     """``docs`` with a column ``out_col``: struct of lang (``und`` if the text is null or has no letters), score 0 to 1, rejected.
 
     Every subword of the whole text counts. Scores are probabilities at the calibrated
-    temperature; ``rejected`` texts have no letters or a score below the calibrated threshold.
+    temperature; ``rejected`` texts have no letters, or fail one of the model's calibrated tests: of the score, or of how many of their subwords are known.
+    Null ids and repeated rows are judged by their text. A very long text is one row: its task holds some dozen bytes for each character.
     An empty table gives an empty result; other columns pass through unread.
     """
     lower_batches(docs.sparkSession)

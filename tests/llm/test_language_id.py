@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tessera.llm.language_id import BUCKETS, fit, identify, subwords, train
+from tessera.llm.language_id import BUCKETS, fit, held_out, identify, negatives, op3_language_id, subwords, train
 
 WORDS = {"en": "the of and that with from there thing would", "de": "der die und nicht eine schule für über auch", "fr": "le les des une avec être où français mais"}
 
@@ -52,3 +52,26 @@ def test_nothing_to_learn_from(documents):
     one = documents([(1, "some text", "en")])
     assert identify(one, train(one)).select("lang_id.lang").first()[0] == "en"
     assert identify(documents([]), train(documents([]))).count() == 0
+
+
+FOREIGN = [
+    "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił.",
+    "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saa'ani sanelemahan",
+    "Мой дядя самых честных правил, когда не в шутку занемог",
+    "xkcd qwrtz plmk zzxq vbnm qqqw jjkl xzzy",
+    "Ἄνδρα μοι ἔννεπε, Μοῦσα, πολύτροπον",
+]
+
+
+def test_rejection_of_what_was_never_learned(spark):
+    """Recall on negatives and on real texts of unlearned languages, and the loss of clean held-out texts, on whole tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = train(docs.where(~held_out()))
+    rows = docs.where(held_out()).collect()
+    lang, _, rejected = model.predict([r.text for r in rows])
+    assert np.mean(lang == np.array([r.lang for r in rows])) > 0.98 and rejected.mean() < 0.01
+    for kind, texts in negatives([r.text for r in rows], 9).items():
+        assert model.predict(texts)[2].mean() > 0.95, kind
+    assert model.predict(FOREIGN)[2].mean() >= 0.8  # the Finnish verse shares enough subwords to pass
+    out = {r.doc_id: r for r in op3_language_id(spark, "/root/testdata/sf0.01").collect()}
+    assert len(out) == docs.count() and all(out[r.doc_id].held_out and out[r.doc_id].lang_pred == x for r, x in zip(rows, lang, strict=True))
