@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import logging
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,8 @@ SPECIAL, LONG = "<|endoftext|>", 1 << 20
 NODES, NODES_EACH = 1000, 1
 #: Fillings that a step compares, items in an enumerated filling, tokens that it may leave over.
 FILLINGS, ITEMS, WASTE = 6, 3, 48
+#: Bins that the last stage takes apart at a time, its steps for each such try, and tries.
+TAIL, TAIL_STEPS, TRIES = 16, 20_000, 12
 
 log = logging.getLogger(__name__)
 
@@ -91,10 +95,14 @@ def _cut(capacity: int, folder: str | None):
 
 
 def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Sequences that any packing needs: by total length, and by the pieces over half and exactly half a sequence."""
-    sizes = np.arange(len(counts))
-    large, half = counts[capacity // 2 + 1 :].sum(), counts[capacity // 2] if capacity % 2 == 0 else 0
-    return int(max(-(-(counts * sizes).sum() // capacity), large + (half + 1) // 2))
+    """Sequences that any packing needs: for each k, pieces over capacity - k are alone with what is under k, and pieces of k to half a sequence must fit beside the larger ones."""
+    n = np.concatenate([counts, np.zeros(max(0, capacity + 1 - len(counts)), counts.dtype)])[: capacity + 1].astype(np.int64)
+    pieces, tokens = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half, k = capacity // 2, np.arange(capacity // 2 + 1)
+    large = pieces[capacity] - pieces[half]  # over half a sequence: one each
+    middle, middle_tokens = pieces[capacity - k] - pieces[half], tokens[capacity - k] - tokens[half]
+    small = tokens[half] - np.where(k > 0, tokens[k - 1], 0)
+    return int((large + np.maximum(0, -(-(small - (middle * capacity - middle_tokens)) // capacity))).max())
 
 
 def best_fit(counts: np.ndarray, room: int) -> list[int]:
@@ -144,11 +152,106 @@ def fillings(counts: np.ndarray, room: int, waste: int) -> list[list[int]]:
     return [list(f) for f in sorted(kept, key=lambda f: (-sum(f), len(f), [-x for x in f]))[:FILLINGS]]
 
 
+def maximal(sizes: list[int], left: list[int], room: int, spend: Callable[[], bool] = lambda: True) -> Iterator[tuple[int, ...]]:
+    """Each filling of ``room`` that no further piece fits into, as counts of ``sizes`` (descending), those with larger pieces first; as long as ``spend`` allows steps."""
+    taken = [0] * len(sizes)
+
+    def go(k: int, room: int, least: int) -> Iterator[tuple[int, ...]]:
+        """``least``: the smallest size of which a piece was left out; the filling is maximal if that doesn't fit."""
+        if not spend():
+            return
+        while k < len(sizes) and (not left[k] or sizes[k] > room):
+            least = min(least, sizes[k]) if left[k] else least
+            taken[k] = 0
+            k += 1
+        if k == len(sizes):
+            if room < least:
+                yield tuple(taken)
+            return
+        most = min(left[k], room // sizes[k])
+        for n in range(most, -1, -1):
+            taken[k] = n
+            yield from go(k + 1, room - n * sizes[k], min(least, sizes[k]) if n < left[k] else least)
+        taken[k] = 0
+
+    yield from go(0, room, room + 1)
+
+
+def repack(counts: np.ndarray, most: int, capacity: int, steps: int) -> tuple[list[list[int]] | None, bool]:
+    """(bins, whole): at most ``most`` bins that hold ``counts``, if any were found; whether the search went through all cases.
+
+    Bin completion one bin at a time: the largest piece with each maximal filling around it; fillings that another one dominates
+    piece by piece are passed over, nodes are cut by ``lower_bound``, and no set of pieces is tried twice. Fillings are made as they are needed, and the
+    search ends after ``steps`` steps, of making fillings included.
+    """
+    sizes = [int(s) for s in np.flatnonzero(counts)[::-1]]
+    tried: dict[tuple[int, ...], int] = {}
+    used = 0
+
+    def spend() -> bool:
+        nonlocal used
+        used += 1
+        return used <= steps
+
+    def bound(left: tuple[int, ...]) -> int:
+        full = np.zeros(capacity + 1, np.int64)
+        full[sizes] = left
+        return lower_bound(full, capacity)
+
+    def go(left: tuple[int, ...], bins: int) -> list[list[int]] | None:
+        first = next((k for k, n in enumerate(left) if n), None)
+        if first is None:
+            return []
+        if bins <= tried.get(left, 0) or not spend() or bound(left) > bins:
+            return None
+        tried[left] = bins  # no packing of what is left into so many, unless one is found now
+        room, rest = capacity - sizes[first], [n - (k == first) for k, n in enumerate(left)]
+        made, kept = maximal(sizes, rest, room, spend), []
+        while some := list(itertools.islice(made, 64)):
+            for filling in sorted(some, key=lambda f: -sum(n * s for n, s in zip(f, sizes, strict=True))):
+                items = [s for s, n in zip(sizes, filling, strict=True) for _ in range(n)]
+                if any(len(g) >= len(items) and all(x <= y for x, y in zip(items, g, strict=False)) for g in kept[:64]):
+                    continue  # dominated
+                kept.append(items)
+                found = go(tuple(a - b for a, b in zip(rest, filling, strict=True)), bins - 1)
+                if found is not None or used > steps:
+                    return None if found is None else [[sizes[first], *items], *found]
+        return None
+
+    found = go(tuple(int(counts[s]) for s in sizes), most)
+    return found, used <= steps
+
+
 def complete_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Patterns (sizes, times) that pack ``counts`` pieces of each size, found by bin completion; logs how far ``search`` came."""
+    """Patterns (sizes, times) that pack ``counts`` pieces of each size, found by bin completion; logs how far ``search`` came.
+
+    What ``search`` finds is improved bin by bin: the TAIL bins with most room left over, in which a saving must be found if there is one in few bins, are
+    taken apart and packed into one bin less by ``repack``, which also takes a filling fewer times than it goes. All bins are
+    taken apart if there are no more than TAIL, so small inputs get an optimum, proved if the steps suffice; of larger ones TRIES sets of bins, the fullest of the last set being exchanged for others.
+    """
     patterns, report = search(counts, capacity)
-    told = log.warning if report["open"] and report["gap"] else log.info
-    told("packing: %(bins)d sequences, %(gap)d over the lower bound (greedy dives: %(greedy)d sequences); %(branches)d branches searched in %(steps)d steps, %(open)d left", report)
+    bound, tries, proved = report["bins"] - report["gap"], 0, False
+    rng = np.random.default_rng(6)
+    while report["bins"] > bound and tries < TRIES and not proved:
+        room = np.array([capacity - sum(items) for items, _ in patterns])
+        order = np.argsort(-(room + (rng.random(len(room)) * capacity / 8 if tries else 0)), kind="stable")
+        chosen, bins, small = Counter(), 0, np.zeros(capacity + 1, np.int64)
+        for k in order:
+            n = min(TAIL - bins, patterns[k][1])
+            if n > 0:
+                chosen[int(k)], bins = n, bins + n
+                np.add.at(small, patterns[k][0], n)
+        tries += 1
+        if sum(room[k] * n for k, n in chosen.items()) < capacity:
+            continue
+        found, whole = repack(small, bins - 1, capacity, TAIL_STEPS)
+        if found is not None:
+            patterns = [(items, n - chosen[k]) for k, (items, n) in enumerate(patterns) if n > chosen[k]] + [(items, 1) for items in found]
+            report["bins"], report["gap"], tries = report["bins"] - 1, report["gap"] - 1, 0
+        proved = found is None and whole and bins == report["bins"]
+    report |= {"tries": tries, "proved": int(proved or report["bins"] == bound)}
+    told = log.warning if not report["proved"] else log.info
+    told("packing: %(bins)d sequences, %(gap)d over the lower bound (greedy dives: %(greedy)d sequences); %(branches)d branches searched in %(steps)d steps, %(open)d left; %(tries)d sets of bins taken apart since the last gain; proved least: %(proved)d", report)
     return patterns
 
 

@@ -77,6 +77,27 @@ def test_bin_completion_reaches_the_optimum_of_small_cases():
         assert sum(n for _, n in bins) == exact(sizes, 100)
 
 
+def test_repeated_sizes_reach_the_optimum():
+    """Few different sizes, so that a filling must often be taken fewer times than it goes; up to 14 pieces."""
+    r = random.Random(13)
+    for _ in range(400):
+        some = [r.randint(5, 70) for _ in range(r.randint(1, 6))]
+        sizes = [r.choice(some) for _ in range(r.randint(1, 14))]
+        bins = complete_bins(np.bincount(sizes, minlength=101), 100)
+        assert sorted(s for items, n in bins for s in items * n) == sorted(sizes) and all(sum(items) <= 100 for items, _ in bins)
+        assert sum(n for _, n in bins) == exact(sizes, 100), sizes
+    sizes = [37, 23, 23, 40, 23, 25, 53, 53, 40, 25, 23, 53, 25, 40]
+    assert sum(n for _, n in complete_bins(np.bincount(sizes, minlength=101), 100)) == 5
+
+
+def test_lower_bound_is_one():
+    r = random.Random(14)
+    for _ in range(200):
+        sizes = [r.randint(1, 100) for _ in range(r.randint(0, 9))]
+        counts = np.bincount(sizes, minlength=101)
+        assert -(-sum(sizes) // 100) <= lower_bound(counts, 100) <= exact(sizes, 100)
+
+
 def test_near_the_bound_on_large_counts():
     rng = np.random.default_rng(4)
     counts = np.bincount(np.clip(rng.lognormal(5.5, 1, 100_000), 1, 1024).astype(int), minlength=1025)
