@@ -41,6 +41,7 @@ class Model:
     escape_spaces: bool = True
     space_as_suffix: bool = False
     unk: int = 0
+    unk_surface: str = " \u2047 "
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -80,6 +81,7 @@ def parse(data: bytes) -> Model:
         elif number == 2:
             spec = dict(fields(value))
             model.kind, model.byte_fallback, model.space_as_suffix = spec.get(3, 1), bool(spec.get(35, 0)), bool(spec.get(24, 0))
+            model.unk_surface = spec[44].decode() if 44 in spec else model.unk_surface
         elif number == 3:
             spec = dict(fields(value))
             model.charsmap = spec.get(2, b"")
@@ -162,20 +164,25 @@ class Codec:
         return [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts of ids: pieces and byte pieces joined by their bytes. Bytes that are no UTF-8, and control or unknown pieces, are left to the library."""
-        out = []
-        for x in ids:
+        """Texts of ids by the library, on its threads. It shows unknown pieces, broken UTF-8 and a first byte piece for a space in another way
+        than the original: such texts are decoded by their bytes."""
+        hidden = [[k for k in x if k not in self.hidden] if not self.hidden.isdisjoint(x) else x for x in ids]
+        out = self.core.decode_batch(hidden, skip_special_tokens=False)
+        return [self._by_bytes(x) if "\ufffd" in text or self.model.unk in x or x and self.bytes[x[0]] == b" " else text for x, text in zip(hidden, out, strict=True)]
+
+    def _by_bytes(self, ids: list[int]) -> str:
+        data = b"".join(self.model.unk_surface.encode() if k == self.model.unk else self.bytes[k] for k in ids)
+        if ids and self.model.dummy_prefix and self.model.pieces[ids[0]][0][:1] == MARK:
+            data = data[1:]
+        out, at = [], 0
+        while at < len(data):  # each byte that begins no character is shown on its own
             try:
-                if any(k in x for k in self.hidden) or self.model.unk in x:
-                    raise ValueError
-                text = b"".join(map(self.bytes.__getitem__, x)).decode()
-                out.append(text[1:] if x and self.model.dummy_prefix and self.model.pieces[x[0]][0][:1] == MARK else text)
-            except ValueError:
-                out += self.by_library([x])
-        return out
-
-    def by_library(self, ids: list[list[int]]) -> list[str]:
-        return self.core.decode_batch([[k for k in x if k not in self.hidden] if any(k in x for k in self.hidden) else x for x in ids], skip_special_tokens=False)
+                out.append(data[at:].decode())
+                break
+            except UnicodeDecodeError as e:
+                out.append(data[at : at + e.start].decode() + "\ufffd")
+                at += e.start + 1
+        return "".join(out)
 
     def verify(self, texts: list[str] | tuple[str, ...] = PROBES) -> list[str]:
         """The texts whose ids differ from the original library's, or whose ids decode to something else."""
@@ -202,15 +209,19 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+#: Threads of the library in each Python worker: one encodes while the task hands rows over.
+THREADS = 2
+
+
 def _threads() -> None:
-    """As many threads as the task has cores."""
+    """THREADS, or as many as the task has cores if that is more; what the worker's environment says counts first."""
     task = TaskContext.get()
-    os.environ.setdefault("RAYON_NUM_THREADS", str(task.cpus() if task else 1))
+    os.environ.setdefault("RAYON_NUM_THREADS", str(max(THREADS, task.cpus() if task else 1)))
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
 
 
 def encode_column(docs: DataFrame, *, text_col: str = "text", out_col: str = "ids", path: str | None = None) -> DataFrame:
-    """``docs`` with an array of ids for each text; null text gives null. ``path`` is the model file, on every worker."""
+    """``docs`` with an array of ids for each text; null text gives null. ``path`` is the model file, on every worker. A very long text is one row, encoded whole; other columns pass through."""
     lower_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
@@ -222,7 +233,7 @@ def encode_column(docs: DataFrame, *, text_col: str = "text", out_col: str = "id
             out += [np.array(x, np.int32) for x in made.encode(plain[part])]
         return pd.Series([None if t is None else x for t, x in zip(texts, out, strict=True)], dtype=object)
 
-    return docs.withColumn(out_col, run(F.col(text_col)))
+    return docs.withColumn(out_col, run(col(text_col)))
 
 
 def decode_column(docs: DataFrame, *, ids_col: str = "ids", out_col: str = "text", path: str | None = None) -> DataFrame:
@@ -235,7 +246,7 @@ def decode_column(docs: DataFrame, *, ids_col: str = "ids", out_col: str = "text
         made = codec(path or model_path())
         return pd.Series([None if x is None else y for x, y in zip(ids, made.decode([[] if x is None else [int(k) for k in x] for x in ids]), strict=True)], dtype=object)
 
-    return docs.withColumn(out_col, run(F.col(ids_col)))
+    return docs.withColumn(out_col, run(col(ids_col)))
 
 
 def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -243,7 +254,7 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     ``ids_crc32`` is over little-endian unsigned 32-bit ids, ``decoded_crc32`` over the decoded text's UTF-8;
     ``same`` says that it is the text, ``parity`` that the original library gives the same
-    ids. Null text counts as empty (no ids); null ids, repeated rows and other columns make no difference; an empty table
+    ids. Null text counts as empty (no ids); null ids, repeated rows and other columns make no difference; a very long text is one row, encoded whole; an empty table
     gives an empty result.
     """
     lower_batches(docs.sparkSession)
@@ -262,7 +273,7 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 out.append((len(own), zlib.crc32(np.array(own, "<u4").tobytes()), zlib.crc32(back.encode()), back == text, own == theirs))
         return pd.DataFrame(out, columns=["n_ids", "ids_crc32", "decoded_crc32", "same", "parity"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), run(F.coalesce(F.col(text_col), F.lit(""))).alias("r"))
+    rows = docs.select(col(id_col).alias("doc_id"), run(F.coalesce(col(text_col), F.lit(""))).alias("r"))
     return rows.select("doc_id", "r.*")
 
 

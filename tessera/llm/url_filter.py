@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import col, hot_join, materialise
+
 #: Words of 64 bits in a block of the filter; a key sets one bit in each.
 WORDS = 8
 #: Largest filter in bytes. A longer list makes the filter denser, never larger: the exact join still gives the same result.
@@ -41,7 +43,7 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", bits_per_key: int = 12) -> DataFrame:
-    """(host, path, rule, verdict) for each distinct (host, path) of ``pages``.
+    """(host, path, rule, verdict, n) for each distinct (host, path) of ``pages``, which n rows have.
 
     ``rules`` has the columns host, path and verdict. A rule fits its host and all subdomains
     if the url's path starts with the rule's; the longest rule wins, of equally long ones the
@@ -50,19 +52,19 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", bits
     Each distinct url gives its candidate keys: its host's suffixes (as many labels at most
     as a rule has) with its path's prefixes (of lengths that rules have). Candidates that the
     blocked Bloom filter passes meet the list in an exact hash join, which removes its false
-    positives. The filter is broadcast, at most MOST_BYTES; the list is not, unless
-    Spark finds it small. Rules with a null host, path or verdict are ignored; repeated ones
-    count once.
+    positives. The filter is broadcast, at most MOST_BYTES; so are, in both joins, only keys and urls that over a thousandth of the rows
+    share, such as a rule for ``com`` or the empty url: no key meets in one task. Rules with a null host, path or verdict are ignored; repeated ones
+    count once. A url of any length is judged whole. Other columns are not read. An empty table gives no rows.
     """
     spark = pages.sparkSession
     rules = rules.where("host is not null and path is not null and verdict is not null").select("host", "path", "verdict").distinct()
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # "block" over "allow"
     rules = rules.withColumn("key", F.concat("host", F.lit("\n"), "path"))
     shape = rules.agg(F.count("*").alias("n"), F.max(F.size(F.split("host", r"\."))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).first()
-    host, path = split_url(F.col(url_col))
-    urls = pages.select(host.alias("host"), path.alias("path")).distinct()
+    host, path = split_url(col(url_col))
+    urls = materialise(pages.select(host.alias("host"), path.alias("path")).groupBy("host", "path").agg(F.count("*").alias("n")), "url-distinct")
     if not shape.n:
-        return urls.select("host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+        return urls.select("host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), "n")
     blocks = max(1, min(shape.n * bits_per_key // (64 * WORDS) + 1, MOST_BYTES // (8 * WORDS + 8)))
 
     parts = F.split("host", r"\.")
@@ -76,10 +78,12 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", bits
     for k in range(WORDS):
         maybe = maybe.where(F.col(f"w{k}").bitwiseAND(_bit(k)) != 0)
     listed = rules.select("key", F.concat("host", "path").alias("rule"), F.length("host").alias("host_n"), F.col("verdict").alias("said"))
-    hits = maybe.select("host", "path", "key").join(listed, "key")
+    maybe = materialise(maybe.select("host", "path", "key"), "url-maybe")
+    met = maybe.groupBy("key").agg(F.count("*").alias("hits")).join(listed, "key")
+    hits = hot_join(maybe, met, ["key"], "hits", maybe.count())
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "host_n", "said", "rule")).alias("best"))
     out = urls.join(best, ["host", "path"], "left")
-    return out.select("host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.said", F.lit("allow")).alias("verdict"))
+    return out.select("host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.said", F.lit("allow")).alias("verdict"), "n")
 
 
 def judge_pages(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -87,10 +91,11 @@ def judge_pages(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
 
     Null ids are kept, repeated rows give repeated results, an empty table gives none.
     """
-    host, path = split_url(F.col(url_col))
-    judged = url_filter(pages, rules, url_col=url_col)
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    return rows.join(judged, ["host", "path"], "left").select("page_id", "host", "path", "rule", "verdict")
+    host, path = split_url(col(url_col))
+    judged = materialise(url_filter(pages, rules, url_col=url_col), "url-judged")
+    rows = pages.select(col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    total = judged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return hot_join(rows, judged, ["host", "path"], "n", total).select("page_id", "host", "path", "rule", "verdict")
 
 
 #: The rules of the contract: host, path, verdict.
