@@ -249,12 +249,14 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         signed = rows_in.mapInPandas(_signed(bands, rows, size), "doc_id long, text_hash long, norm string, n long, bands array<long>")
         signed = materialise(signed, "near-signed")
         named = signed.where("n > 0 and doc_id is not null")
-        reps = named.groupBy("norm").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
         # one row for each norm, however often a row is repeated; combined before the shuffle
-        first = named.groupBy("norm").agg(F.min(F.struct("doc_id", "text_hash", "n", "bands")).alias("r"))
-        banded = first.select("r.doc_id", "r.text_hash", "r.n", F.explode("r.bands").alias("key"))
+        first = named.groupBy("norm").agg(F.min(F.struct("doc_id", "text_hash", "n", "bands")).alias("r"), F.count("*").alias("copies"))
+        first = materialise(first.select("norm", "copies", "r.*"), "near-first")
+        reps = first.select("norm", F.col("doc_id").alias("rep"), "copies")
+        banded = first.select("doc_id", "text_hash", "n", F.explode("bands").alias("key"))
         # written, not only joined: with a plain scan on that side adaptive execution can split a hot bucket's rows
         full = materialise(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "near-full")
+        banded, _ = by_slots(banded, full.select("key"), F.col("key"))  # most rows are alone in their bucket and stay where they are
         met = materialise(banded.join(full, "key").select("key", "doc_id", "text_hash", "n", "c"), "near-buckets")
 
         stars = components(_stars(met, rows_in, similar, size), "near-stars")
