@@ -145,6 +145,15 @@ def plain(model: Model):
     return core
 
 
+def joined(model: Model):
+    """A faster ``tokenizers.Tokenizer`` to decode with: it only joins pieces, so that markers are still to be replaced, once for the whole text."""
+    from tokenizers import Tokenizer, decoders, models
+
+    core = Tokenizer(models.WordLevel({p: k for k, (p, *_) in enumerate(model.pieces)}, model.pieces[model.unk][0]))
+    core.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
+    return core
+
+
 class Codec:
     """Encodes and decodes as the model file says; ``verify`` compares with the SentencePiece library."""
 
@@ -154,7 +163,10 @@ class Codec:
         self.model = parse(self.data)
         self.core = rebuild(self.model)
         self.plain = plain(self.model)
+        self.joined = joined(self.model)
         self.hidden = {k for k, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
+        #: The byte piece that begins a marker spelled in bytes, which stays a marker.
+        self.first_of_mark = next((k for k, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE and int(p[3:5], 16) == MARK.encode()[0]), -1)
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -167,9 +179,16 @@ class Codec:
         """Texts of ids by the library, on its threads. It shows unknown pieces, broken UTF-8 and a first byte piece for a space in another way
         than the original: such texts are decoded by their bytes."""
         hidden = [[k for k in x if k not in self.hidden] if not self.hidden.isdisjoint(x) else x for x in ids]
-        out = self.core.decode_batch(hidden, skip_special_tokens=False)
+        out = [self._spaced(x) for x in self.joined.decode_batch(hidden, skip_special_tokens=False)]
+        if spelled := [k for k, x in enumerate(hidden) if self.first_of_mark in x]:  # the library replaces markers piece by piece
+            for k, text in zip(spelled, self.core.decode_batch([hidden[k] for k in spelled], skip_special_tokens=False), strict=True):
+                out[k] = text
         return [self._by_bytes(x) if "\ufffd" in text or self.model.unk in x or x and self.bytes[x[0]] == b" " else text for x, text in zip(hidden, out, strict=True)]
 
+    def _spaced(self, text: str) -> str:
+        text = text.replace(MARK, " ")
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+
     def _by_bytes(self, ids: list[int]) -> str:
         data = b"".join(self.model.unk_surface.encode() if k == self.model.unk else self.bytes[k] for k in ids)
         if ids and self.model.dummy_prefix and self.model.pieces[ids[0]][0][:1] == MARK:

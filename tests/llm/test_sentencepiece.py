@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from tessera.llm.sentencepiece_codec import PROBES, Codec, _threads, codec, decode_column, encode_column, model_path, parse, rebuild, round_trip
+from tessera.llm.sentencepiece_codec import MARK, PROBES, Codec, _threads, codec, decode_column, encode_column, model_path, parse, rebuild, round_trip
 
 
 def texts(n, seed=1):
@@ -25,6 +25,8 @@ def test_parity_and_round_trip():
     assert ids == first.encode(some) and made.decode(ids) == first.decode(ids)
     assert all(made.encode([t]) == [x] for t, x in zip(some[:500], ids, strict=False))  # with the faster path where it may be taken
     odd = [[k] for k in range(300)] + [[3 + 0xE6, 3 + 0x97], [0], [1, 300, 2], [3 + 0xFF] * 3, [259, 259], [], [1, 259, 0, 300], [3 + 32, 300], [300, 0, 0], [3 + 0xE6, 300, 3 + 0x97, 3 + 0xA5]]
+    mark = [3 + x for x in MARK.encode()]
+    odd += [mark, [300, *mark, 301], [*mark, 259, 300], [300, *mark[:2], 301, *mark[2:]]]
     r = random.Random(5)
     odd += [[r.choice([0, 1, 2, *range(3, 259), *range(259, 600)]) for _ in range(r.randint(0, 12))] for _ in range(3000)]
     assert [x for x in odd if made.decode([x]) != [first.decode(x)]] == []
