@@ -86,7 +86,7 @@ def test_dedup_stages_decide_on_rows(spark, documents):
 
 def test_registered():
     numbers = {int(name[2:].split("_")[0]) for name in queries.QUERIES}
-    assert numbers == set(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert numbers == set(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "pii", "best_fit_packing"]
 
 
