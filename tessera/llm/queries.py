@@ -11,6 +11,7 @@ from .packing import op6_best_fit_packing
 from .pii import op5_pii
 from .sentencepiece_codec import op2_sentencepiece
 from .sharding import OP7_SQL, op7_sharding
+from .toxicity import op11_toxicity
 from .turn_repair import OP12_SQL, op12_turn_repair
 from .url_filter import OP4_SQL, op4_url_filter
 from .vector_dedup import OP1_SQL, op1_vector_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_html_extract": op10_html_extract,
+    "op11_toxicity": op11_toxicity,
     "op12_turn_repair": op12_turn_repair,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
