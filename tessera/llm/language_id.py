@@ -18,10 +18,10 @@ BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (1, 2, 3, 4)
 SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, LANGUAGES = 1500, 6000, 20_000, 256
 #: Characters that the sample has at most in all: rows are drawn at a lower rate where texts are long.
 SAMPLE_MB = 40
-#: Share of the calibration rows that either test may reject, share of the made negatives beyond which neither is sharpened, and calibration rows that negatives are made of.
-REJECTED, CAUGHT, MADE_OF = 0.001, 0.99, 300
-#: A subword is known if so many training texts hold it; a text gets so many known ones on top, so that short texts are not rejected for a name.
-KNOWN_IN, GIVEN = 2, 8
+#: Labelled rows under which only texts without letters are rejected; share of them that the calibrated test may reject; share of rows of a left-out language that should be caught; room above the first.
+LEAST_ROWS, REJECTED, CAUGHT, MARGIN = 50, 0.001, 0.99, 1.15
+#: Subwords of at least this length are judged for being known, the weight of one that was never seen, and how many known ones a text gets on top, so that short texts are not rejected for a name.
+LONG, UNSEEN, GIVEN = 3, 0.5, 4
 
 
 def subwords(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -52,46 +52,69 @@ def subwords(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
 class Model:
     """``table`` (BUCKETS + 1, languages) holds each bucket's embedding times the softmax weights: averaging either is the same.
 
-    ``known`` tells which buckets training has seen. A text is rejected for a score below ``threshold``, or if less than ``least_known`` of
-    its subwords of three and four characters are known: the softmax shares all probability among the languages that it knows, however foreign a text is.
+    ``usual`` holds for each bucket the logarithm of how many times as frequent it is in the learned languages as in a background that has all buckets
+    alike. The softmax shares all probability among the languages that it knows, however foreign a text is; so a text is rejected if the mean of its subwords in
+    ``usual`` is over ``slack`` standard deviations below ``mean``. Their variance has a part of the text, and one that falls with the number of different subwords.
     """
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
-    known: np.ndarray
-    least_known: float
+    usual: np.ndarray
+    mean: float = 0.0
+    of_texts: float = 0.0
+    of_subwords: float = 0.0
+    slack: float = np.inf
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(logits, letters, share of known subwords) of each text, from all its subwords."""
+        """(logits, letters, standard deviations below the mean of known texts) of each text, from all its subwords."""
         k = len(self.languages)
-        out, letters, share = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64), np.ones(len(texts))
+        out, letters, strange = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for part in slices(texts, 1 << 18):
             grams, bounds, letters[part] = subwords(texts[part])
             sums, n = np.zeros((part.stop - part.start, k)), np.zeros(part.stop - part.start)
-            long, seen = n.copy(), n.copy()
-            for size, g in zip(GRAMS, grams, strict=True):
+            for g in grams:
                 sums += np.add.reduceat(self.table[g], bounds[:-1], axis=0, dtype=np.float64)
-                own = np.add.reduceat(g < BUCKETS, bounds[:-1], dtype=np.int64)
-                n += own
-                if size > 2:
-                    long += own
-                    seen += np.add.reduceat(self.known[g], bounds[:-1], dtype=np.int64)
+                n += np.add.reduceat(g < BUCKETS, bounds[:-1], dtype=np.int64)
             out[part] = sums / np.maximum(n, 1)[:, None] + self.bias
-            share[part] = (seen + GIVEN) / (long + GIVEN)
-        return out, letters, share
+            mean, different, _ = familiar(grams, bounds, self.usual)
+            strange[part] = self.below(mean, different)
+        return out, letters, strange
+
+    def below(self, mean: np.ndarray, different: np.ndarray) -> np.ndarray:
+        """How many standard deviations ``mean`` of so many different subwords is below that of known texts, when GIVEN known ones are added; 0 without subwords."""
+        spread = np.sqrt(self.of_texts + self.of_subwords / np.maximum(different, 1))
+        return (self.mean - mean) / np.maximum(spread, 1e-9) * different / (different + GIVEN)
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, rejected) of each text; ``und`` with score 0, rejected, for texts without letters."""
-        logits, letters, share = self.logits(texts)
+        logits, letters, strange = self.logits(texts)
         if not self.languages:
             return np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
         p = softmax(logits / self.temperature)
         best, some = p.argmax(axis=1), letters > 0
         score = np.where(some, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
-        return np.where(some, np.array(self.languages, object)[best], "und"), score, ~some | (score < self.threshold) | (share < self.least_known)
+        return np.where(some, np.array(self.languages, object)[best], "und"), score, ~some | (strange > self.slack)
+
+
+def familiar(grams: list[np.ndarray], bounds: np.ndarray, usual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, different, variance) of the values in ``usual`` of each text's subwords of LONG characters or more."""
+    texts = len(bounds) - 1
+    n, total, square, different = np.zeros((4, texts))
+    owner = np.repeat(np.arange(texts), np.diff(bounds))
+    for size, g in zip(GRAMS, grams, strict=True):
+        if size >= LONG:
+            value = usual[g].astype(np.float64)  # 0 where no subword begins
+            n += np.add.reduceat(g < BUCKETS, bounds[:-1], dtype=np.int64)
+            total += np.add.reduceat(value, bounds[:-1])
+            square += np.add.reduceat(value**2, bounds[:-1])
+            real = g[: bounds[-1]] < BUCKETS
+            seen = np.unique(owner[real] * (BUCKETS + 1) + g[: bounds[-1]][real])
+            different += np.bincount(seen // (BUCKETS + 1), minlength=texts)
+    n, total, square = (np.where(different > 0, x, 0) for x in (n, total, square))
+    mean = total / np.maximum(n, 1)
+    return mean, different, np.maximum(square / np.maximum(n, 1) - mean**2, 0)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -100,18 +123,20 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int = 400, rate: float = 1.0, batch: int = 32, seed: int = 1) -> Model:
-    """Stochastic gradient descent on four fifths of the rows; the rest set the temperature and the rejection threshold."""
+    """Stochastic gradient descent on four fifths of the rows; the rest set the temperature and the rejection."""
     names = sorted(set(langs))
     if not names:
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 1.0, np.zeros(BUCKETS + 1, bool), 0.0)
+        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, np.zeros(BUCKETS + 1, np.float32))
     label = np.array([names.index(x) for x in langs])
-    grams, ends = [], []
+    grams, long = [], []
     for part in slices(texts, 1 << 18):
         g, bounds, _ = subwords(texts[part])
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             ids, n = np.unique(np.concatenate([x[a:b] for x in g]), return_counts=True)
             real = ids < BUCKETS
             grams.append((ids[real], (n[real] / max(1, n[real].sum())).astype(np.float32)))
+            ids, n = np.unique(np.concatenate([x[a:b] for size, x in zip(GRAMS, g, strict=True) if size >= LONG]), return_counts=True)
+            long.append((ids[ids < BUCKETS].astype(np.int32), n[ids < BUCKETS].astype(np.int32)))
     rng = np.random.default_rng(seed)
     order = rng.permutation([k for k, (ids, _) in enumerate(grams) if len(ids)])
     held, train = order[: len(order) // 5], order[len(order) // 5 :]
@@ -136,54 +161,56 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int
             own = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(ids))))
             np.add.at(table, ids, -r * share[:, None] * back[own])
     table[BUCKETS] = 0
-    seen = np.zeros(BUCKETS + 1, np.int64)
-    for k in set(train.tolist()):
-        seen[grams[k][0]] += 1
-    model = Model(names, np.ascontiguousarray((table @ weight).astype(np.float32)), bias.astype(np.float64), 1.0, 0.0, seen >= min(KNOWN_IN, len(train) // 2 + 1), 0.0)
-    calibrate(model, [texts[k] for k in held], label[held])
+    model = Model(names, np.ascontiguousarray((table @ weight).astype(np.float32)), bias.astype(np.float64), 1.0, np.zeros(BUCKETS + 1, np.float32))
+    if len(held):
+        logits, _, _ = model.logits([texts[k] for k in held])
+        loss = lambda t: -np.mean(np.log(softmax(logits / t)[np.arange(len(held)), label[held]] + 1e-12))
+        model.temperature = float(min(np.geomspace(0.05, 20, 61), key=loss))
+    calibrate(model, [long[k] for k in order], label[order])
     return model
 
 
-def negatives(texts: list[str], seed: int = 3) -> dict[str, list[str]]:
-    """Texts in no language, made from others: letters shuffled over the text, letters exchanged one for one (as foreign as a language
-    with the same lengths of words), letters of scripts that come from nowhere near, and letter runs without words."""
-    rng = np.random.default_rng(seed)
-    out: dict[str, list[str]] = {"shuffled": [], "exchanged": [], "script": [], "runs": []}
-    for text in texts:
-        at = [k for k, c in enumerate(text) if c.isalpha()]
-        chars = list(text)
-        for k, j in zip(at, rng.permutation(at), strict=True):
-            chars[k] = text[j]
-        out["shuffled"].append("".join(chars))
-        code = dict(zip("abcdefghijklmnopqrstuvwxyz", rng.permutation(list("abcdefghijklmnopqrstuvwxyz")).tolist(), strict=True))
-        out["exchanged"].append("".join(code.get(c, c) for c in text.lower()))
-        base = int(rng.choice([0x0430, 0x03B1, 0x0561, 0x10D0]))
-        out["script"].append("".join(chr(base + ord(c) % 24) if c.isalpha() else c for c in text))
-        out["runs"].append("".join(chr(97 + int(c)) for c in rng.integers(0, 26, max(1, len(at)))))
+def usual_of(counts: np.ndarray) -> np.ndarray:
+    """Logarithm of each bucket's frequency against a background of all buckets alike."""
+    out = np.log((counts + UNSEEN) / (counts.sum() + UNSEEN * BUCKETS) * BUCKETS).astype(np.float32)
+    out[BUCKETS] = 0
     return out
 
 
-def calibrate(model: Model, texts: list[str], label: np.ndarray) -> None:
-    """Temperature of least log loss, and the two tests for rejection.
+def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> None:
+    """What is usual, and how far below the mean of known texts a text may be; ``rows`` are (buckets, counts) of the labelled texts' longer subwords.
 
-    Each test rejects REJECTED of the right answers at most, and the two are no sharper than it takes to reject CAUGHT of the ``negatives`` made of
-    the first MADE_OF rows: the known subwords first, the score for what passes them.
+    Each row is judged by what the other fifths of the rows hold. For what is foreign each language is left out in turn: its texts then stand for a language that was never learned.
+    The limit lies half way between what rejects REJECTED of the known texts and what catches CAUGHT of the left-out ones, and above the former by MARGIN at least.
+    With fewer than LEAST_ROWS rows to go by, nothing that has letters is rejected.
     """
-    if not texts:
+    part, n = np.arange(len(rows)) % 5, np.array([len(ids) for ids, _ in rows], np.int64)
+    ids, times = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in zip(*rows, strict=True)) if rows else np.zeros((2, 0), np.int32)
+    counts = lambda some: np.bincount(ids[np.repeat(some, n)], times[np.repeat(some, n)], BUCKETS + 1)
+    total = counts(np.ones(len(rows), bool))
+    model.usual = usual_of(total)
+    if (n > 0).sum() < LEAST_ROWS:
         return
-    logits, _, known = model.logits(texts)
-    loss = lambda t: -np.mean(np.log(softmax(logits / t)[np.arange(len(label)), label] + 1e-12))
-    model.temperature = float(min(np.geomspace(0.05, 20, 61), key=loss))
-    p = softmax(logits / model.temperature)
-    right = p.argmax(axis=1) == label
-    wrong, _, strange = model.logits([t for kind in negatives(texts[:MADE_OF]).values() for t in kind])
-    wrong = softmax(wrong / model.temperature).max(axis=1)
-    if right.any():
-        model.least_known = float(min(np.quantile(known[right], REJECTED), np.quantile(strange, CAUGHT)))
-        passed = np.sort(wrong[strange >= model.least_known])[::-1]
-        allowed = int((1 - CAUGHT) * len(wrong))
-        needed = np.nextafter(passed[allowed], 1) if len(passed) > allowed else 0.0
-        model.threshold = float(min(np.quantile(p.max(axis=1)[right], REJECTED), needed))
+
+    def judged(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(mean, variance) of each row by what all rows of other groups hold."""
+        value = np.zeros(len(ids))
+        for k in np.unique(groups):
+            own = np.repeat(groups == k, n)
+            value[own] = usual_of(total - counts(groups == k))[ids[own]]
+        some, first = n > 0, np.cumsum(n) - n
+        sums = [np.add.reduceat(x, first[some]) for x in (times, times * value, times * value**2)]
+        mean = sums[1] / sums[0]
+        return mean, np.maximum(sums[2] / sums[0] - mean**2, 0)
+
+    mean, variance = judged(part)
+    different = n[n > 0]
+    model.mean, model.of_subwords = float(np.median(mean)), float(np.median(variance))
+    model.of_texts = float(max(0.0, np.mean((mean - model.mean) ** 2 - model.of_subwords / different)))
+    near = far = max(0.0, float(np.quantile(model.below(mean, different), 1 - REJECTED)))
+    if len(model.languages) > 1:
+        far = float(np.quantile(model.below(judged(label)[0], different), 1 - CAUGHT))
+    model.slack = max(near * MARGIN, (near + far) / 2)
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -209,7 +236,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out_col:
     """``docs`` with a column ``out_col``: struct of lang (``und`` if the text is null or has no letters), score 0 to 1, rejected.
 
     Every subword of the whole text counts. Scores are probabilities at the calibrated
-    temperature; ``rejected`` texts have no letters, or fail one of the model's calibrated tests: of the score, or of how many of their subwords are known.
+    temperature; ``rejected`` texts have no letters, or subwords that are too rare in the languages learned, by a limit that allows more for short texts.
     Null ids and repeated rows are judged by their text. A very long text is one row: its task holds some dozen bytes for each character.
     An empty table gives an empty result; other columns pass through unread.
     """

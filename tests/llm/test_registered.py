@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from tessera.llm import queries
+from tessera.llm import language_id, queries
 from tessera.llm.html_extract import main_texts, trained
 from tessera.llm.packing import encode, pieces_of
 from tessera.llm.sentencepiece_codec import model_path
@@ -51,6 +51,31 @@ def test_op2(spark, texts):
         assert got[k].decoded_crc32 == zlib.crc32(first.decode(ids).encode())
 
 
+def test_op3(spark, texts):
+    """Each subword's bucket and the mean of their weights by a plain loop."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    got = {r.doc_id: r for r in queries.QUERIES["op3_language_id"](spark, SMALL).collect()}
+    assert set(got) == set(texts)
+    whole = (1 << 64) - 1
+    for k, text in sorted(texts.items())[:60]:
+        text = " " + " ".join("".join(c.lower()[0] if c.isalpha() else " " for c in text[:3000] if len(text) <= 3000).split()) + " "
+        if len(text) < 4:
+            continue
+        sums, n = np.zeros(len(model.languages)), 0
+        for size in language_id.GRAMS:
+            for at in range(len(text) - size + 1):
+                gram = text[at : at + size]
+                if gram.strip() and " " not in gram[1:-1] and not (size == 1 and gram == " "):
+                    h = 0
+                    for c in gram:
+                        h = (h * language_id.BASE + ord(c) + 1) & whole
+                    sums += model.table[((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & whole) >> 48]
+                    n += 1
+        p = language_id.softmax((sums / n + model.bias)[None] / model.temperature)[0]
+        assert got[k].lang_pred == model.languages[p.argmax()] and abs(got[k].score - p.max()) < 1e-4 and got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1)
+
+
 def test_op5(spark, texts):
     got = {r.doc_id: r for r in queries.QUERIES["op5_pii"](spark, SMALL).collect()}
     assert set(got) == set(texts)
