@@ -14,10 +14,12 @@ from tessera.operators.joins import as_of_join, range_join, salted_join, small_s
 from tessera.operators.quantiles import exact_quantiles as quantiles
 from tessera.operators.windows import running_sum, sessions, top_k
 from tessera.sources.files import load, save
+from tessera.sources.records import read_records, stream_records, write_records
 from tessera.sources.scratch import scratch
 from tessera.sources.tables import table
 from tessera.sources.workers import importable
 from tessera.streaming.events import deduplicated, events_stream, run_once, sliding_counts, tumbling_counts, user_sessions, user_totals
+from tessera.streaming.stateful import first_of_each, followed_within, silent_users
 
 QUERIES, ORACLES = {}, {}
 
@@ -363,6 +365,49 @@ def stream_user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.groupBy("user_id").agg(F.max(F.struct("n", "most")).alias("last")).select("user_id", "last.n", "last.most")
 
 
+_RUNS = "SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new, lead(ts) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+
+
+@query(f"SELECT user_id, max(ts) AS last_seen, count(*) AS n FROM ({_RUNS}) GROUP BY user_id, run HAVING max(ts) + INTERVAL 7 HOUR < (SELECT max(ts) FROM events)")
+def stream_silent_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that have been silent for six hours, each time a timer finds it out, behind a watermark of an hour."""
+    return run_once(silent_users(events_stream(spark, sf_dir)), "append", "stream-silent")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+def stream_first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user and type, from state that expires a day later."""
+    return run_once(first_of_each(events_stream(spark, sf_dir), key="user_id", value="event_type", id_col="event_id"), "append", "stream-first", one_batch=True)
+
+
+@query("WITH c AS (SELECT * FROM events WHERE event_type = 'click'), p AS (SELECT * FROM events WHERE event_type = 'purchase'), w AS (SELECT least((SELECT max(ts) FROM c), (SELECT max(ts) FROM p)) - INTERVAL 1 HOUR AS mark) SELECT c.event_id, p.event_id AS purchase FROM c LEFT JOIN p ON c.user_id = p.user_id AND p.ts > c.ts AND p.ts <= c.ts + INTERVAL 1 HOUR, w WHERE p.event_id IS NOT NULL OR c.ts + INTERVAL 1 HOUR < mark")
+def stream_click_to_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks with the purchases that follow within an hour, as a join of two streams; clicks without one come behind the watermark."""
+    clicks, bought = (events_stream(spark, sf_dir).where(F.col("event_type") == kind) for kind in ("click", "purchase"))
+    return run_once(followed_within(clicks, bought, key="user_id", time="ts", id_col="event_id", out="purchase"), "append", "stream-followed")
+
+
+@query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, min(md5(text)) AS least FROM documents WHERE n_chars >= 5000 AND n_chars < 20000 GROUP BY ALL")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through record files dealt in ranges of text length: the conditions leave out the files of other lengths."""
+    path = scratch(spark, "records")
+    write_records(table(spark, sf_dir, "documents").repartitionByRange(16, "n_chars"), path, keys=["n_chars", "lang"])
+    rows = read_records(spark, path, where=[("n_chars", ">=", 5000), ("n_chars", "<", 20000)])
+    return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.min(F.md5("text")).alias("least"))
+
+
+@query("SELECT event_id, user_id, ts FROM events WHERE event_type <> 'view'")
+def stream_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record files as a stream with offsets: a run over one half of the events, then a run that goes on from there when the rest has come."""
+    path, out, state = (scratch(spark, f"stream-records-{x}") for x in ("in", "out", "state"))
+    events = table(spark, sf_dir, "events").where("event_type <> 'view'").select("event_id", "user_id", "ts")
+    first = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    for part in (first, ~first):
+        write_records(events.where(part), path)
+        stream_records(spark, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(out)
+
+
 def _through(kind: str, name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, path = table(spark, sf_dir, name), scratch(spark, f"files-{kind}")

@@ -28,8 +28,11 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_once(stream: DataFrame, mode: str, tag: str) -> DataFrame:
-    """Runs a stream over what there is and gives back its result; offsets, state and result are in the shared folder."""
+def run_once(stream: DataFrame, mode: str, tag: str, one_batch: bool = False) -> DataFrame:
+    """Runs a stream over what there is and gives back its result; offsets, state and result are in the shared folder.
+
+    ``one_batch`` is for state that expires by processing time: while there is such state, Spark always sees another batch to run.
+    """
     spark = stream.sparkSession
     out = scratch(spark, f"{tag}-out")
 
@@ -37,7 +40,7 @@ def run_once(stream: DataFrame, mode: str, tag: str) -> DataFrame:
         # complete mode gives all rows each time; a batch that runs again replaces its own folder
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch(spark, f"{tag}-state")).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch(spark, f"{tag}-state")).trigger(**({"once": True} if one_batch else {"availableNow": True})).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
