@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.vectorized import Digits, digit_sum, spread
+from tessera.operators.chains import chains
+from tessera.operators.dominance import dominance_counts
+from tessera.operators.frequent import heavy_hitters
 from tessera.operators.joins import as_of_join, range_join, salted_join, small_side
+from tessera.operators.overlaps import overlap_join
 from tessera.operators.quantiles import exact_quantiles as quantiles
 from tessera.operators.windows import running_sum, sessions, top_k
 from tessera.sources.files import load, save
 from tessera.sources.records import read_records, stream_records, write_records
-from tessera.sources.scratch import scratch
+from tessera.sources.scratch import scratch, write_down
 from tessera.sources.tables import table
 from tessera.sources.workers import importable
 from tessera.streaming.events import deduplicated, events_stream, run_once, sliding_counts, tumbling_counts, user_sessions, user_totals
@@ -328,6 +332,46 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "session_start", "n", "most")
 
 
+_SPANS = "SELECT user_id, min(ts) AS a, max(ts) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, k UNION ALL SELECT -1, min(ts), max(ts) FROM events"
+
+
+@query(f"WITH s AS ({_SPANS}) SELECT x.user_id, count(*) AS pairs, count(DISTINCT y.user_id) AS users, CAST(round(sum(epoch_us(least(x.b, y.b)) - epoch_us(greatest(x.a, y.a)))) AS BIGINT) AS together FROM s x JOIN s y ON x.user_id <> y.user_id AND x.a <= y.b AND y.a <= x.b GROUP BY x.user_id")
+def overlapping_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of different users that overlap, and one span over all of them: from single moments to a month."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("t"))
+    found = sessions(events, key="user_id", time="t", gap="30 minutes", aggregates=[F.min("t").alias("first"), F.max("t").alias("last")])
+    every = events.agg(F.lit(-1).cast("long").alias("user_id"), F.min("t").alias("first"), F.max("t").alias("last"))
+    spans = found.select("user_id", "first", "last").union(every).select("user_id", F.unix_micros("first").alias("a"), (F.unix_micros("last") + 1).alias("b"))
+    other = spans.select(F.col("user_id").alias("other"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    pairs = overlap_join(spans, other, left_span=("a", "b"), right_span=("a2", "b2"), on=F.col("user_id") != F.col("other"))
+    return pairs.groupBy("user_id").agg(F.count("*").alias("pairs"), F.countDistinct("other").alias("users"), F.sum(F.least("b", "b2") - F.greatest("a", "a2") - 1).alias("together"))
+
+
+@query("SELECT o_orderkey, CAST((SELECT count(*) FROM orders p WHERE p.o_orderdate < o.o_orderdate AND p.o_totalprice > o.o_totalprice) AS BIGINT) AS older_and_dearer FROM orders o")
+def older_and_dearer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders are older and dearer than each: a join by two inequalities without its pairs."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    by = ("o_orderdate", "o_totalprice")
+    return dominance_counts(orders, orders, left_by=by, right_by=by, out="older_and_dearer").select("o_orderkey", "older_and_dearer")
+
+
+@query("SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY l_quantity HAVING count(*) >= 0.02 * (SELECT count(*) FROM lineitem)")
+def frequent_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of at least a fiftieth of all lines."""
+    return heavy_hitters(table(spark, sf_dir, "lineitem"), "l_quantity", 0.02)
+
+
+_NEXT = "SELECT a, b FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER w AS b, lead(o_orderdate) OVER w - o_orderdate <= INTERVAL 30 DAY AS soon FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE soon"
+
+
+@query(f"WITH RECURSIVE l AS ({_NEXT}), walk(head, last, length) AS (SELECT a, b, 1::BIGINT FROM l WHERE a NOT IN (SELECT b FROM l) UNION ALL SELECT head, b, length + 1 FROM walk JOIN l ON a = last) SELECT head, last, length, 'end' AS ends FROM walk WHERE last NOT IN (SELECT a FROM l)")
+def order_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of orders of a customer, each within 30 days of the one before."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    nexts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"), (F.lead("o_orderdate").over(w) <= F.col("o_orderdate") + F.expr("INTERVAL 30 DAY")).alias("soon"))
+    return chains(write_down(nexts.where("soon").select("a", "b"), "order-links"))
+
+
 @query(ORACLES["tumbling_day"])
 def stream_tumbling_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily counts as a stream with a watermark, in complete mode."""

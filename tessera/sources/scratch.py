@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -29,3 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def write_down(df: DataFrame, tag: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, so that several later steps share one run and a lost executor costs a reread."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
