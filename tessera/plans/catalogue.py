@@ -5,18 +5,22 @@ Their scope is this project's own choice: no capabilities of another project are
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.functions.vectorized import Digits, digit_sum, spread
+from tessera.functions.vectorized import Digits, FillGaps, digit_sum, least_squares, spread
 from tessera.operators.chains import chains
 from tessera.operators.dominance import dominance_counts
 from tessera.operators.frequent import heavy_hitters
 from tessera.operators.joins import as_of_join, range_join, salted_join, small_side
 from tessera.operators.overlaps import overlap_join
 from tessera.operators.quantiles import exact_quantiles as quantiles
+from tessera.operators.sketches import RANK_ERROR, common, distinct_by_theta, keep_daily, merged, near, only_first, quantile
 from tessera.operators.windows import running_sum, sessions, top_k
+from tessera.sources.clustered import read_clustered, write_clustered
 from tessera.sources.files import load, save
 from tessera.sources.records import read_records, stream_records, write_records
 from tessera.sources.scratch import scratch, write_down
@@ -151,10 +155,34 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.countDistinct("props").alias("props"))
 
 
-@query()
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS parts_near, true AS median_near FROM lineitem GROUP BY l_returnflag")
 def approximate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HyperLogLog and quantile sketches: no exact SQL to compare with, tested for their error bound."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.percentile_approx("l_extendedprice", 0.5, 10_000).alias("median_price"))
+    """HyperLogLog and quantile estimates held against the exact count and the estimate's rank."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey", "l_extendedprice")
+    about = rows.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("about"), F.percentile_approx("l_extendedprice", 0.5, 10_000).alias("median"))
+    about = small_side(write_down(about, "about"))
+    exact = rows.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"))
+    ranks = rows.join(about, "l_returnflag").groupBy("l_returnflag").agg(F.avg((F.col("l_extendedprice") <= F.col("median")).cast("int")).alias("rank"))
+    return exact.join(about, "l_returnflag").join(ranks, "l_returnflag").select("l_returnflag", "parts", near(F.col("about"), F.col("parts"), F.col("parts"), 0.06).alias("parts_near"), (F.abs(F.col("rank") - 0.5) <= 0.002).alias("median_near"))
+
+
+@query("WITH y AS (SELECT DISTINCT CAST(year(l_shipdate) AS BIGINT) AS year, l_partkey FROM lineitem) SELECT a.year, count(*) AS parts, count(b.l_partkey) AS kept, count(*) - count(b.l_partkey) AS fresh, true AS hll_near, true AS theta_near, true AS kept_near, true AS fresh_near, true AS median_near FROM y a LEFT JOIN y b ON b.year = a.year - 1 AND b.l_partkey = a.l_partkey GROUP BY a.year")
+def stored_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches kept for each day of shipping and merged for years: parts, those that the year before had too, those it had not, and the median price, each held against the exact value."""
+    rows, path = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_partkey", "l_extendedprice"), scratch(spark, "sketches")
+    keep_daily(rows, path, time="l_shipdate", key="l_partkey", number="l_extendedprice")
+    years = write_down(merged(spark.read.parquet(path), F.year("day").cast("long"), "year"), "years")
+    pairs = years.alias("a").join(years.alias("b"), F.col("b.year") == F.col("a.year") - 1, "left")
+    none = F.col("b.theta").isNull()
+    own = distinct_by_theta(F.col("a.theta"))
+    about = pairs.select(F.col("a.year").alias("year"), F.hll_sketch_estimate("a.hll").alias("hll"), own.alias("theta"), F.when(none, 0).otherwise(common(F.col("a.theta"), F.col("b.theta"))).alias("both"), F.when(none, own).otherwise(only_first(F.col("a.theta"), F.col("b.theta"))).alias("only"), (own + F.coalesce(distinct_by_theta(F.col("b.theta")), F.lit(0))).alias("union"), quantile(F.col("a.kll"), 0.5).alias("median"))
+    about = small_side(write_down(about, "about-years"))
+    year = F.year("l_shipdate").cast("long")
+    own = rows.select(year.alias("year"), "l_partkey").distinct()
+    exact = own.join(own.select((F.col("year") + 1).alias("year"), "l_partkey", F.lit(1).alias("old")), ["year", "l_partkey"], "left").groupBy("year").agg(F.count("*").alias("parts"), F.count("old").alias("kept"))
+    ranks = rows.withColumn("year", year).join(about, "year").groupBy("year").agg(F.avg((F.col("l_extendedprice") <= F.col("median")).cast("int")).alias("rank"), F.count("*").alias("rows"))
+    c = F.col
+    return exact.join(about, "year").join(ranks, "year").select("year", "parts", "kept", (c("parts") - c("kept")).alias("fresh"), near(c("hll"), c("parts"), c("parts")).alias("hll_near"), near(c("theta"), c("parts"), c("parts")).alias("theta_near"), near(c("both"), c("kept"), c("union")).alias("kept_near"), near(c("only"), c("parts") - c("kept"), c("union")).alias("fresh_near"), (F.abs(c("rank") - 0.5) <= RANK_ERROR + 1 / c("rows")).alias("median_near"))
 
 
 @query("SELECT l_returnflag, round(median(l_extendedprice), 4) AS median_price, round(quantile_cont(l_quantity, 0.9), 4) AS p90, round(stddev_samp(l_discount), 8) AS spread FROM lineitem GROUP BY l_returnflag")
@@ -306,6 +334,31 @@ def grouped_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(spread("p_retailprice"), 6).alias("price_range"))
 
 
+@query("SELECT l_returnflag, l_linestatus, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope FROM lineitem GROUP BY ALL")
+def two_phase_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user-defined aggregate in two phases: regression of price on quantity; tasks hand on moments, not rows."""
+    importable(spark)
+    found = least_squares(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", ["l_quantity"])
+    return found.select("l_returnflag", "l_linestatus", "n", F.round("intercept", 4).alias("intercept"), F.round("l_quantity", 6).alias("slope"))
+
+
+@query("WITH d AS (SELECT user_id, date_trunc('day', ts)::DATE AS day, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT user_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY user_id) SELECT s.user_id, s.day, coalesce(n, 0) AS n, n IS NULL AS filled FROM s LEFT JOIN d ON s.user_id = d.user_id AND s.day = d.day")
+def filled_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function over a table: each user's days without events are added with a count of 0."""
+    importable(spark)
+    daily = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return FillGaps(daily.asTable().partitionBy("user_id").orderBy("day"), F.lit("day"), F.lit("n"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1998-03-01' AND TIMESTAMP '1998-06-30' AND l_extendedprice BETWEEN 20000 AND 40000 GROUP BY l_returnflag")
+def clustered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in files near in date and price; a query over both opens the files that can match."""
+    rows, path = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", "l_extendedprice", "l_quantity"), scratch(spark, "clustered")
+    write_clustered(rows, path, by=("l_shipdate", "l_extendedprice"), files=32)
+    found = read_clustered(spark, path, rows.schema, where=[("l_shipdate", datetime(1998, 3, 1), datetime(1998, 6, 30)), ("l_extendedprice", 20000.0, 40000.0)])
+    return found.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
 @query("SELECT s_suppkey, CAST(i AS INTEGER) AS place, CAST(substr(CAST(s_suppkey AS VARCHAR), CAST(i + 1 AS INTEGER), 1) AS INTEGER) AS digit FROM supplier, LATERAL (SELECT unnest(range(length(CAST(s_suppkey AS VARCHAR)))) AS i) t")
 def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user-defined table function, joined laterally."""
