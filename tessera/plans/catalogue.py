@@ -18,6 +18,7 @@ from tessera.operators.frequent import heavy_hitters
 from tessera.operators.joins import as_of_join, range_join, salted_join, small_side
 from tessera.operators.overlaps import overlap_join
 from tessera.operators.quantiles import exact_quantiles as quantiles
+from tessera.operators.ranks import neighbours, positions, tile, within_before
 from tessera.operators.sketches import RANK_ERROR, common, distinct_by_theta, keep_daily, merged, near, only_first, quantile
 from tessera.operators.windows import running_sum, sessions, top_k
 from tessera.sources.clustered import read_clustered, write_clustered
@@ -189,9 +190,8 @@ def stored_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles by counting in ranges: no task holds a group's values."""
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity", "l_discount")
-    found = quantiles(rows, "l_returnflag", {"median_price": ("l_extendedprice", 0.5), "p90": ("l_quantity", 0.9)})
-    spreads = rows.groupBy("l_returnflag").agg(F.round(F.stddev_samp("l_discount"), 8).alias("spread"))
-    return found.join(spreads, "l_returnflag").select("l_returnflag", F.round("median_price", 4).alias("median_price"), F.round("p90", 4).alias("p90"), "spread")
+    found = quantiles(rows, "l_returnflag", {"median_price": ("l_extendedprice", 0.5), "p90": ("l_quantity", 0.9)}, more={"spread": F.stddev_samp("l_discount")})
+    return found.select("l_returnflag", F.round("median_price", 4).alias("median_price"), F.round("p90", 4).alias("p90"), F.round("spread", 8).alias("spread"))
 
 
 @query("SELECT sum_of_digits, count(*) AS n FROM (SELECT CAST(list_sum(list_transform(string_split(CAST(p_partkey AS VARCHAR), ''), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS sum_of_digits FROM part) GROUP BY sum_of_digits")
@@ -214,15 +214,25 @@ def running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, lag(event_type) OVER w AS before, lead(event_type, 2) OVER w AS after_two, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS INTEGER) AS type_rank, round(avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean_of_three FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def window_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.lag("event_type").over(w).alias("before"), F.lead("event_type", 2).over(w).alias("after_two"), F.dense_rank().over(W.partitionBy("user_id").orderBy("event_type")).alias("type_rank"), F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 6).alias("mean_of_three"))
+    """Neighbours, moving means and dense ranks without a task that sees a user: by places, and by each user's types."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    types = events.select("user_id", F.col("event_type").alias("kind")).distinct()
+    types = small_side(write_down(types.select(F.col("user_id").alias("u"), "kind", F.dense_rank().over(W.partitionBy("user_id").orderBy("kind")).alias("type_rank")), "types"))  # one row a user and type
+    near_by = neighbours(positions(events, ["user_id"], [F.asc("ts"), F.asc("event_id")]), ["user_id"], "at", {"before": ("event_type", 1), "after_two": ("event_type", -2), "one": ("value", 1), "two": ("value", 2)})
+    out = near_by.join(types, F.col("user_id").eqNullSafe(F.col("u")) & F.col("event_type").eqNullSafe(F.col("kind")))
+    three = F.filter(F.array("value", "one.value", "two.value"), lambda v: v.isNotNull())
+    mean = F.try_divide(F.aggregate(three, F.lit(0.0), lambda a, v: a + v), F.size(three))
+    return out.select("event_id", F.col("before.value").alias("before"), F.col("after_two.value").alias("after_two"), "type_rank", F.round(mean, 6).alias("mean_of_three"))
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY value, event_id) AS INTEGER) AS quarter, round(percent_rank() OVER (PARTITION BY user_id ORDER BY value, event_id), 8) AS part FROM events")
 def window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    by_value = W.partitionBy("user_id").orderBy("value", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.count("*").over(W.partitionBy("user_id").orderBy(t).rangeBetween(-3_600_000_000, 0)).alias("last_hour"), F.ntile(4).over(by_value).alias("quarter"), F.round(F.percent_rank().over(by_value), 8).alias("part"))
+    """A frame of an hour, tiles and relative ranks, from places within ranges of each user's order."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts")
+    hour = within_before(events, ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")), "event_id", 3_600_000_000, out="last_hour")
+    placed = positions(events, ["user_id"], [F.asc("value"), F.asc("event_id")])
+    part = F.when(F.col("of") > 1, (F.col("at") - 1) / (F.col("of") - 1)).otherwise(0.0)
+    return placed.select("event_id", tile(F.col("at"), F.col("of"), 4).alias("quarter"), F.round(part, 8).alias("part")).join(hour, "event_id").select("event_id", "last_hour", "quarter", "part")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
