@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,10 +17,12 @@ from .common import by_slots, col, cols, fresh, hot_join, lower_batches, materia
 KINDS = ("email", "ip", "card", "phone")
 #: Kind of the spans that contexts find.
 FOUND = "id"
-#: Shapes of secrets. They are seeds of contexts like the kinds above, but a context must confirm each of them: a long
-#: hexadecimal number may as well be the name of a revision.
-SECRETS = re.compile(r"(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}")
-#: Rounds of scoring; a pattern counts from so many known identifiers on; least scores of a pattern and of an instance to be believed.
+#: Shapes of keys that begin in a way of their own. They are found by shape, wherever they stand, and are seeds of contexts.
+STARTS = ("AKIA", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")
+KEYS = re.compile(r"(?<![0-9A-Za-z_-])(?:AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[pousr]_[0-9A-Za-z]{36,}+|sk-[0-9A-Za-z-]{20,}+|xox[abprs]-[0-9A-Za-z-]{10,}+)(?![0-9A-Za-z_-])")
+#: A long hexadecimal number is a seed too, but may as well be the name of a revision: contexts must confirm each of them.
+HEX = re.compile(r"(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}")
+#: Rounds of scoring; a pattern counts from so many known identifiers on (with fewer in a context, what only contexts could tell stays: a table with fewer than SUPPORT such secrets keeps them); least scores of a pattern and of an instance to be believed.
 ROUNDS, SUPPORT, PATTERN, INSTANCE = 3, 8, 0.8, 0.9
 
 # Linear forms of the contract's expressions: a possessive run can't match after giving characters back, and no match ends inside a run.
@@ -75,6 +78,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def keys(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of KEYS that overlap none of ``base``."""
+    if not any(x in text for x in STARTS):
+        return []
+    busy = sorted((s, e) for _, s, e in base)
+    spans = []
+    for m in KEYS.finditer(text):
+        at = bisect_left(busy, (m.end(), 0))
+        if not any(e > m.start() for _, e in busy[max(0, at - len(KINDS)) : at]):
+            spans.append((FOUND, *m.span()))
+    return spans
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
@@ -128,8 +144,9 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             base = base_spans(text)
-            seen = [{"start": s, "end": e, "seed": True, "base": True, "instance": text[s:e], "patterns": contexts(text, s, e)} for _, s, e in base]
-            seen += [{"start": s, "end": e, "seed": SECRETS.fullmatch(text, s, e) is not None, "base": False, "instance": text[s:e], "patterns": contexts(text, s, e)} for s, e in candidates(text, base)]
+            sure = keys(text, base)
+            spans = [(s, e, True, kind != FOUND, kind == FOUND) for kind, s, e in base + sure] + [(s, e, HEX.fullmatch(text, s, e) is not None, False, False) for s, e in candidates(text, base + sure)]
+            seen = [{"start": s, "end": e, "seed": seed, "base": is_base, "key": key, "instance": text[s:e], "patterns": contexts(text, s, e)} for s, e, seed, is_base, key in spans]
             n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
             spans = joined(base)
             out.append((doc_id, (part << 40) + row, hashlib.sha256(text.encode()).hexdigest(), *n, hashlib.sha256(spans.encode()).hexdigest(), spans, seen))
@@ -140,15 +157,15 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def discovered(found: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, pattern: float = PATTERN, instance: float = INSTANCE) -> DataFrame:
     """(row, start, end) of spans that match no base kind but stand in contexts where seeds stand.
 
-    The graph has an edge for each pattern and instance that occur together. A seed (a base span, or a secret's shape) has score 1. A
+    The graph has an edge for each pattern and instance that occur together. A seed (a base span, a key, or a long hexadecimal number) has score 1. A
     round scores each pattern by the mean score of its instances (shrunk by two unknown
     ones), if at least ``support`` score well, and then each other instance by its
     believed patterns: one minus the product of their doubts, over two of them at least. What scores ``instance`` by its patterns
-    is found; so is a secret's shape, which seeds patterns but is no find by itself. Only counts and sums of a pattern or
+    is found, and so is a key of a shape of its own by itself; a hexadecimal number seeds patterns but is no find by itself. Only counts and sums of a pattern or
     instance meet in one place, combined before the shuffle, and go back to the edges of hot ones by broadcast, so a pattern
     or an instance that a third of all edges share is no hot spot.
     """
-    seen = found.select("row", F.explode("seen").alias("s")).select("row", "s.start", "s.end", "s.seed", "s.base", F.sha2("s.instance", 256).alias("instance"), "s.patterns")
+    seen = found.select("row", F.explode("seen").alias("s")).select("row", "s.start", "s.end", "s.seed", "s.base", "s.key", F.sha2("s.instance", 256).alias("instance"), "s.patterns")
     seen = materialise(seen, "pii-seen")
     edges = materialise(seen.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
     total = edges.count()
@@ -160,17 +177,17 @@ def discovered(found: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT
         doubts = hot_join(edges, believed, ["pattern"], "edges", total, "left").groupBy("instance").agg(F.max("seed").alias("seed"), F.count("p").alias("n"), F.sum(F.log(F.lit(1.0) - F.least("p", F.lit(0.999)))).alias("d"), F.count("*").alias("edges"))
         by_context = F.when(F.col("n") >= 2, 1.0 - F.exp("d")).otherwise(0.0)
         scores = materialise(doubts.select("instance", F.when(F.col("seed"), 1.0).otherwise(by_context).alias("score"), by_context.alias("context"), "edges"), "pii-scores")
-    open_spans = seen.where("not base").select("row", "start", "end", "instance")
+    open_spans = seen.where("not base and not key").select("row", "start", "end", "instance")
     sure = scores.where(F.col("context") >= instance).select("instance")
     sure = open_spans.groupBy("instance").agg(F.count("*").alias("spans")).join(sure, "instance")
-    return hot_join(open_spans, sure, ["instance"], "spans", open_spans.count()).select("row", "start", "end")
+    return hot_join(open_spans, sure, ["instance"], "spans", open_spans.count()).select("row", "start", "end").union(seen.where("key").select("row", "start", "end"))
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """What ``find`` gives, and ``text_sha256``: rows of equal texts have equal spans, whatever their ids."""
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     n = ", ".join(f"n_{k} long" for k in KINDS)
-    seen = "seen array<struct<start: int, end: int, seed: boolean, base: boolean, instance: string, patterns: array<string>>>"
+    seen = "seen array<struct<start: int, end: int, seed: boolean, base: boolean, key: boolean, instance: string, patterns: array<string>>>"
     with small_batches(docs.sparkSession):
         found = materialise(rows.mapInPandas(_find, f"doc_id long, row long, text_sha256 string, {n}, base_sha256 string, base string, {seen}"), "pii-found")
     more = discovered(found).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("more"))
