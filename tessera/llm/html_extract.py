@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.scratch import shared_dir
+from tessera.sources.scratch import scratch, shared_dir
 
 from .common import col, fresh, lower_batches
 from .text import slices, words
@@ -27,7 +27,7 @@ MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 PART = re.compile(r"[a-z]+")
 #: Elements without an end, whose content is no markup, whose content is never text, and that don't end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes".split())
+RAW = frozenset("script style template textarea title iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Graphics, formulas and embedded objects: what they say is text of the block they stand in.
 EMBEDDED = frozenset("audio canvas object picture svg video g text tspan math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd semantics annotation".split())
@@ -37,7 +37,7 @@ SECTIONS = frozenset("address article aside blockquote div dl fieldset figure fo
 
 #: Buckets of the tag path and of the words, other numbers of a block, hidden units of each direction.
 PATHS, WORDS, REST, HIDDEN = 512, 32, 6, 24
-#: Blocks that one call of the network handles at a time.
+#: Blocks whose dense numbers stand in memory at a time, over all pages of a group; longer pages go by in such parts.
 AT_ONCE = 1 << 14
 
 
@@ -54,7 +54,8 @@ class Path:
     def __init__(self):
         self.stack: list[tuple[str, ...]] = []
         self.held: Counter[str] = Counter()
-        self.vector = np.zeros(PATHS, np.float32)
+        self.vector = np.zeros(PATHS, np.int32)
+        self.seen: dict[bytes, np.ndarray] = {}
 
     def _add(self, token: str, by: int) -> None:
         i, x, j, y = _places(token)
@@ -77,20 +78,21 @@ class Path:
         return words[0]
 
     def now(self) -> np.ndarray:
-        """The counts, and the innermost two tags once more with their place."""
+        """The counts, and the innermost two tags once more with their place; blocks of one path share one array of bytes (no count goes beyond 127)."""
         out = self.vector.copy()
         for k, words in enumerate(reversed(self.stack[-2:])):
             i, x, j, y = _places(f"{k}:{words[0]}")
             out[i] += x
             out[j] += y
-        return out
+        key = np.clip(out, -127, 127).astype(np.int8).tobytes()
+        return self.seen.setdefault(key, np.frombuffer(key, np.int8))
 
 
 def blocks(page: str) -> list[tuple[str, np.ndarray, int, int]]:
     """(text, path vector, characters in links, tags) of each leaf block in page order, white space single and references decoded.
 
     The path has every open element with its class, id and role words, at any depth. Comments,
-    scripts, styles and the like hold no blocks; an element that is never closed ends with
+    scripts, styles and the like hold no blocks, but noscript does, as it shows where scripts don't run; an element that is never closed ends with
     its parent, an unmatched end tag is ignored.
     """
     out: list[tuple[str, np.ndarray, int, int]] = []
@@ -162,29 +164,46 @@ def blocks(page: str) -> list[tuple[str, np.ndarray, int, int]]:
     return out
 
 
-def features(pages: list[list[tuple[str, np.ndarray, int, int]]]) -> list[np.ndarray]:
-    """For each page (blocks, PATHS + WORDS + REST): the blocks' paths, the directions of their hashed words, and sizes."""
-    flat = [block for page in pages for block in page]
-    out = np.zeros((len(flat), PATHS + WORDS + REST), np.float32)
-    if flat:
-        out[:, :PATHS] = [path for _, path, *_ in flat]
-        n = np.array([len(text) for text, *_ in flat])
-        count = np.zeros(len(flat))
-        for part in slices([text for text, *_ in flat]):
-            hashes, bounds = words([text for text, *_ in flat[part]])
+class Rows:
+    """A page's blocks in numbers: each different path once and its place for each block, the other numbers for each block."""
+
+    def __init__(self, page: list[tuple[str, np.ndarray, int, int]]):
+        places: dict[int, int] = {}
+        self.index = np.array([places.setdefault(id(path), len(places)) for _, path, *_ in page], np.int32)
+        self.paths = np.zeros((len(places), PATHS), np.int8)
+        for _, path, *_ in page:  # an array again and again, but no list of them
+            self.paths[places[id(path)]] = path
+        self.others = np.zeros((len(page), WORDS + REST), np.float32)
+        texts = [text for text, *_ in page]
+        n, count = np.array([len(t) for t in texts]), np.zeros(len(texts))
+        for part in slices(texts):
+            hashes, bounds = words(texts[part])
             count[part] = np.diff(bounds)
             owner = np.repeat(np.arange(part.stop - part.start), np.diff(bounds))
             place = owner * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64)
             sign = 1.0 - 2.0 * ((hashes >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
             v = np.bincount(place, sign, (part.stop - part.start) * WORDS).reshape(-1, WORDS)
-            out[part, PATHS : PATHS + WORDS] = 0.5 * v / np.maximum(1.0, np.sqrt((v * v).sum(axis=1, keepdims=True)))
-        rest = out[:, PATHS + WORDS :]
-        rest[:, 0], rest[:, 1] = np.log1p(n) / 8, np.log1p(count) / 6
-        rest[:, 2] = np.minimum(1, np.array([linked for *_, linked, _ in flat]) / n)
-        rest[:, 3] = np.minimum(1, np.array([tags for *_, tags in flat]) / np.maximum(1, count))
-        rest[:, 4] = [text[-1] in ".!?:;…" for text, *_ in flat]
-        rest[:, 5] = np.concatenate([np.arange(1, len(page) + 1) / max(1, len(page)) for page in pages])
-    return np.split(out, np.cumsum([len(page) for page in pages])[:-1])
+            self.others[part, :WORDS] = 0.5 * v / np.maximum(1.0, np.sqrt((v * v).sum(axis=1, keepdims=True)))
+        rest = self.others[:, WORDS:]
+        if texts:
+            rest[:, 0], rest[:, 1] = np.log1p(n) / 8, np.log1p(count) / 6
+            rest[:, 2] = 3 * np.minimum(1, np.array([linked for *_, linked, _ in page]) / n)
+            rest[:, 3] = np.minimum(1, np.array([tags for *_, tags in page]) / np.maximum(1, count))
+            rest[:, 4] = [t[-1] in ".!?:;…" for t in texts]
+            rest[:, 5] = np.arange(1, len(texts) + 1) / len(texts)
+
+    def __len__(self) -> int:
+        return len(self.index)
+
+    def dense(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """(blocks, PATHS + WORDS + REST) of the blocks first to last: their paths, the directions of their hashed words, and sizes."""
+        part = slice(first, last)
+        return np.hstack([self.paths[self.index[part]].astype(np.float32), self.others[part]])
+
+
+def features(pages: list[list[tuple[str, np.ndarray, int, int]]]) -> list[Rows]:
+    """The numbers of each page's blocks."""
+    return [Rows(page) for page in pages]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -205,30 +224,42 @@ class Labeller:
         self.p["o"] = rng.normal(0, 0.3, 2 * h).astype(np.float32)
         self.p["ob"] = np.zeros(1, np.float32)
 
+    def run(self, way: str, x: np.ndarray, mask: np.ndarray, state: tuple[np.ndarray, np.ndarray], keep: list | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Hidden units (pages, blocks, HIDDEN) of one direction from ``state`` on, and the state behind them."""
+        gates, (h, c) = x @ self.p[f"x{way}"] + self.p[f"c{way}"], state
+        out = np.zeros((*x.shape[:2], HIDDEN), np.float32)
+        for k in range(x.shape[1]) if way == "f" else range(x.shape[1] - 1, -1, -1):
+            z = gates[:, k] + h @ self.p[f"h{way}"]
+            i, f, o = (sigmoid(z[:, j * HIDDEN : (j + 1) * HIDDEN]) for j in range(3))
+            g = np.tanh(z[:, 3 * HIDDEN :])
+            was, h_was, m = c, h, mask[:, k, None]
+            c = m * (f * c + i * g) + (1 - m) * c
+            h = m * (o * np.tanh(c)) + (1 - m) * h
+            out[:, k] = h
+            if keep is not None:
+                keep.append((way, k, i, f, o, g, was, c, h_was, m))
+        return out, (h, c)
+
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Logits (pages, blocks) of x (pages, blocks, d); ``keep`` gets what ``backward`` needs."""
-        n, t, _ = x.shape
-        both = []
-        for way in "fb":
-            gates = x @ self.p[f"x{way}"] + self.p[f"c{way}"]
-            h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-            out = np.zeros((n, t, HIDDEN), np.float32)
-            for k in range(t) if way == "f" else range(t - 1, -1, -1):
-                z = gates[:, k] + h @ self.p[f"h{way}"]
-                i, f, o = (sigmoid(z[:, j * HIDDEN : (j + 1) * HIDDEN]) for j in range(3))
-                g = np.tanh(z[:, 3 * HIDDEN :])
-                was, h_was, m = c, h, mask[:, k, None]
-                c = m * (f * c + i * g) + (1 - m) * c
-                h = m * (o * np.tanh(c)) + (1 - m) * h
-                out[:, k] = h
-                if keep is not None:
-                    keep.append((way, k, i, f, o, g, was, c, h_was, m))
-            both.append(out)
-        h = np.concatenate(both, axis=2)
+        zero = np.zeros((len(x), HIDDEN), np.float32)
+        h = np.concatenate([self.run(way, x, mask, (zero, zero), keep)[0] for way in "fb"], axis=2)
         if keep is not None:
             keep.append(h)
         return h @ self.p["o"] + self.p["ob"]
 
+    def logits(self, pages: list[Rows], at_once: int = AT_ONCE) -> np.ndarray:
+        """As ``forward``, over parts of at most ``at_once`` blocks (one block of each page at least), the state carried on from one to the next."""
+        longest, step = max(map(len, pages)), max(1, at_once // len(pages))
+        out = np.zeros((len(pages), longest), np.float32) + self.p["ob"]
+        for way, own in (("f", self.p["o"][:HIDDEN]), ("b", self.p["o"][HIDDEN:])):
+            state = (np.zeros((len(pages), HIDDEN), np.float32),) * 2
+            for at in range(0, longest, step)[:: 1 if way == "f" else -1]:
+                x, mask = padded([page.dense(at, at + step) for page in pages])
+                h, state = self.run(way, x, mask, state)
+                out[:, at : at + step] += h @ own
+        return out
+
     def backward(self, x: np.ndarray, error: np.ndarray, keep: list) -> dict[str, np.ndarray]:
         """Gradients for the error (pages, blocks) of the logits."""
         h = keep.pop()
@@ -256,7 +287,7 @@ class Labeller:
             grad[f"x{way}"], grad[f"c{way}"] = flat.T @ dz, dz.sum(axis=0)
         return grad
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], *, epochs: int = 8, batch: int = 64, rate: float = 0.014, seed: int = 5) -> None:
+    def fit(self, pages: list[tuple[Rows, np.ndarray]], *, epochs: int = 10, batch: int = 64, rate: float = 0.014, seed: int = 5) -> None:
         """Adam on the mean log loss of all blocks."""
         rng = np.random.default_rng(seed)
         m, v, step = ({k: np.zeros_like(p) for k, p in self.p.items()} for _ in range(2)), None, 0
@@ -278,13 +309,13 @@ class Labeller:
                     v[k] = 0.99 * v[k] + 0.01 * q * q
                     self.p[k] -= (rate * (1 - epoch / epochs / 1.2) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For each page which blocks are main text."""
+    def label(self, pages: list[Rows]) -> list[np.ndarray]:
+        """For each page which blocks are main text; short pages go together, long ones alone."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order, group = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k])), []
         for k in [*order, None]:
             if group and (k is None or len(pages[k]) * (len(group) + 1) > AT_ONCE):
-                logits = self.forward(*padded([pages[j] for j in group]))
+                logits = self.logits([pages[j] for j in group])
                 for row, j in enumerate(group):
                     out[j] = logits[row, : len(pages[j])] > 0
                 group = []
@@ -293,7 +324,9 @@ class Labeller:
         return out
 
 
-def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded(pages: list[np.ndarray | Rows]) -> tuple[np.ndarray, np.ndarray]:
+    """(pages, blocks, numbers), zero behind a page's end, and where there are blocks."""
+    pages = [page.dense() if isinstance(page, Rows) else page for page in pages]
     x = np.zeros((len(pages), max(map(len, pages)), pages[0].shape[1]), np.float32)
     mask = np.zeros(x.shape[:2], np.float32)
     for k, page in enumerate(pages):
@@ -326,7 +359,9 @@ class Maker:
         "say": ["div class='comments'", "section id='comments'", "div class='comment'", "ul class='comments'", "div id='disqus'", "ol class='comment-list'", "div class='replies'", "section class='reader-comments'", "article class='comment'", "div class='discussion'"],
         "share": ["div class='share'", "div class='social'", "ul class='share-links'", "div class='tags'", "div class='toolbar'"],
     }
-    CUES = {"nav": "Home Menu News Contact", "head": "Welcome Home Login", "foot": "© 2020 Copyright All rights reserved Privacy Terms", "side": "Related Popular Most read", "ad": "Advertisement Sponsored Buy now Sale", "note": "We use cookies Accept Subscribe newsletter", "form": "Search Email Password Submit", "say": "Comments Reply says wrote ago", "share": "Share Tweet Print"}
+    CUES = {"nav": "Home Menu News Contact", "head": "Welcome Home Login", "foot": "© 2020 Copyright All rights reserved Privacy Terms conditions apply Imprint", "side": "Related Popular Most read", "ad": "Advertisement Sponsored Buy now Sale", "note": "We use cookies Accept Subscribe newsletter enable JavaScript", "form": "Search Email Password Submit", "say": "Comments Reply says wrote ago", "share": "Share Tweet Print"}
+    #: Headings over the parts beside an article.
+    HEADINGS = {"side": ["Popular", "Most read", "Related", "Trending", "More stories", "Latest"], "say": ["Comments", "{n} comments", "{n} responses", "Leave a reply", "Discussion", "{n} Comments so far"], "foot": ["About", "Contact", "Follow us"], "nav": ["Menu", "Sections"], "form": ["Search", "Log in"], "note": ["Subscribe"], "share": ["Share this"]}
 
     def __init__(self, seed: int = 11, held: bool = False):
         self.r, self.held, self.names = np.random.default_rng(seed), held, "given"
@@ -365,14 +400,19 @@ class Maker:
         cue = lambda: " ".join(self.r.permutation(self.CUES[kind].split())[:3]) if self.r.random() < often else ""
         n = int(self.r.integers(1, 8 if kind in ("nav", "side", "say", "form") else 3))
         for _ in range(n):
-            text = f"{cue()} {self.line('', 1, 4 if kind == 'nav' else 30)}"
+            text = f"{cue() if kind != 'say' or self.r.random() < 0.5 else ''} {self.line('', 1, 4 if kind == 'nav' else 90 if kind == 'say' else 30)}"
             if kind in ("nav", "share") or (kind in ("side", "foot") and self.r.random() < 0.5):
                 out.append(self.pick([f"<li><a href='/x'>{text}</a></li>", f"<a href='/x'>{text}</a><br>"]))
             elif kind == "form":
                 out.append(self.pick([f"<label>{text}</label><input name='q'>", f"<p>{text}</p>", f"<select><option>{text}<option>{text}</select>", f"<button>{text}</button>"]))
             else:
                 out.append(self.pick([f"<p>{text}</p>", f"<div>{text}</div>", text, f"<span>{text}</span>", f"<h3>{text}</h3>"] + ([f"<div class='comment'><p>{text}</p></div>", f"<li>{text}</li>"] if kind == "say" else [])))
+        if kind in self.HEADINGS and name not in ("ul", "ol", "p") and self.r.random() < 0.4:
+            h = self.pick(["h2", "h3", "h4", "div", "p", "b"])
+            out.insert(0, f"<{h}>{self.pick(self.HEADINGS[kind]).format(n=int(self.r.integers(1, 200)))}</{h}>" + "<br>" * (h == "b"))
         inner = "".join(out)
+        if kind == "note" and self.r.random() < 0.15:
+            return f"<noscript>{inner}</noscript>"
         if name not in ("ul", "ol") and "<li>" in inner and self.r.random() < 0.7:
             inner = f"<ul>{inner}</ul>"
         if self.r.random() < 0.15:
@@ -382,14 +422,21 @@ class Maker:
         return f"<{self.open(tag) if name == tag.split()[0] else name}>{inner}</{name}>"
 
     def room(self) -> str:
+        """The main text: in a room of its own, or on some pages straight in the body, a font or a centre."""
         tag, out = self.pick([x for x in self.rooms if self.names == "given" or x[:3] in ("div", "sec")]), []
         wrap = self.pick(["p"] * 8 + ["div", "section", "td"])  # what holds a paragraph on this page
+        if self.r.random() < 0.1:
+            tag, wrap = self.pick([("", "p"), ("", "p"), ("font size='2'", "br"), ("center", "p"), ("center", "br"), ("", "br")])
         if self.r.random() < 0.8:
             out.append(f"<h1>{self.line(TRUE, 1, 12)}</h1>")
         for _ in range(int(np.exp(self.r.uniform(0, 3.2)))):
             kind, text = self.r.random(), lambda: self.line(TRUE, 1, 120)
-            if kind < 0.62:
+            if wrap == "br" and kind < 0.8:
+                out.append(f"{text()}{self.pick(['<br>', '<br><br>', '<br/><br/>'])}")
+            elif kind < 0.59:
                 out.append(f"<{wrap}>{text()}</{wrap}>")
+            elif kind < 0.62:
+                out.append(self.pick([f"<figure><img src='x'><figcaption>{self.line(TRUE, 1, 25)}</figcaption></figure>", f"<noscript><p>{text()}</p></noscript>", f"<noscript>{text()}</noscript>"]))
             elif kind < 0.72:
                 out.append(self.pick([f"<p>{text()}<br>{text()}<br><br>{text()}</p>", f"<p>{text()}<p>{text()}", f"<p><b>{text()}<p>{text()}</p>", f"{text()}<br>{text()}"]))
             elif kind < 0.78:
@@ -409,6 +456,8 @@ class Maker:
         if self.r.random() < 0.1:
             out.append(self.junk("say"))
         inner = "".join(out)
+        if not tag:
+            return inner
         for _ in range(int(self.r.integers(0, 3))):
             box = self.open(f"div class='{self.pick(['inner', 'text', 'body', 'row', 'col', 'block'])}'")
             inner = f"<{box}>{inner}</div>"
@@ -418,11 +467,12 @@ class Maker:
 
     def page(self) -> str:
         kind = self.r.random()
-        self.names = "given" if self.held or kind < 0.7 else "none" if kind < 0.85 else "made"
+        self.names = "given" if self.held or kind < 0.64 else "none" if kind < 0.8 else "made"
         some = lambda kinds, p: [self.junk(k) for k in kinds if self.r.random() < p]
-        before = some(["note", "head", "nav", "ad", "nav", "side", "form"], 0.45)
-        after = some(["share", "ad", "say", "side", "form", "nav", "note", "foot"], 0.4)
-        room = self.room() if self.r.random() < 0.97 else ""
+        often = self.r.random() > 0.06  # else there is nothing but the article
+        before = some(["note", "head", "nav", "ad", "nav", "side", "form"], 0.45 * often)
+        after = some(["share", "ad", "say", "side", "form", "nav", "note", "foot"], 0.4 * often)
+        room = self.room() if self.r.random() < 0.97 or not often else ""
         body = "".join([*(before[k] for k in self.r.permutation(len(before))), room, *after])
         if self.r.random() < (0.3 if self.held else 0.06):  # a table holds the columns
             body = "<table><tr>" + "".join(f"<td>{x}</td>" for x in ["".join(before), room, "".join(after)]) + "</tr></table>"
@@ -430,7 +480,7 @@ class Maker:
             body = f"<div{self.pick(['', ' class=wrapper', ' id=page', ' class=container'])}>{body}</div>"
         return f"<html><head><title>{self.words(4)}</title></head><body>{body}</body></html>"
 
-    def example(self) -> tuple[np.ndarray, np.ndarray]:
+    def example(self) -> tuple[Rows, np.ndarray]:
         found = blocks(self.page())
         label = np.array([TRUE in t for t, *_ in found], np.float32)
         clean = [(t.replace(TRUE, "").strip() or "-", *rest) for t, *rest in found]
@@ -438,25 +488,33 @@ class Maker:
 
 
 @functools.cache
-def trained(pages: int = 2400, seed: int = 11) -> Labeller:
+def trained(pages: int = 2800, seed: int = 11) -> Labeller:
     """A labeller fitted on so many made pages; the same for the same arguments."""
     maker, model = Maker(seed), Labeller()
     model.fit([e for e in (maker.example() for _ in range(pages)) if len(e[1])])
     return model
 
 
-def stored(spark: SparkSession, pages: int = 2400, seed: int = 11) -> Labeller:
-    """``trained``, from the shared folder if another run left it there under the same code and arguments."""
+def stored(spark: SparkSession, pages: int = 2800, seed: int = 11) -> Labeller:
+    """``trained``, from the shared folder if another run left it there under the same code and arguments.
+
+    Weights are written under a name of their own and renamed when they are complete, so no session reads half of them.
+    """
     key = hashlib.sha256(Path_(__file__).read_bytes() + repr((pages, seed)).encode()).hexdigest()[:24]
     path = f"{shared_dir(spark)}/html-labeller-{key}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     model = Labeller()
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if fs.exists(done):
         model.p = dict(np.load(io.BytesIO(spark.read.parquet(path).first().weights)))
     else:
         model = trained(pages, seed)
         np.savez(data := io.BytesIO(), **model.p)
-        spark.createDataFrame([(bytearray(data.getvalue()),)], "weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+        own = scratch(spark, "html-labeller-writing")
+        spark.createDataFrame([(bytearray(data.getvalue()),)], "weights binary").coalesce(1).write.parquet(own)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        if fs.exists(hadoop(path)) or not fs.rename(hadoop(own), hadoop(path)):
+            fs.delete(hadoop(own), True)  # another session was faster, with the same weights
     return model
 
 
@@ -474,7 +532,8 @@ def extract(pages: DataFrame, model: Labeller, *, html_col: str = "html") -> Dat
 
     The whole page is parsed into leaf blocks, and the network labels each one in the context of all others. Null
     html, or a page without text, gives an empty text. Null ids and repeated rows are pages like others. A very long page is one row: its
-    task holds its blocks, some hundred numbers each. Other columns pass through; an empty table gives an empty result.
+    task holds the page, the text and WORDS + REST numbers of each block, and PATHS bytes for each different tag path; the network's own numbers stand for
+    AT_ONCE blocks at a time. What noscript holds counts as shown; scripts, styles, templates, frames and text areas do not. Other columns pass through; an empty table gives an empty result.
     """
     lower_batches(pages.sparkSession, rows=500)
     shared = pages.sparkSession.sparkContext.broadcast(model)  # the network's weights: some 100 kB

@@ -88,6 +88,32 @@ BY_HAND = [
     (f"<div class='newsletter-signup'>Subscribe to our newsletter</div><article>{PS}</article><div class='share-bar'><a href=x>Tweet</a></div>", ALL),
     (f"<nav>{LINKS}</nav><footer>Imprint</footer>", ""),
 ]
+BR = "<br><br>".join(P)
+TALK = ["I walked over that bridge as a child and I hope they keep the old stones.", "Nobody asked the people who live on the other side, as usual."]
+SAID = "".join(f"<p>{x}</p>" for x in TALK)
+#: Pages without a room of their own, with captions, noscript, names that say nothing, and comments that read like prose.
+ODD_BY_HAND = [
+    (f"<html><body>{PS}</body></html>", ALL),
+    (f"<body><h1>Bridge</h1>{PS}</body>", f"Bridge {ALL}"),
+    (f"<body><font face='Arial'>{BR}</font></body>", ALL),
+    (f"<body><center>{PS}</center></body>", ALL),
+    (f"<body bgcolor=white><font size=2>{P[0]}<br><br>{P[1]}<br><br></font></body>", " ".join(P[:2])),
+    (f"<body><ul>{LINKS}</ul>{PS}<div class='footer'>Copyright 2020</div></body>", ALL),
+    (f"<article>{PS}<figure><img src=x><figcaption>The bridge in winter.</figcaption></figure></article>", f"{ALL} The bridge in winter."),
+    (f"<article>{PS}<noscript><p>The river at night.</p></noscript></article>", f"{ALL} The river at night."),
+    (f"<noscript>Please enable JavaScript.</noscript><nav>{LINKS}</nav><article>{PS}</article>", ALL),
+    (f"<main>{PS}</main><section class='comments'><h3>2 comments</h3>{SAID}</section>", ALL),
+    (f"<article>{PS}</article><div id='comments'><h2>Discussion</h2><ul><li>{TALK[0]}</li><li>{TALK[1]}</li></ul></div>", ALL),
+    (f"<main>{PS}</main><aside class='sidebar'><h3>Popular</h3><ul>{LINKS}</ul></aside>", ALL),
+    (f"<div class='sidebar'><h4>Popular</h4><ul>{LINKS}</ul></div><div class='content'>{PS}</div>", ALL),
+    (f"<div class='a8f3'><ul>{LINKS}</ul></div><div class='k29x'>{PS}</div><div class='zq1'>Terms and conditions apply</div>", ALL),
+    (f"<nav class='x7d'>{LINKS}</nav><main class='p0q'>{PS}</main><footer class='u3'>Imprint</footer>", ALL),
+    (f"<main class='css-1x'><h1>Bridge</h1>{PS}</main><section class='css-9'><h2>Comments</h2>{SAID}</section>", f"Bridge {ALL}"),
+    (f"<article>{PS}<section class='reader-comments'><h4>Leave a reply</h4>{SAID}</section></article>", ALL),
+    (f"<body>{PS}<form><label>Email</label><input><button>Subscribe</button></form></body>", ALL),
+    (f"<div id='page'><div class='header'>The Daily</div><div id='main'>{PS}</div><div class='related'><h3>More stories</h3><ul>{LINKS}</ul></div></div>", ALL),
+    (f"<body><center><h1>Bridge</h1>{BR}</center></body>", f"Bridge {ALL}"),
+]
 
 
 def test_pages_written_by_hand(model):
@@ -96,6 +122,26 @@ def test_pages_written_by_hand(model):
     assert sum(right) >= 17, [BY_HAND[k][0][:90] for k, ok in enumerate(right) if not ok]
 
 
+def test_odd_pages_written_by_hand(model):
+    got = main_texts([x for x, _ in ODD_BY_HAND], model)
+    right = [a == b for a, (_, b) in zip(got, ODD_BY_HAND, strict=True)]
+    assert sum(right) >= 17, [(ODD_BY_HAND[k][0][:90], got[k]) for k, ok in enumerate(right) if not ok]
+
+
+def test_parts_of_a_page_are_one_page(model):
+    """Long pages go by in parts: where they are cut makes no difference, and memory doesn't grow with a page's dense numbers."""
+    maker = Maker(5)
+    pages = [maker.example()[0] for _ in range(7)]
+    whole = model.forward(*padded(pages))
+    for at_once in (1, 30, 1 << 14):
+        cut = model.logits(pages, at_once)
+        assert all(np.allclose(a[: len(p)], b[: len(p)], atol=1e-4) for a, b, p in zip(whole, cut, pages, strict=True))
+    many = blocks("<div class='k'>ab<p>cd" * 20_000)
+    assert len(many) == 40_000 and len({id(path) for _, path, *_ in many}) == 2
+    assert features([many])[0].paths.shape[0] == 2
+    assert blocks("x<noscript><p>y</p></noscript><template>z</template>")[1][0] == "y"
+
+
 def test_weights_are_stored_once(spark, model):
     import tessera.llm.html_extract as module
 
