@@ -137,8 +137,8 @@ def test_parts_of_a_page_are_one_page(model):
         cut = model.logits(pages, at_once)
         assert all(np.allclose(a[: len(p)], b[: len(p)], atol=1e-4) for a, b, p in zip(whole, cut, pages, strict=True))
     many = blocks("<div class='k'>ab<p>cd" * 20_000)
-    assert len(many) == 40_000 and len({id(path) for _, path, *_ in many}) == 2
-    assert features([many])[0].paths.shape[0] == 2
+    assert len(many) == 40_000 and len({id(path) for _, path, *_ in many}) == 3  # the first div has no other around it
+    assert features([many])[0].paths.shape[0] == 3
     assert blocks("x<noscript><p>y</p></noscript><template>z</template>")[1][0] == "y"
 
 
