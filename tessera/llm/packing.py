@@ -337,6 +337,20 @@ def intervals(patterns: list[tuple[list[int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "last", "bin", "each", "at"], dtype=np.int64)
 
 
+def by_range(places: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(places with a column ``range``, rows (length, width)): a rank meets only the places of its range, rank // width.
+
+    A length's ranks are cut into as many ranges as it has places, so places get at most twice as many rows, and a
+    range holds two places on average.
+    """
+    widths = places.groupby("length").agg(n=("first", "size"), last=("last", "max")).reset_index()
+    widths["width"] = (widths["last"] + widths["n"]) // widths["n"]
+    placed = places.merge(widths[["length", "width"]], on="length")
+    placed["range"] = [range(a, b + 1) for a, b in zip(placed["first"] // placed["width"], placed["last"] // placed["width"], strict=True)]
+    placed = placed.drop(columns="width").explode("range")
+    return placed.astype(np.int64), widths[["length", "width"]].astype(np.int64)
+
+
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, folder: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row for each piece of each document.
 
@@ -358,10 +372,13 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[r["length"]] = r["n"]
     places = intervals(complete_bins(counts, capacity))
-    places = spark.createDataFrame(places, "length long, first long, last long, bin long, each long, at long")
+    places, widths = by_range(places)
+    places = spark.createDataFrame(places, "length long, first long, last long, bin long, each long, at long, range long")
+    widths = F.broadcast(spark.createDataFrame(widths, "length long, width long"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = cut.join(by_part.select("part", "length", before.alias("before")), ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
-    out = ranked.join(F.broadcast(places), "length").where("rank between first and last")
+    by_part = by_part.select("part", "length", before.alias("before")).join(widths, "length")
+    ranked = cut.join(by_part, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth")).withColumn("range", F.expr("rank div width"))
+    out = ranked.join(F.broadcast(places), ["length", "range"]).where("rank between first and last")
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr("bin + (rank - first) div each").alias("sequence_id"), F.expr("at + pmod(rank - first, each) * length").alias("offset"))
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import NODES, complete_bins, encode, fillings, intervals, lower_bound, pack, pieces_of
+from tessera.llm.packing import NODES, by_range, complete_bins, encode, fillings, intervals, lower_bound, pack, pieces_of
 
 
 @pytest.fixture(scope="module")
@@ -129,3 +129,20 @@ def test_fillings_are_undominated():
     counts = np.bincount([10, 20, 30, 40, 40], minlength=101)
     assert fillings(counts, 40, 100)[0] == [40]
     assert all(sum(f) <= 70 for f in fillings(counts, 70, 20)) and [40, 30] in fillings(counts, 70, 20)
+
+
+def test_each_rank_meets_few_places():
+    """A rank's range holds the place it belongs to, and places get at most twice as many rows however unequal they are."""
+    rng = np.random.default_rng(4)
+    for counts in (rng.integers(0, 60, 1025), np.where(np.arange(1025) % 37 == 5, 40_000, 0), np.bincount([7] * 1000 + [1024], minlength=1025), np.zeros(1025, int)):
+        counts[0] = 0
+        places = intervals(complete_bins(counts))
+        cut, widths = by_range(places)
+        assert len(cut) <= 2 * len(places) and sorted(widths["length"]) == sorted(set(places["length"]))
+        width = dict(zip(widths["length"], widths["width"], strict=True))
+        held = {}
+        for r in cut.itertuples(index=False):
+            held.setdefault((r.length, r.range), []).append((r.first, r.last))
+        for length in np.flatnonzero(counts):
+            for rank in {0, int(counts[length]) - 1, *map(int, rng.integers(0, counts[length], 20))}:
+                assert sum(a <= rank <= b for a, b in held[length, rank // width[length]]) == 1
