@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 import struct
@@ -15,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, lower_batches
+from .common import col, fresh, lower_batches
 from .text import slices
 
 #: The whitespace marker.
@@ -154,6 +155,17 @@ def joined(model: Model):
     return core
 
 
+#: Marks of pieces in ``Codec.marked``.
+_HIDDEN, _UNKNOWN, _SPELLED = 1, 2, 4
+#: Characters that one call of the libraries gets, or one text.
+CALL = 1 << 20
+
+
+def packed(ids: list[int]) -> np.ndarray:
+    """Ids as unsigned 32-bit integers; by ``array``, which reads a list of integers three times as fast as numpy."""
+    return np.frombuffer(array.array("I", ids), np.uint32)
+
+
 class Codec:
     """Encodes and decodes as the model file says; ``verify`` compares with the SentencePiece library."""
 
@@ -167,6 +179,12 @@ class Codec:
         self.hidden = {k for k, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
         #: The byte piece that begins a marker spelled in bytes, which stays a marker.
         self.first_of_mark = next((k for k, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE and int(p[3:5], 16) == MARK.encode()[0]), -1)
+        #: Pieces that need more than the library's joining.
+        self.marked = np.zeros(len(self.model.pieces), np.uint8)
+        self.marked[list(self.hidden)] |= _HIDDEN
+        self.marked[self.model.unk : self.model.unk + 1] |= _UNKNOWN
+        if self.first_of_mark >= 0:
+            self.marked[self.first_of_mark] |= _SPELLED
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -175,15 +193,16 @@ class Codec:
             return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
         return [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts of ids by the library, on its threads. It shows unknown pieces, broken UTF-8 and a first byte piece for a space in another way
+    def decode(self, ids: list[list[int]], packed_ids: list[np.ndarray] | None = None) -> list[str]:
+        """Texts of ids (``packed_ids``: the same as arrays, if at hand) by the library, on its threads. It shows unknown pieces, broken UTF-8 and a first byte piece for a space in another way
         than the original: such texts are decoded by their bytes."""
-        hidden = [[k for k in x if k not in self.hidden] if not self.hidden.isdisjoint(x) else x for x in ids]
+        found = [int(np.bitwise_or.reduce(self.marked[x])) if len(x) else 0 for x in packed_ids or map(packed, ids)]
+        hidden = [[k for k in x if k not in self.hidden] if f & _HIDDEN else x for x, f in zip(ids, found, strict=True)]
         out = [self._spaced(x) for x in self.joined.decode_batch(hidden, skip_special_tokens=False)]
-        if spelled := [k for k, x in enumerate(hidden) if self.first_of_mark in x]:  # the library replaces markers piece by piece
+        if spelled := [k for k, f in enumerate(found) if f & _SPELLED]:  # the library replaces markers piece by piece
             for k, text in zip(spelled, self.core.decode_batch([hidden[k] for k in spelled], skip_special_tokens=False), strict=True):
                 out[k] = text
-        return [self._by_bytes(x) if "\ufffd" in text or self.model.unk in x or x and self.bytes[x[0]] == b" " else text for x, text in zip(hidden, out, strict=True)]
+        return [self._by_bytes(x) if "\ufffd" in text or f & _UNKNOWN or x and self.bytes[x[0]] == b" " else text for x, text, f in zip(hidden, out, found, strict=True)]
 
     def _spaced(self, text: str) -> str:
         text = text.replace(MARK, " ")
@@ -240,7 +259,7 @@ def _threads() -> None:
 
 
 def encode_column(docs: DataFrame, *, text_col: str = "text", out_col: str = "ids", path: str | None = None) -> DataFrame:
-    """``docs`` with an array of ids for each text; null text gives null. ``path`` is the model file, on every worker. A very long text is one row, encoded whole; other columns pass through."""
+    """``docs`` with an array of ids for each text; null text gives null. ``path`` is the model file, on every worker. Where ``docs`` has a column ``out_col``, the new one gets underscores before its name. A very long text is one row, encoded whole; other columns pass through."""
     lower_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
@@ -248,15 +267,15 @@ def encode_column(docs: DataFrame, *, text_col: str = "text", out_col: str = "id
         _threads()
         made, out = codec(path or model_path()), []
         plain = ["" if x is None else x for x in texts]
-        for part in slices(plain):
-            out += [np.array(x, np.int32) for x in made.encode(plain[part])]
+        for part in slices(plain, CALL):
+            out += [packed(x).astype(np.int32) for x in made.encode(plain[part])]
         return pd.Series([None if t is None else x for t, x in zip(texts, out, strict=True)], dtype=object)
 
-    return docs.withColumn(out_col, run(col(text_col)))
+    return docs.withColumn(fresh(docs, out_col), run(col(text_col)))
 
 
 def decode_column(docs: DataFrame, *, ids_col: str = "ids", out_col: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with the text of each array of ids; null ids give null, ids out of range raise."""
+    """``docs`` with the text of each array of ids; null ids give null, ids out of range raise. Where ``docs`` has a column ``out_col``, the new one gets underscores before its name."""
     lower_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -265,7 +284,7 @@ def decode_column(docs: DataFrame, *, ids_col: str = "ids", out_col: str = "text
         made = codec(path or model_path())
         return pd.Series([None if x is None else y for x, y in zip(ids, made.decode([[] if x is None else [int(k) for k in x] for x in ids]), strict=True)], dtype=object)
 
-    return docs.withColumn(out_col, run(col(ids_col)))
+    return docs.withColumn(fresh(docs, out_col), run(col(ids_col)))
 
 
 def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -286,10 +305,11 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         made, out = codec(path or model_path()), []
         first = _original(path or model_path(), sentencepiece)
         texts = texts.tolist()
-        for part in slices(texts):
+        for part in slices(texts, CALL):
             ids = made.encode(texts[part])
-            for text, own, theirs, back in zip(texts[part], ids, first.encode(texts[part], num_threads=1), made.decode(ids), strict=True):
-                out.append((len(own), zlib.crc32(np.array(own, "<u4").tobytes()), zlib.crc32(back.encode()), back == text, own == theirs))
+            flat = [packed(x) for x in ids]
+            for text, own, code, theirs, back in zip(texts[part], ids, flat, first.encode(texts[part], num_threads=1), made.decode(ids, flat), strict=True):
+                out.append((len(own), zlib.crc32(code.astype("<u4", copy=False)), zlib.crc32(back.encode()), back == text, own == theirs))
         return pd.DataFrame(out, columns=["n_ids", "ids_crc32", "decoded_crc32", "same", "parity"])
 
     rows = docs.select(col(id_col).alias("doc_id"), run(F.coalesce(col(text_col), F.lit(""))).alias("r"))

@@ -103,3 +103,10 @@ def test_columns(documents, odd):
     back = decode_column(encode_column(documents(odd).select("doc_id", "text")), out_col="back").collect()
     assert all(r.text == r.back for r in back) and len(back) == len(odd)
     assert round_trip(documents([])).count() == 0
+
+
+def test_columns_of_the_outputs_names_stay(documents):
+    got = encode_column(documents([(1, "some words", "en")]).selectExpr("doc_id", "text", "'own' AS ids")).first()
+    assert got["ids"] == "own" and got["_ids"] == codec(model_path()).encode(["some words"])[0]
+    back = decode_column(documents([(1, "some words", "en")]).selectExpr("'own' AS text", "array(1, 2) AS ids")).first()
+    assert back["text"] == "own" and back["_text"] == codec(model_path()).decode([[1, 2]])[0]
