@@ -152,31 +152,27 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60)
 
     Alternating large-star and small-star steps: each is one aggregation by node, whose
     partial minima are combined before the shuffle, and one join, with hub nodes apart. Every round is written
-    to the shared folder. Self-loops and repeated edges do no harm;
+    to the shared folder. It ends when each node with a smaller neighbour has no other one, which the aggregation
+    that a round begins with tells; so edges that are stars already take no round. Self-loops and repeated edges do no harm;
     an edge with a null end is dropped. Raises if the rounds don't suffice (they grow with
     the logarithm of the longest path).
     """
     e = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = materialise(e.distinct(), tag)
-    loops = e.where("u = v").select("u").distinct()
-    e = e.where("u <> v")
-    total, was = e.count(), None
-    if not total:
-        return loops.select(F.col("u").alias("node"), F.col("u").alias("component"))
+    loops, e = e.where("u = v").select("u"), e.where("u <> v")
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-        large = hot_join(both, low, ["u"], "c", 2 * total).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")), tag)
+        ends, apart = low.agg(F.sum("c"), F.count_if((F.col("m") < F.col("u")) & (F.col("c") > 1))).first()
+        if not apart:
+            nodes = low.select(F.col("u").alias("node"), F.col("m").alias("component"))
+            if loops.isEmpty():
+                return nodes
+            return nodes.union(loops.join(low, "u", "left_anti").select("u", F.col("u")))
+        large = hot_join(both, low, ["u"], "c", ends).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, tag)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        small = hot_join(large, low, ["u"], "c", total)
+        small = hot_join(large, low, ["u"], "c", ends // 2)
         links = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = small.select(F.explode(links).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        e = materialise(small, tag)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == was:
-            roots = e.select(F.col("v").alias("node")).distinct()
-            own = roots.union(loops.join(e.select(F.col("u")), "u", "left_anti").select("u")).distinct()
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own.select("node", F.col("node").alias("component")))
-        total, was = now[0], now
+        e = materialise(small.select(F.explode(links).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), tag)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -263,15 +263,17 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         at = met.join(stars, met["doc_id"] == stars["node"], "left").select("key", "doc_id", "text_hash", "n", F.coalesce("component", "doc_id").alias("of"))
         at = materialise(at, "near-at")
         mixed = materialise(at.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key"), "near-mixed")
-        links = _blocks(at.join(mixed, "key", "left_semi").select("key", "doc_id", "text_hash", "n"), rows_in, similar, size)
-
-    # the second graph has the first one's components as its nodes
-    of = stars.select(F.struct("node", "component").alias("s"))
-    joined = links.join(of.withColumnRenamed("s", "sa"), F.col("a") == F.col("sa.node"), "left").join(of.withColumnRenamed("s", "sb"), F.col("b") == F.col("sb.node"), "left")
-    joined = joined.select(F.coalesce("sa.component", "a").alias("a"), F.coalesce("sb.component", "b").alias("b")).where("a <> b")
-    more = components(joined, "near-classes")
-    reps = reps.join(stars, reps["rep"] == stars["node"], "left").select("norm", "copies", F.coalesce("component", "rep").alias("star"))
-    reps = reps.join(more, reps["star"] == more["node"], "left").select("norm", "copies", F.coalesce("component", "star").alias("class_id"))
+        more = None
+        if not mixed.isEmpty():
+            links = _blocks(at.join(mixed, "key", "left_semi").select("key", "doc_id", "text_hash", "n"), rows_in, similar, size)
+            # the second graph has the first one's components as its nodes
+            of = stars.select(F.struct("node", "component").alias("s"))
+            joined = links.join(of.withColumnRenamed("s", "sa"), F.col("a") == F.col("sa.node"), "left").join(of.withColumnRenamed("s", "sb"), F.col("b") == F.col("sb.node"), "left")
+            more = components(joined.select(F.coalesce("sa.component", "a").alias("a"), F.coalesce("sb.component", "b").alias("b")).where("a <> b"), "near-classes")
+
+    reps = reps.join(stars, reps["rep"] == stars["node"], "left").select("norm", "copies", F.coalesce("component", "rep").alias("class_id"))
+    if more is not None:
+        reps = reps.join(more, reps["class_id"] == more["node"], "left").select("norm", "copies", F.coalesce("component", "class_id").alias("class_id"))
     linked = hot_join(named.select("doc_id", "text_hash", "norm"), reps, ["norm"], "copies", named.count()).select("doc_id", "text_hash", "class_id")
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"))
     return linked.union(alone).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), *["text_hash"] * with_hash)
