@@ -22,11 +22,10 @@ def keyed_state(events: DataFrame) -> None:
 
 
 class Pauses(StatefulProcessor):
-    """Reports a key when it has been silent for ``pause`` microseconds of event time.
+    """Reports a user when it has been silent for ``pause`` microseconds of event time. A key holds many users, so that a batch costs a few round trips for each key, not for each user or pause.
 
-    Times that may still begin a pause are in a list; a timer is set for each of them that no known event follows in time, and dropped if a
-    late event does. Only a timer decides, when the watermark has passed it, so results don't depend on how rows are dealt to batches.
-    Of the run of events before, a map keeps how many have left the list.
+    Times that may still begin a pause are kept, sorted by user and time, each with the number of events that it stands for: those that are followed for good are counted with the next one.
+    A key has one timer, for the first pause to end; a late event may move it. Only the watermark decides, once a timer has gone off, so results don't depend on how rows are dealt to batches.
     """
 
     def __init__(self, pause: int) -> None:
@@ -34,52 +33,55 @@ class Pauses(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "t long")
-        self.run = handle.getMapState("run", "what string", "n long")
-
-    def _times(self) -> np.ndarray:
-        return np.array([t for (t,) in self.open.get()], np.int64) if self.open.exists() else np.zeros(0, np.int64)
-
-    def _keep(self, times: np.ndarray) -> None:
-        if len(times):
-            self.open.put([(int(t),) for t in times])
-        else:
+        self.open = handle.getValueState("open", "timer long, users binary, times binary, counts binary")
+
+    def _load(self) -> tuple[int | None, list[np.ndarray]]:
+        """The timer that is set, and users, times and counts."""
+        timer, *columns = self.open.get() if self.open.exists() else (None, b"", b"", b"")
+        return timer, [np.frombuffer(bytes(x), np.int64) for x in columns]
+
+    def _store(self, timer: int | None, users: np.ndarray, times: np.ndarray, counts: np.ndarray) -> None:
+        """Keeps these, with a timer at the end of the first pause, in milliseconds as timers have them, in place of ``timer``."""
+        first = int((times[self._last(users, times)].min() + self.pause) // 1000) if len(times) else None
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is not None and timer != first:
+            self.handle.registerTimer(first)
+        if first is None:
             self.open.clear()
+        else:
+            self.open.update((first, users.tobytes(), times.tobytes(), counts.tobytes()))
 
-    def _timer(self, t: int) -> int:
-        """Milliseconds, as timers have them, at which the pause after ``t`` is over. Of one key no two pauses end at once."""
-        return -(-(t + self.pause) // 1000)
+    def _last(self, users: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Which of the sorted times their user follows with nothing within the pause."""
+        return np.append((np.diff(users) != 0) | (np.diff(times) > self.pause), True) if len(times) else np.zeros(0, bool)
 
-    def _last(self, times: np.ndarray) -> set[int]:
-        """Of sorted times, those that none follows within the pause."""
-        return set(times[np.append(np.diff(times) > self.pause, True)].tolist()) if len(times) else set()
+    def _over(self, times: np.ndarray, timerValues) -> np.ndarray:
+        """Times whose pause has ended before the watermark: no event can come into it any more."""
+        return times + self.pause < timerValues.getCurrentWatermarkInMs() * 1000
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self._times()
-        times = np.sort(np.concatenate([before, *[chunk["t"].to_numpy(np.int64) for chunk in rows]]))
-        was, now = self._last(before), self._last(times)
-        for t in was - now:
-            self.handle.deleteTimer(self._timer(t))
-        for t in now - was:
-            self.handle.registerTimer(self._timer(t))
-        done = (times + self.pause < timerValues.getCurrentWatermarkInMs() * 1000) & ~np.isin(times, list(now))  # followed for good
-        self._count(int(done.sum()))
-        self._keep(times[~done])
+        timer, (users, times, counts) = self._load()
+        chunks = [(x["user"].to_numpy(np.int64), x["t"].to_numpy(np.int64)) for x in rows]
+        users, times = (np.concatenate([old, *new]) for old, new in zip((users, times), zip(*chunks, strict=True), strict=True))
+        order = np.lexsort((times, users))
+        users, times, total = users[order], times[order], np.cumsum(np.append(counts, np.ones(len(order) - len(counts), np.int64))[order])
+        stays = self._last(users, times) | ~self._over(times, timerValues)
+        self._store(timer, users[stays], times[stays], np.diff(total[stays], prepend=0))
         return iter(())
 
-    def _count(self, more: int) -> int:
-        n = (self.run.getValue(("n",))[0] if self.run.containsKey(("n",)) else 0) + more
-        if more:
-            self.run.updateValue(("n",), (n,))
-        return n
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        times, now = self._times(), expiredTimerInfo.getExpiryTimeInMs()
-        (t,) = (x for x in self._last(times) if self._timer(x) == now)
-        n = self._count(int((times <= t).sum()))
-        self._keep(times[times > t])
-        self.run.clear()
-        yield pd.DataFrame({"key": [key[0]], "t": [t], "n": [n]})
+        _, (users, times, counts) = self._load()
+        last = self._last(users, times)
+        run, n = np.cumsum(last) - last, np.diff(np.cumsum(counts)[last], prepend=0)
+        over = self._over(times[last], timerValues)
+        self._store(None, *(x[~over[run]] for x in (users, times, counts)))
+        found = users[last][over]
+        yield pd.DataFrame({"user": pd.Series([None] * len(found) if key[0] == NOBODY else found, dtype=object), "t": times[last][over], "n": n[over]})
+
+
+#: Keys that users are dealt to, and the key of null.
+KEYS, NOBODY = 1024, -1
 
 
 def silent_users(events: DataFrame, pause_hours: int = 6, late: str = "1 hour") -> DataFrame:
@@ -88,9 +90,10 @@ def silent_users(events: DataFrame, pause_hours: int = 6, late: str = "1 hour")
     A row comes when the watermark has passed the end of the pause; then nothing is kept of the user but later events. Null users are one user; rows with a null time are left out.
     """
     keyed_state(events)
-    rows = events.where("ts is not null").select("user_id", "ts", F.unix_micros("ts").alias("t")).withWatermark("ts", late)
-    found = rows.groupBy("user_id").transformWithStateInPandas(Pauses(pause_hours * 3_600_000_000), "key long, t long, n long", "Append", "EventTime")
-    return found.select(F.col("key").alias("user_id"), F.timestamp_micros("t").cast("timestamp_ntz").alias("last_seen"), "n")
+    key = F.when(F.col("user_id").isNull(), NOBODY).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(KEYS)).cast("int"))
+    rows = events.where("ts is not null").select(key.alias("key"), F.coalesce(F.col("user_id").cast("long"), F.lit(0)).alias("user"), "ts", F.unix_micros("ts").alias("t")).withWatermark("ts", late)
+    found = rows.groupBy("key").transformWithStateInPandas(Pauses(pause_hours * 3_600_000_000), "user long, t long, n long", "Append", "EventTime")
+    return found.select(F.col("user").alias("user_id"), F.timestamp_micros("t").cast("timestamp_ntz").alias("last_seen"), "n")
 
 
 class FirstOfEach(StatefulProcessor):

@@ -98,3 +98,15 @@ def test_unmatched_rows_come_behind_the_watermark(spark):
     got = sorted(map(tuple, run_once(joined, "append", "t").collect()), key=str)
     # 10 and 12 are within an hour of the watermark: a purchase might still follow
     assert got == sorted([(1, 3), (1, 7), (2, 6), (4, None), (8, None)], key=str)
+
+
+def test_timers_do_not_grow_with_users(spark):
+    # 4,000 users fall silent; a timer for each cost a round trip to Python each
+    rows = spark.range(4000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' as ts", "id as user_id", "'click' as event_type", "1.0d as value", "'{}' as props")
+    folder = scratch(spark, "many")
+    rows.union(rows.limit(1).selectExpr("-1L", "ts + interval 1 day", "-1L", "event_type", "value", "props")).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    query = silent_users(events_stream(spark, folder)).writeStream.format("memory").queryName("many").outputMode("append").option("checkpointLocation", scratch(spark, "many-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("many").count() == 4000 and spark.table("many").agg({"n": "max"}).first()[0] == 1
+    timers = [s["customMetrics"].get("numRegisteredTimers", 0) for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < sum(timers) < 2000, timers
