@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators.joins import as_of_join, range_join, salted_join, small_side
 from tessera.operators.quantiles import exact_quantiles
 from tessera.operators.windows import running_sum, sessions, top_k
+from tessera.plans import catalogue
 from tessera.sources.files import load, save
 from tessera.sources.scratch import scratch
 
@@ -99,3 +101,15 @@ def test_files(spark, kind):
     assert sorted(map(tuple, load(spark, path, df.schema, kind).collect())) == rows
     with pytest.raises(ValueError):
         save(df, path, "xls")
+
+
+def test_lateral_orders_are_ranked_by_price(spark):
+    folder = scratch(spark, "lateral")
+    spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "c_custkey long").write.parquet(f"{folder}/customer.parquet")
+    orders = [(None, 1, 5.0), (7, 1, 5.0), (6, 1, 5.0), (5, 1, None), (10, 2, None), (11, 2, 1.0), (12, 2, 9.0), (20, 3, 4.0), (30, None, 4.0), (31, 4, 4.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").repartition(4).write.parquet(f"{folder}/orders.parquet")
+    found = catalogue.lateral_top_orders(spark, folder)
+    assert sorted(map(tuple, found.collect())) == [(1, 6), (1, 7), (2, 11), (2, 12), (3, 20), (3, 20)]
+    # an order that only a sort before the shuffle gives is lost when blocks come from several executors
+    ranks = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)", found._jdf.queryExecution().executedPlan().toString())
+    assert ranks and all("o_totalprice" in r and "o_orderkey" in r for r in ranks)
