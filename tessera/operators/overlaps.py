@@ -57,4 +57,5 @@ def _meet(longer: DataFrame, x: str, levels: dict, shorter: DataFrame, y: str, o
     b = shorter.withColumn("_bin_k", F.explode(above)).withColumn("_bin_at", bins(y)).withColumn("_bin_salt", F.pmod(F.xxhash64(f"_bin_{y}a", f"_bin_{y}b", *shorter.columns[:8]), many).cast("int"))
     begins = F.greatest(F.col(f"_bin_{x}a"), F.col(f"_bin_{y}a"))
     inside = (F.col(f"_bin_{x}a") < F.col(f"_bin_{y}b")) & (F.col(f"_bin_{y}a") < F.col(f"_bin_{x}b"))
-    return a.join(b, ["_bin_k", "_bin_at", "_bin_salt"]).where(inside & (_shift(begins, F.col("_bin_k")) == F.col("_bin_at")))
+    # listed once for each width, a side is far larger than Spark's estimate of it, so none may be broadcast
+    return a.join(b.hint("merge"), ["_bin_k", "_bin_at", "_bin_salt"]).where(inside & (_shift(begins, F.col("_bin_k")) == F.col("_bin_at")))

@@ -408,6 +408,7 @@ def overlapping_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sessions(events, key="user_id", time="t", gap="30 minutes", aggregates=[F.min("t").alias("first"), F.max("t").alias("last")])
     every = events.agg(F.lit(-1).cast("long").alias("user_id"), F.min("t").alias("first"), F.max("t").alias("last"))
     spans = found.select("user_id", "first", "last").union(every).select("user_id", F.unix_micros("first").alias("a"), (F.unix_micros("last") + 1).alias("b"))
+    spans = write_down(spans, "session-spans")  # both sides and their counts read them
     other = spans.select(F.col("user_id").alias("other"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     pairs = overlap_join(spans, other, left_span=("a", "b"), right_span=("a2", "b2"), on=F.col("user_id") != F.col("other"))
     return pairs.groupBy("user_id").agg(F.count("*").alias("pairs"), F.countDistinct("other").alias("users"), F.sum(F.least("b", "b2") - F.greatest("a", "a2") - 1).alias("together"))
