@@ -23,7 +23,7 @@ from tessera.operators.sketches import RANK_ERROR, common, distinct_by_theta, ke
 from tessera.operators.windows import running_sum, sessions, top_k
 from tessera.sources.clustered import read_clustered, write_clustered
 from tessera.sources.files import load, save
-from tessera.sources.records import read_records, stream_records, write_records
+from tessera.sources.records import in_ranges, read_records, stream_records, write_records
 from tessera.sources.scratch import scratch, write_down
 from tessera.sources.tables import table
 from tessera.sources.workers import importable
@@ -502,7 +502,8 @@ def stream_click_to_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through record files dealt in ranges of text length: the conditions leave out the files of other lengths."""
     path = scratch(spark, "records")
-    write_records(table(spark, sf_dir, "documents").repartitionByRange(16, "n_chars"), path, keys=["n_chars", "lang"])
+    documents = table(spark, sf_dir, "documents")
+    write_records(in_ranges(documents, "n_chars", size=F.octet_length("text"), tie="doc_id"), path, keys=["n_chars", "lang"])
     rows = read_records(spark, path, where=[("n_chars", ">=", 5000), ("n_chars", "<", 20000)])
     return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.min(F.md5("text")).alias("least"))
 

@@ -18,10 +18,12 @@ import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -288,6 +290,34 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RecordFiles)
 
 
+def in_ranges(df: DataFrame, by: str, *, size: Column, tie: str, least: int = 16, task_bytes: int = 32 << 20, bins: int = 256) -> DataFrame:
+    """``df`` dealt in ranges of the number ``by`` of about ``task_bytes`` each, by ``size``, the bytes of a row; or in about ``least`` smaller ones. So no task's share grows with ``df``.
+
+    The bytes between ``bins`` quantiles decide: small bins of neighbouring values share a range, and one that holds more is dealt over several by a hash of ``tie``,
+    so that neither long rows nor one frequent value meet in a task. Nulls are with the smallest.
+    """
+    importable(df.sparkSession)
+    cuts = np.unique(df.select(F.col(by).cast("double").alias("v")).approxQuantile("v", [k / bins for k in range(1, bins)], 1 / (4 * bins)))
+
+    @F.pandas_udf("int")
+    def place(v: pd.Series) -> pd.Series:
+        return pd.Series(np.where(v.isna(), 0, np.searchsorted(cuts, v.to_numpy(np.float64, na_value=0), "left")))
+
+    held = {r["at"]: r["b"] or 0 for r in df.groupBy(place(F.col(by).cast("double")).alias("at")).agg(F.sum(size).alias("b")).collect()}
+    most = max(1, min(task_bytes, sum(held.values()) // least))
+    first, parts, n, room = [], [], 0, 0
+    for at in range(len(cuts) + 1):
+        b = held.get(at, 0)
+        if b > room:
+            first, n, room = [*first, n], n + max(1, -(-b // most)), most - b
+        else:
+            first, room = [*first, max(n - 1, 0)], room - b
+        parts.append(max(1, -(-b // most)))
+    at = place(F.col(by).cast("double")) + 1
+    of = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), at)
+    return df.repartitionById(max(n, 1), (of(first) + F.pmod(F.xxhash64(tie), of(parts))).cast("int"))
+
+
 def write_records(df: DataFrame, path: str, *, keys: Sequence[str] = (), replace: bool = False) -> None:
     """Adds the rows of ``df`` to the record files at ``path``, or replaces them, in one commit. For files that can be skipped, ``df`` should be dealt in ranges of ``keys``."""
     register(df.sparkSession)

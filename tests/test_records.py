@@ -1,9 +1,12 @@
+from pathlib import Path
+
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
-from tessera.sources.records import _at, commits, may_match, read_records, records, stream_records, write_records
+from tessera.plans import catalogue
+from tessera.sources.records import _at, commits, in_ranges, may_match, read_records, records, stream_records, write_records
 from tessera.sources.scratch import scratch
 
 SCHEMA = "id long, k string, t timestamp_ntz, v double, a array<int>"
@@ -124,3 +127,22 @@ def test_a_stream_goes_on_where_it_stopped(spark, rows):
     got = spark.read.parquet(out)
     assert sorted(r.id for r in got.collect()) == list(range(1000))
     assert {(r.batch, r["count"]) for r in got.groupBy("batch").count().collect()} == {(0, 100), (1, 200), (2, 700)}
+
+
+def test_no_task_gets_more_than_its_share(spark, rows):
+    # 600 long texts of one length, and 600 short ones: ranges of equal rows put all of the long ones into one task
+    folder = scratch(spark, "even")
+    spark.range(1200).selectExpr("id as doc_id", "repeat(char(97 + id % 26), if(id < 600, 6000, 10)) as text", "'en' as lang", "'web' as source", "if(id < 600, 6000L, 10 + id % 5) as n_chars").write.parquet(f"{folder}/documents.parquet")
+    (got,) = catalogue.record_files(spark, folder).collect()
+    assert (got.n, got.chars) == (600, 600 * 6000)
+    made = [commits(f"{spark.conf.get('spark.checkpoint.dir')}/{p.name}")[0]["files"] for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("records-*")]
+    (files,) = [x for x in made if sum(f["rows"] for f in x) == 1200]
+    long = [f["rows"] for f in files if f["keys"]["n_chars"]["high"] == 6000]
+    assert sum(long) == 600 and max(long) < 150, long
+    assert all(f["keys"]["n_chars"]["low"] == 6000 for f in files if f["keys"]["n_chars"]["high"] == 6000)
+    # nulls and nothing at all
+    some = rows.withColumn("n", F.when(F.col("id") % 3 > 0, F.col("id")))
+    assert in_ranges(some, "n", size=F.lit(8), tie="id").count() == 1000 and in_ranges(some.limit(0), "n", size=F.lit(8), tie="id").count() == 0
+    for task_bytes in (100, 800, 10**9):
+        sizes = [r["count"] * 8 for r in in_ranges(some, "n", size=F.lit(8), tie="id", least=1, task_bytes=task_bytes).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 8000 and max(sizes) <= 2 * task_bytes, sizes
