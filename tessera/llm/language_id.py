@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,11 +133,8 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int
     for part in slices(texts, 1 << 18):
         g, bounds, _ = subwords(texts[part])
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            ids, n = np.unique(np.concatenate([x[a:b] for x in g]), return_counts=True)
-            real = ids < BUCKETS
-            grams.append((ids[real], (n[real] / max(1, n[real].sum())).astype(np.float32)))
-            ids, n = np.unique(np.concatenate([x[a:b] for size, x in zip(GRAMS, g, strict=True) if size >= LONG]), return_counts=True)
-            long.append((ids[ids < BUCKETS].astype(np.int32), n[ids < BUCKETS].astype(np.int32)))
+            grams.append(counted([x[a:b] for x in g]))
+            long.append(counted([x[a:b] for size, x in zip(GRAMS, g, strict=True) if size >= LONG]))
     rng = np.random.default_rng(seed)
     order = rng.permutation([k for k, (ids, _) in enumerate(grams) if len(ids)])
     held, train = order[: len(order) // 5], order[len(order) // 5 :]
@@ -148,7 +146,8 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int
         train = rng.permutation(train)
         for at in range(0, len(train), batch):
             rows = train[at : at + batch]
-            ids, share = (np.concatenate(x) for x in zip(*(grams[k] for k in rows), strict=True))
+            ids = np.concatenate([grams[k][0] for k in rows]).astype(np.int64)
+            share = np.concatenate([(grams[k][1] / max(1, grams[k][1].sum(dtype=np.int64))).astype(np.float32) for k in rows])
             starts = np.cumsum([0, *(len(grams[k][0]) for k in rows[:-1])])
             mean = np.add.reduceat(table[ids] * share[:, None], starts)
             error = softmax(mean @ weight + bias)
@@ -170,6 +169,13 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int
     return model
 
 
+def counted(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, times) of a text's subwords, in as few bytes as they take: the driver holds those of the whole sample."""
+    ids, n = np.unique(np.concatenate(grams), return_counts=True)
+    real = ids < BUCKETS
+    return ids[real].astype(np.min_scalar_type(BUCKETS - 1)), n[real].astype(np.min_scalar_type(int(n.max(initial=0))))
+
+
 def usual_of(counts: np.ndarray) -> np.ndarray:
     """Logarithm of each bucket's frequency against a background of all buckets alike."""
     out = np.log((counts + UNSEEN) / (counts.sum() + UNSEEN * BUCKETS) * BUCKETS).astype(np.float32)
@@ -185,8 +191,19 @@ def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], label: np
     With fewer than LEAST_ROWS rows to go by, nothing that has letters is rejected.
     """
     part, n = np.arange(len(rows)) % 5, np.array([len(ids) for ids, _ in rows], np.int64)
-    ids, times = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in zip(*rows, strict=True)) if rows else np.zeros((2, 0), np.int32)
-    counts = lambda some: np.bincount(ids[np.repeat(some, n)], times[np.repeat(some, n)], BUCKETS + 1)
+
+    def blocks(some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers, buckets, counts) of those rows that have any, a few at a time."""
+        for k in np.array_split(np.flatnonzero(some & (n > 0)), 1 + n[some].sum() // (1 << 18)):
+            if len(k):
+                yield k, np.concatenate([rows[i][0] for i in k]), np.concatenate([rows[i][1] for i in k]).astype(np.int64)
+
+    def counts(some: np.ndarray) -> np.ndarray:
+        out = np.zeros(BUCKETS + 1)
+        for _, ids, times in blocks(some):
+            out += np.bincount(ids, times, BUCKETS + 1)
+        return out
+
     total = counts(np.ones(len(rows), bool))
     model.usual = usual_of(total)
     if (n > 0).sum() < LEAST_ROWS:
@@ -194,12 +211,13 @@ def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], label: np
 
     def judged(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mean, variance) of each row by what all rows of other groups hold."""
-        value = np.zeros(len(ids))
-        for k in np.unique(groups):
-            own = np.repeat(groups == k, n)
-            value[own] = usual_of(total - counts(groups == k))[ids[own]]
-        some, first = n > 0, np.cumsum(n) - n
-        sums = [np.add.reduceat(x, first[some]) for x in (times, times * value, times * value**2)]
+        sums = np.zeros((3, len(rows)))
+        for g in np.unique(groups):
+            usual = usual_of(total - counts(groups == g))
+            for k, ids, times in blocks(groups == g):
+                value, first = usual[ids].astype(np.float64), np.cumsum(n[k]) - n[k]
+                sums[:, k] = [np.add.reduceat(x, first) for x in (times, times * value, times * value**2)]
+        sums = sums[:, n > 0]
         mean = sums[1] / sums[0]
         return mean, np.maximum(sums[2] / sums[0] - mean**2, 0)
 

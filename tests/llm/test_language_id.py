@@ -1,3 +1,4 @@
+import tracemalloc
 import random
 
 import numpy as np
@@ -103,3 +104,14 @@ def test_familiar_against_a_plain_loop():
         own = [int(g) for x in grams[2:] for g in x[a:b] if g < BUCKETS]
         values = [float(usual[g]) for g in own] or [0.0]
         assert mean[k] == pytest.approx(np.mean(values), abs=1e-9) and variance[k] == pytest.approx(np.var(values), abs=1e-9) and different[k] == len(set(own))
+
+
+def test_the_sample_takes_few_bytes_on_the_driver():
+    r = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in r.integers(0, 26, r.integers(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(words[k] for k in r.integers(0, len(words), 3000)) for _ in range(150)]
+    tracemalloc.start()
+    fit(texts, ["ab"[k % 2] for k in range(len(texts))], epochs=1, least_steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 140e6, peak  # 175 MB with arrays of eight and four bytes a subword
