@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, lower_batches
+from .common import col, lower_batches, small_batches
 from .text import BASE, folded, mixed, slices
 
 #: Buckets of the embedding table, its width, and the subwords' lengths in characters.
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (1, 2, 3, 4)
-#: Bounds of the labelled sample that the driver fits on: about so many rows of a language and in all, texts of so many characters at most, so many languages.
+#: Bounds of the labelled sample that one task fits on: about so many rows of a language and in all, texts of so many characters at most, so many languages.
 SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, LANGUAGES = 1500, 6000, 20_000, 256
 #: Characters that the sample has at most in all: rows are drawn at a lower rate where texts are long.
 SAMPLE_MB = 40
@@ -170,7 +171,7 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int
 
 
 def counted(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, times) of a text's subwords, in as few bytes as they take: the driver holds those of the whole sample."""
+    """(buckets, times) of a text's subwords, in as few bytes as they take: the task that fits holds those of the whole sample."""
     ids, n = np.unique(np.concatenate(grams), return_counts=True)
     real = ids < BUCKETS
     return ids[real].astype(np.min_scalar_type(BUCKETS - 1)), n[real].astype(np.min_scalar_type(int(n.max(initial=0))))
@@ -236,6 +237,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     Rows are picked by a hash of their id at a rate that makes about SAMPLE rows of each language (fewer if there are many, or if texts are long:
     about SAMPLE_MB million characters in all), at most 2 * SAMPLE_ALL in all; rarer languages enter whole. The LANGUAGES most frequent languages are learned.
+    A task fits the model, so that the driver gets it alone (BUCKETS x LANGUAGES floats at most) and never holds the sample.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.length("text") <= SAMPLE_CHARS)
@@ -246,8 +248,18 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     rate = F.create_map(*[F.lit(x) for lang, r in stats.items() for x in (lang, min(1.0, share / r["n"], mb / max(r["chars"], 1)))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
     picked = rows.where(draw < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)))
-    sample = picked.limit(2 * SAMPLE_ALL).toPandas().sort_values(["doc_id", "lang", "text"], na_position="first")
-    return fit(sample["text"].tolist(), sample["lang"].tolist())
+    sample = picked.limit(2 * SAMPLE_ALL).sortWithinPartitions(F.asc_nulls_first("doc_id"), "lang", "text").select("text", "lang")  # a limit leaves one partition
+    with small_batches(docs.sparkSession):
+        made = sample.mapInPandas(_fitted, "model binary").first()
+    return pickle.loads(made["model"]) if made else fit([], [])
+
+
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    texts, langs = [], []
+    for batch in batches:
+        texts += batch["text"].tolist()
+        langs += batch["lang"].tolist()
+    yield pd.DataFrame({"model": [pickle.dumps(fit(texts, langs))]})
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "lang_id") -> DataFrame:

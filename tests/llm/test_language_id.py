@@ -115,3 +115,14 @@ def test_the_sample_takes_few_bytes_on_the_driver():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 140e6, peak  # 175 MB with arrays of eight and four bytes a subword
+
+
+def test_a_task_fits_the_model(documents, monkeypatch):
+    """The driver neither fits nor holds the sample; rows come in the order of their ids, null ids first."""
+    data = made(120, 4)
+    docs = documents([(None if k == 7 else 500 - k, t, y) for k, (t, y) in enumerate(data)]).repartition(3)
+    order = [7, *(k for k in reversed(range(len(data))) if k != 7)]
+    want = fit([data[k][0] for k in order], [data[k][1] for k in order])
+    monkeypatch.setattr("tessera.llm.language_id.fit", None)
+    got = train(docs)
+    assert got.languages == want.languages and np.array_equal(got.table, want.table) and np.array_equal(got.usual, want.usual) and (got.temperature, got.slack) == (want.temperature, want.slack)
