@@ -248,7 +248,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     rate = F.create_map(*[F.lit(x) for lang, r in stats.items() for x in (lang, min(1.0, share / r["n"], mb / max(r["chars"], 1)))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
     picked = rows.where(draw < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)))
-    sample = picked.limit(2 * SAMPLE_ALL).sortWithinPartitions(F.asc_nulls_first("doc_id"), "lang", "text").select("text", "lang")  # a limit leaves one partition
+    sample = picked.limit(2 * SAMPLE_ALL).coalesce(1)  # Spark drops a limit that it knows to be met
+    sample = sample.sortWithinPartitions(F.asc_nulls_first("doc_id"), "lang", "text").select("text", "lang")
     with small_batches(docs.sparkSession):
         made = sample.mapInPandas(_fitted, "model binary").first()
     return pickle.loads(made["model"]) if made else fit([], [])
