@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,7 +104,7 @@ def merges(model: Model) -> list[tuple[str, str]]:
     return [(a, b) for _, a, b in sorted(found, key=lambda x: x[0])]
 
 
-def rebuild(model: Model):
+def rebuild(model: Model, cache: int = CACHE):
     """A ``tokenizers.Tokenizer`` with the model's normaliser, marker, scores or merges, and byte fallback.
 
     Raises for features that the library can't express: markers as suffixes, unescaped
@@ -118,7 +120,7 @@ def rebuild(model: Model):
         core = Tokenizer(models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk, model.byte_fallback))
     else:
         vocab = {p: k for k, (p, *_) in enumerate(model.pieces)}
-        core = Tokenizer(models.BPE(vocab, merges(model), unk_token=model.pieces[model.unk][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=CACHE))
+        core = Tokenizer(models.BPE(vocab, merges(model), unk_token=model.pieces[model.unk][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=cache))
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.strip_spaces:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -134,13 +136,13 @@ def rebuild(model: Model):
 def plain(model: Model):
     """A faster ``tokenizers.Tokenizer`` for texts with single spaces, none of them first, and no markers: None if the model rules it out.
 
-    It marks and splits words in one step, without a regular expression.
+    It marks and splits words in one step, without a regular expression, and keeps no words' ids: ``Words`` does.
     """
     from tokenizers import normalizers, pre_tokenizers
 
     if model.charsmap or model.strip_spaces or not model.dummy_prefix or any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind == NORMAL):
         return None
-    core = rebuild(model)
+    core = rebuild(model, 0)
     core.normalizer = normalizers.Sequence([])
     core.pre_tokenizer = pre_tokenizers.Metaspace(MARK, prepend_scheme="always", split=True)
     return core
@@ -159,6 +161,8 @@ def joined(model: Model):
 _HIDDEN, _UNKNOWN, _SPELLED = 1, 2, 4
 #: Characters that one call of the libraries gets, or one text.
 CALL = 1 << 20
+#: Characters among which words are encoded once.
+BATCH = 1 << 22
 
 
 def packed(ids: list[int]) -> np.ndarray:
@@ -166,6 +170,44 @@ def packed(ids: list[int]) -> np.ndarray:
     return np.frombuffer(array.array("I", ids), np.uint32)
 
 
+class Words:
+    """Encodes texts for ``plain``: the library encodes each different word of a batch once, and a text's ids are those of its words.
+
+    No piece goes on behind a word, so a word has the same ids wherever it stands.
+    """
+
+    def __init__(self, core, model: Model):
+        self.core = core
+        self.begins = np.array([p[:1] == MARK for p, *_ in model.pieces], bool)
+        one, two = [packed(e.ids) for e in core.encode_batch_fast(["x", "x "], add_special_tokens=False)]
+        self.blank = two[len(one) :]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, none of them empty."""
+        words = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = words.values.dictionary_encode()
+        codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        if (at := pc.index(names, "").as_py()) >= 0:  # behind a space at a text's end; goes last
+            codes = np.where(codes == at, len(names) - 1, codes - (codes > at))
+            names = names.filter(pc.not_equal(names, ""))
+        ids, sizes = self._new(names)
+        ids, sizes = np.concatenate([ids, self.blank]), np.append(sizes, len(self.blank))
+        first, size = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        flat = ids[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        return np.split(flat, np.cumsum(size)[words.offsets.to_numpy()[1:-1] - 1])
+
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each word has) of words that are not empty: joined to a few texts, in which pieces with a marker begin words."""
+        parts = pa.ListArray.from_arrays(pa.array([*range(0, len(words), 4096), len(words)], pa.int32()), words)
+        ids = [packed(e.ids) for e in self.core.encode_batch_fast(pc.binary_join(parts, " ").to_pylist(), add_special_tokens=False)]
+        flat = np.concatenate(ids)
+        starts = np.flatnonzero(self.begins[flat])
+        if len(starts) == len(words) and all(self.begins[x[0]] for x in ids):
+            return flat, np.diff(np.append(starts, len(flat)))
+        each = [packed(e.ids) for e in self.core.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]  # the model has no marker of its own
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+
 class Codec:
     """Encodes and decodes as the model file says; ``verify`` compares with the SentencePiece library."""
 
@@ -174,7 +216,8 @@ class Codec:
             self.data = f.read()
         self.model = parse(self.data)
         self.core = rebuild(self.model)
-        self.plain = plain(self.model)
+        fast = plain(self.model)
+        self.plain = fast and Words(fast, self.model)
         self.joined = joined(self.model)
         self.hidden = {k for k, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
         #: The byte piece that begins a marker spelled in bytes, which stays a marker.
@@ -188,10 +231,16 @@ class Codec:
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; the batch is encoded on the library's threads, however many the process allows it."""
-        if self.plain is not None and all(t[:1] != " " and "  " not in t and MARK not in t for t in texts):
-            return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
-        return [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text."""
+        return [x.tolist() for x in self.encode_packed(texts)]
+
+    def encode_packed(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers; the library encodes on its threads, however many the process allows it. Texts of over CALL characters, and such as ``plain`` is not made for, are encoded whole."""
+        by_words = [self.plain is not None and 0 < len(t) <= CALL and t[0] != " " and "  " not in t and MARK not in t for t in texts]
+        fast, rest = [t for t, f in zip(texts, by_words, strict=True) if f], [t for t, f in zip(texts, by_words, strict=True) if not f]
+        a = (x for part in slices(fast, BATCH) for x in self.plain.encode(fast[part]))
+        b = (packed(e.ids) for part in slices(rest, CALL) for e in self.core.encode_batch_fast(rest[part], add_special_tokens=False))
+        return [next(a if f else b) for f in by_words]
 
     def decode(self, ids: list[list[int]], packed_ids: list[np.ndarray] | None = None) -> list[str]:
         """Texts of ids (``packed_ids``: the same as arrays, if at hand) by the library, on its threads. It shows unknown pieces, broken UTF-8 and a first byte piece for a space in another way
@@ -265,11 +314,8 @@ def encode_column(docs: DataFrame, *, text_col: str = "text", out_col: str = "id
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
         _threads()
-        made, out = codec(path or model_path()), []
-        plain = ["" if x is None else x for x in texts]
-        for part in slices(plain, CALL):
-            out += [packed(x).astype(np.int32) for x in made.encode(plain[part])]
-        return pd.Series([None if t is None else x for t, x in zip(texts, out, strict=True)], dtype=object)
+        ids = codec(path or model_path()).encode_packed(["" if x is None else x for x in texts])
+        return pd.Series([None if t is None else x.astype(np.int32) for t, x in zip(texts, ids, strict=True)], dtype=object)
 
     return docs.withColumn(fresh(docs, out_col), run(col(text_col)))
 
@@ -305,9 +351,10 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         made, out = codec(path or model_path()), []
         first = _original(path or model_path(), sentencepiece)
         texts = texts.tolist()
+        every = made.encode_packed(texts)
         for part in slices(texts, CALL):
-            ids = made.encode(texts[part])
-            flat = [packed(x) for x in ids]
+            flat = every[part]
+            ids = [x.tolist() for x in flat]
             for text, own, code, theirs, back in zip(texts[part], ids, flat, first.encode(texts[part], num_threads=1), made.decode(ids, flat), strict=True):
                 out.append((len(own), zlib.crc32(code.astype("<u4", copy=False)), zlib.crc32(back.encode()), back == text, own == theirs))
         return pd.DataFrame(out, columns=["n_ids", "ids_crc32", "decoded_crc32", "same", "parity"])

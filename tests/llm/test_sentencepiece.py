@@ -110,3 +110,24 @@ def test_columns_of_the_outputs_names_stay(documents):
     assert got["ids"] == "own" and got["_ids"] == codec(model_path()).encode(["some words"])[0]
     back = decode_column(documents([(1, "some words", "en")]).selectExpr("'own' AS text", "array(1, 2) AS ids")).first()
     assert back["text"] == "own" and back["_text"] == codec(model_path()).decode([[1, 2]])[0]
+
+
+def test_each_word_is_encoded_once():
+    """A word that comes again in a batch costs the library nothing."""
+    made, first, seen = Codec(model_path()), sentencepiece.SentencePieceProcessor(model_file=model_path()), []
+
+    class Counting:
+        def __init__(self, core):
+            self.core = core
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return self.core.encode_batch_fast(texts, **more)
+
+    made.plain.core = Counting(made.plain.core)
+    r = random.Random(6)
+    some = [" ".join(r.choice(["alpha", "beta", "é日", "x\ny", "😀", "<s>", "tab\t", "a" * 50]) for _ in range(50)) + r.choice(["", " ", "."]) for _ in range(200)]
+    some += ["", "a  b", f"{MARK}c", " d", "e "]
+    assert made.encode(some) == first.encode(some) and sum(map(len, seen)) < 500 < sum(map(len, some))
+    some = [" ".join(f"w{r.randrange(9000)}" for _ in range(3000)) for _ in range(9)]
+    assert made.encode(some) == first.encode(some)
