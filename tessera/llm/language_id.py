@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.workers import frugal
+
 from .common import col, lower_batches, small_batches
 from .text import BASE, folded, mixed, slices
 
@@ -130,12 +132,7 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int
     if not names:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, np.zeros(BUCKETS + 1, np.float32))
     label = np.array([names.index(x) for x in langs])
-    grams, long = [], []
-    for part in slices(texts, 1 << 18):
-        g, bounds, _ = subwords(texts[part])
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            grams.append(counted([x[a:b] for x in g]))
-            long.append(counted([x[a:b] for size, x in zip(GRAMS, g, strict=True) if size >= LONG]))
+    grams = bags(texts, min(GRAMS))
     rng = np.random.default_rng(seed)
     order = rng.permutation([k for k, (ids, _) in enumerate(grams) if len(ids)])
     held, train = order[: len(order) // 5], order[len(order) // 5 :]
@@ -166,10 +163,22 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 4, least_steps: int
         logits, _, _ = model.logits([texts[k] for k in held])
         loss = lambda t: -np.mean(np.log(softmax(logits / t)[np.arange(len(held)), label[held]] + 1e-12))
         model.temperature = float(min(np.geomspace(0.05, 20, 61), key=loss))
+    del grams  # before the longer subwords are counted, in a pass of their own: they take nearly as much
+    long = bags(texts, LONG)
     calibrate(model, [long[k] for k in order], label[order])
     return model
 
 
+def bags(texts: list[str], least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What ``counted`` gives for each text's subwords of ``least`` characters or more."""
+    out = []
+    for part in slices(texts, 1 << 18):
+        grams, bounds, _ = subwords(texts[part])
+        grams = [x for size, x in zip(GRAMS, grams, strict=True) if size >= least]
+        out += [counted([x[a:b] for x in grams]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
+
+
 def counted(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, times) of a text's subwords, in as few bytes as they take: the task that fits holds those of the whole sample."""
     ids, n = np.unique(np.concatenate(grams), return_counts=True)
@@ -251,7 +260,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     sample = picked.limit(2 * SAMPLE_ALL).coalesce(1)  # Spark drops a limit that it knows to be met
     sample = sample.sortWithinPartitions(F.asc_nulls_first("doc_id"), "lang", "text").select("text", "lang")
     with small_batches(docs.sparkSession):
-        made = sample.mapInPandas(_fitted, "model binary").first()
+        made = sample.mapInPandas(frugal(_fitted), "model binary").first()
     return pickle.loads(made["model"]) if made else fit([], [])
 
 
@@ -274,10 +283,15 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out_col:
     lower_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x LANGUAGES floats at most: 64 MB
 
+    @frugal
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            lang, score, rejected = shared.value.predict(["" if x is None else x for x in texts])
+            yield pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
+
     @F.pandas_udf("lang string, score double, rejected boolean")
-    def label(texts: pd.Series) -> pd.DataFrame:
-        lang, score, rejected = shared.value.predict(["" if x is None else x for x in texts])
-        return pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return predicted(batches)
 
     return docs.withColumn(out_col, label(col(text_col)))
 

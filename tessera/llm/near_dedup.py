@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.workers import frugal
+
 from .common import by_slots, col, components, hot_join, materialise, small_batches
 from .text import BASE, mixed, shingles, slices
 
@@ -246,7 +248,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows_in = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     rows_in = rows_in.withColumn("text_hash", text_hash(F.col("text")))
     with small_batches(spark):
-        signed = rows_in.mapInPandas(_signed(bands, rows, size), "doc_id long, text_hash long, norm string, n long, bands array<long>")
+        signed = rows_in.mapInPandas(frugal(_signed(bands, rows, size)), "doc_id long, text_hash long, norm string, n long, bands array<long>")
         signed = materialise(signed, "near-signed")
         named = signed.where("n > 0 and doc_id is not null")
         # one row for each norm, however often a row is repeated; combined before the shuffle

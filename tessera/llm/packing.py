@@ -11,11 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.sources.workers import frugal
+
 from .common import col, materialise, small_batches
 
 #: Tokens in a sequence and the id after each document.
@@ -32,27 +35,38 @@ TAIL, TAIL_STEPS, TRIES = 16, 20_000, 12
 log = logging.getLogger(__name__)
 
 
-@functools.cache
-def _encoders(folder: str | None):
-    """The vocabulary twice: as a Tokenizers file, and as ranks for the faster encoder, whose ids are the same."""
-    import base64
-    import os
-
-    import tiktoken
-    from tokenizers import Tokenizer
-
+def _vocabulary(folder: str | None):
     if folder is None:
         import public_tokenizers as vocab
     else:
         import importlib.util
+        import os
 
         spec = importlib.util.spec_from_file_location("public_tokenizers", os.path.join(folder, "__init__.py"))
         vocab = importlib.util.module_from_spec(spec)
         spec.loader.exec_module(vocab)
+    return vocab
+
+
+@functools.cache
+def _fast(folder: str | None):
+    """The vocabulary as ranks for the faster encoder, whose ids are those of the Tokenizers file."""
+    import base64
+
+    import tiktoken
+
+    vocab = _vocabulary(folder)
     with open(vocab.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=vocab.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(vocab.path("byte_bpe_50k.json")), fast
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=vocab.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@functools.cache
+def _exact(folder: str | None):
+    """The Tokenizers file. Few texts need it, so a worker that meets none doesn't hold it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(_vocabulary(folder).path("byte_bpe_50k.json"))
 
 
 def encode(text: str, folder: str | None = None) -> np.ndarray:
@@ -61,13 +75,12 @@ def encode(text: str, folder: str | None = None) -> np.ndarray:
     Ordinary texts go through the same ranks in tiktoken, five times as fast; texts
     that name the special token, are very long or hold very long runs of spaces take the Tokenizers file itself.
     """
-    exact, fast = _encoders(folder)
     if SPECIAL not in text and len(text) <= LONG:
         try:
-            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+            return np.asarray(_fast(folder).encode_to_numpy(text, disallowed_special=()), "<u4")
         except ValueError:  # its expression gives up on very long runs of spaces
             pass
-    return np.array(exact.encode(text, add_special_tokens=False).ids, "<u4")
+    return np.array(_exact(folder).encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def pieces_of(length: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int]]:
@@ -364,7 +377,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     """
     spark = docs.sparkSession
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    cut = rows.mapInPandas(_cut(capacity, folder), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    cut = rows.mapInPandas(frugal(_cut(capacity, folder)), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
     with small_batches(spark):
         cut = materialise(cut, "pack-pieces")
     counts = np.zeros(capacity + 1, np.int64)
@@ -373,8 +386,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
         counts[r["length"]] = r["n"]
     places = intervals(complete_bins(counts, capacity))
     places, widths = by_range(places)
-    places = spark.createDataFrame(places, "length long, first long, last long, bin long, each long, at long, range long")
-    widths = F.broadcast(spark.createDataFrame(widths, "length long, width long"))
+    # as Arrow tables: rows of Python objects would go through Python workers of another kind, which stay beside the others
+    places = spark.createDataFrame(pa.Table.from_pandas(places, preserve_index=False), "length long, first long, last long, bin long, each long, at long, range long")
+    widths = F.broadcast(spark.createDataFrame(pa.Table.from_pandas(widths, preserve_index=False), "length long, width long"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     by_part = by_part.select("part", "length", before.alias("before")).join(widths, "length")
     ranked = cut.join(by_part, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth")).withColumn("range", F.expr("rank div width"))

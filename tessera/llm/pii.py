@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.workers import frugal
+
 from .common import by_slots, col, cols, fresh, hot_join, lower_batches, materialise, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -189,7 +191,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = ", ".join(f"n_{k} long" for k in KINDS)
     seen = "seen array<struct<start: int, end: int, seed: boolean, base: boolean, key: boolean, instance: string, patterns: array<string>>>"
     with small_batches(docs.sparkSession):
-        found = materialise(rows.mapInPandas(_find, f"doc_id long, row long, text_sha256 string, {n}, base_sha256 string, base string, {seen}"), "pii-found")
+        found = materialise(rows.mapInPandas(frugal(_find), f"doc_id long, row long, text_sha256 string, {n}, base_sha256 string, base string, {seen}"), "pii-found")
     more = discovered(found).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("more"))
     text = F.transform("more", lambda s: F.concat_ws(":", F.lit(FOUND), s["start"].cast("string"), s["end"].cast("string")))
     out = found.drop("seen").join(more, "row", "left")
@@ -228,9 +230,14 @@ def mask(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     that make up over a thousandth of those rows meet theirs by broadcast. A null text stays null.
     """
 
+    @frugal
+    def covered(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spans in batches:
+            yield pd.Series([masked(t, s) for t, s in zip(texts, spans, strict=True)])
+
     @F.pandas_udf("string")
-    def cover(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([masked(t, s) for t, s in zip(texts, spans, strict=True)])
+    def cover(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return covered(batches)
 
     lower_batches(docs.sparkSession)
     found = _spans(docs, id_col, text_col)
