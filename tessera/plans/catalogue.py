@@ -16,7 +16,7 @@ from tessera.operators.chains import chains
 from tessera.operators.dominance import dominance_counts
 from tessera.operators.frequent import heavy_hitters
 from tessera.operators.joins import as_of_join, range_join, salted_join, small_side
-from tessera.operators.overlaps import overlap_join
+from tessera.operators.overlaps import overlap_totals
 from tessera.operators.quantiles import exact_quantiles as quantiles
 from tessera.operators.ranks import neighbours, positions, tile, within_before
 from tessera.operators.sketches import RANK_ERROR, common, distinct_by_theta, keep_daily, merged, near, only_first, quantile
@@ -405,13 +405,13 @@ _SPANS = "SELECT user_id, min(ts) AS a, max(ts) AS b FROM (SELECT *, sum(new) OV
 def overlapping_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of different users that overlap, and one span over all of them: from single moments to a month."""
     events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("t"))
-    found = sessions(events, key="user_id", time="t", gap="30 minutes", aggregates=[F.min("t").alias("first"), F.max("t").alias("last")])
+    by_user = events.repartition("user_id")  # as two numbers: a session window would shuffle four more for each event
+    found = sessions(by_user, key="user_id", time="t", gap="30 minutes", aggregates=[F.min("t").alias("first"), F.max("t").alias("last")])
     every = events.agg(F.lit(-1).cast("long").alias("user_id"), F.min("t").alias("first"), F.max("t").alias("last"))
-    spans = found.select("user_id", "first", "last").union(every).select("user_id", F.unix_micros("first").alias("a"), (F.unix_micros("last") + 1).alias("b"))
-    spans = write_down(spans, "session-spans")  # both sides and their counts read them
-    other = spans.select(F.col("user_id").alias("other"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    pairs = overlap_join(spans, other, left_span=("a", "b"), right_span=("a2", "b2"), on=F.col("user_id") != F.col("other"))
-    return pairs.groupBy("user_id").agg(F.count("*").alias("pairs"), F.countDistinct("other").alias("users"), F.sum(F.least("b", "b2") - F.greatest("a", "a2") - 1).alias("together"))
+    spans = found.select("user_id", "first", "last").union(every).select("user_id", F.unix_micros("first").alias("a"), (F.unix_micros("last") - F.unix_micros("first") + 1).alias("length"))
+    spans = write_down(spans, "session-spans").select("user_id", "a", (F.col("a") + F.col("length")).alias("b"))
+    found = overlap_totals(spans, key="user_id", span=("a", "b"))
+    return found.select("user_id", "pairs", F.col("partners").alias("users"), (F.col("together") - F.col("pairs")).alias("together"))
 
 
 @query("SELECT o_orderkey, CAST((SELECT count(*) FROM orders p WHERE p.o_orderdate < o.o_orderdate AND p.o_totalprice > o.o_totalprice) AS BIGINT) AS older_and_dearer FROM orders o")

@@ -10,7 +10,9 @@ import pytest
 from tessera.operators.chains import chains
 from tessera.operators.dominance import dominance_counts, earlier_and_larger
 from tessera.operators.frequent import heavy_hitters, reduced
-from tessera.operators.overlaps import overlap_join
+from tessera.operators import overlaps
+from tessera.operators.overlaps import overlap_join, overlap_totals
+from tessera.plans import catalogue
 
 
 def plan(df):
@@ -114,3 +116,58 @@ def test_no_side_of_a_span_join_is_broadcast(spark):
     assert joined.count() > 0
     joined.collect()
     assert "Broadcast" not in plan(joined) and "SortMergeJoin" in plan(joined)
+
+
+def totals(spans):
+    """What ``overlap_totals`` should give, by plain loops."""
+    out = {}
+    fine = [(k, a, b) for k, a, b in spans if None not in (k, a, b) and a < b]
+    for k, a, b in fine:
+        for m, c, d in fine:
+            if k != m and a < d and c < b:
+                pairs, partners, together = out.setdefault(k, (0, set(), 0))
+                out[k] = (pairs + 1, partners | {m}, together + min(b, d) - max(a, c))
+    return {k: (pairs, len(partners), together) for k, (pairs, partners, together) in out.items()}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_totals_of_overlaps_in_numpy(monkeypatch, small):
+    if small:  # tables, lookups and packs of a few
+        for name, n in {"LOOKUPS": 7, "MARKS": 20, "SORTED": 5, "AT_ONCE": 3}.items():
+            monkeypatch.setattr(overlaps, name, n)
+    r = random.Random(5)
+    for keys, rows, top in [(1, 1, 1), (2, 40, 50), (9, 60, 3), (30, 80, 1000), (300, 300, 10**5), (40, 300, 10**15)]:
+        draw = lambda: [(r.randrange(keys) * 7 - 3, a, a + r.choice([1, 1, 2, r.randint(1, top), 10 * top])) for _ in range(rows) for a in [r.randint(-top, top)]]  # noqa: B023, E731
+        one, two = draw(), [(k + 1, a, b) for k, a, b in draw()]  # no key in common
+        side = lambda rows: overlaps._unpacked([overlaps._packed(*np.array(sorted(part, key=lambda x: x[1])).T) for part in (rows[:20], rows[20:]) if part])
+        found = [f for args in ((side(one), side(two)), (side(one),), (side(two),)) for f in overlaps._meetings(*args)]
+        got = {}
+        for key, *row in (x for f in found for x in zip(*(c.tolist() for c in f), strict=True)):
+            got[key] = tuple(map(sum, zip(row, got.get(key, (0, 0, 0)), strict=True)))
+        assert got == totals(one + two)
+
+
+@pytest.mark.parametrize("part_rows", [None, 1, 100])
+def test_totals_of_overlaps(spark, part_rows):
+    r = random.Random(6)
+    length = lambda: r.choice([0, 1, 1, 2, 3, 9, 100, 1000, -3])
+    spans = [(r.choice([None, 7, *range(-20, 40)]), a, a + length()) for _ in range(300) for a in [r.randint(-2000, 2000)]]
+    spans += [(-99, -(10**15), 10**15), (2**62, None, 5), (2**62, 5, None), (77, 8, 9), (77, 8, 9), (500, 10**16, 10**17)]
+    if part_rows == 1:
+        spans = spans[-14:]  # a task for each two
+    found = overlap_totals(spark.createDataFrame(spans, "k long, a long, b long"), key="k", span=("a", "b"), part_rows=part_rows)
+    assert {x.k: (x.pairs, x.partners, x.together) for x in found.collect()} == totals(spans)
+    assert overlap_totals(spark.createDataFrame([], "k long, a long, b long"), key="k", span=("a", "b")).count() == 0
+
+
+def test_pairs_of_overlapping_sessions_are_not_shuffled(spark, tmp_path):
+    # 400 users that are all active together: 160,400 pairs of users, each of which was shuffled to count partners
+    spark.sql("SELECT id AS event_id, timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id div 400) AS ts, id % 400 AS user_id FROM range(2000)").write.parquet(f"{tmp_path}/events.parquet")
+    seen = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    before = sum(seen.apply(k).totalShuffleWrite() for k in range(seen.size()))
+    found = catalogue.QUERIES["overlapping_sessions"](spark, str(tmp_path))
+    n, us = 400, 4 * 60 * 10**6
+    assert {tuple(x) for x in found.collect()} == {(k, n, n, n * us) for k in range(-1, n)}
+    seen = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    written = sum(seen.apply(k).totalShuffleWrite() for k in range(seen.size())) - before
+    assert written < 200_000
